@@ -74,5 +74,5 @@ def _dated(text: Column) -> Column:
 
 
 def whole_days(start: Column, end: Column) -> Column:
-    """Completed days between two moments, not calendar boundaries crossed."""
-    return F.timestamp_diff("DAY", start, end)
+    """Completed days between two timestamps without zone, not calendar boundaries crossed."""
+    return F.extract(F.lit("DAY"), end - start)

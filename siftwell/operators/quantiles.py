@@ -20,7 +20,7 @@ from siftwell.functions import quoted
 from siftwell.operators.facts import scan_facts
 from siftwell.operators.values import stacked
 
-SMALL_ROWS = 5_000_000
+SMALL_ROWS = 250_000
 BUCKETS = 1024
 LISTED_VALUES = 50_000
 BRACKET_SCHEMA = "column string, bracket int, low double, high double, listed boolean, rank bigint"
