@@ -52,7 +52,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, limit: int = D
         for i, c in enumerate(names)
     ]
     table = df.sparkSession.createDataFrame(rows, DESCRIPTION_SCHEMA)
-    return table.select("column", "count", *[F.round(c, 4).alias(c) for c in table.columns[2:]])
+    return table.select("column", "count", *[(F.round(c, 4) + 0.0).alias(c) for c in table.columns[2:]])
 
 
 def group_means(df: DataFrame, category: str, measure: str) -> DataFrame:
