@@ -1,7 +1,5 @@
 """US state names and codes to the two-letter code."""
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,12 +22,16 @@ STATE_CODES = {
 _LOOKUP = {**STATE_CODES, **{code.lower(): code for code in STATE_CODES.values()}}
 
 
+_TABLE = "map({})".format(", ".join(f"'{text}', '{code}'" for text, code in _LOOKUP.items()))
+_LONGEST = max(map(len, _LOOKUP))
+
+
 def state_code_of_normalized(norm: Column) -> Column:
     """Code for text that is already stripped and lower-cased; null for anything else."""
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(_LOOKUP.items())])
-    # The set test is hashed and rejects most text before the map is walked.
-    return F.when(norm.isin(*_LOOKUP), F.try_element_at(table, norm))
+    return F.when(F.length(norm) <= _LONGEST, F.try_element_at(F.expr(_TABLE), norm))
 
 
 def state_code(c: Column) -> Column:
-    return state_code_of_normalized(normalize_text(c))
+    norm = normalize_text(c)
+    # The set test is hashed and rejects most text before the map is walked.
+    return F.when(norm.isin(*_LOOKUP), state_code_of_normalized(norm))

@@ -28,6 +28,10 @@ def normalize_text(c: Column) -> Column:
     return F.lower(strip(c))
 
 
+def is_plain_key(c: Column) -> Column:
+    return (F.length(c) <= KEY_LENGTH) | c.rlike(r"^[\s\d.,eE+-]*$")
+
+
 def value_key(c: Column) -> Column:
     """A grouping key as selective as the value itself but short enough to shuffle.
 
@@ -36,5 +40,4 @@ def value_key(c: Column) -> Column:
     from the key.
     """
     digest = F.concat(F.lit("#" * (KEY_LENGTH - 63)), F.sha2(c, 256))
-    plain = (F.length(c) <= KEY_LENGTH) | c.rlike(r"^[\s\d.,eE+-]*$")
-    return F.when(plain, c).otherwise(digest)
+    return F.when(is_plain_key(c), c).otherwise(digest)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import quoted
+from siftwell.operators.local import fixed
 from siftwell.operators.statistics import group_means, moment_of, pair_table
 
 TRENDLINE_POINTS = 50
@@ -78,7 +79,7 @@ def route_charts(df: DataFrame, findings: DataFrame) -> ChartRouting:
 
     counts = df.agg(*[shown(c, x, y).alias(f"n{i}") for i, (_, c, x, y) in enumerate(present)]).first() if present else ()
     rows = [(w[0], n) for w, n in zip(present, counts)]
-    sizes = df.sparkSession.createDataFrame(rows, "finding_id string, n bigint")
+    sizes = fixed(df.sparkSession, rows, "finding_id string, n bigint")
     sized = findings.join(F.broadcast(sizes), "finding_id", "left")
     drawable = F.coalesce(F.col("n") > 0, F.lit(False))
     note = F.when(F.col("caveat").isNotNull(), F.concat(F.lit(" (Note: "), F.col("caveat"), F.lit(".)"))).otherwise("")

@@ -8,7 +8,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftwell.functions import (
     has_fraction,
@@ -21,6 +20,7 @@ from siftwell.functions import (
     state_code_of_normalized,
 )
 from siftwell.operators.columns import kind_of, numeric_columns
+from siftwell.operators.local import fixed
 from siftwell.operators.values import stacked, text_values, typed_groups
 
 
@@ -79,12 +79,11 @@ def _share_counts() -> list[Column]:
 
 
 def _readings(norm: Column) -> list[Column]:
-    # Numbers, dates and states read the same from normalised text as from the raw cell.
+    # Numbers and dates read the same from normalised text as from the raw cell.
     return [
         parse_number(norm).alias("number"),
         parse_number_lenient(norm).alias("lenient"),
         parse_date(norm).alias("moment"),
-        state_code_of_normalized(norm).alias("state"),
     ]
 
 
@@ -100,7 +99,7 @@ def text_facts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> Dat
             "column", "value", norm.alias("norm"), F.lit(1).alias("n"), F.length("value").alias("chars")
         )
         return (
-            rows.select("*", *_readings(F.col("norm")))
+            rows.select("*", state_code_of_normalized(F.col("norm")).alias("state"), *_readings(F.col("norm")))
             .groupBy("column")
             .agg(
                 *_share_counts(),
@@ -109,16 +108,19 @@ def text_facts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> Dat
             )
         )
     norm, state = F.col("norm_key"), F.col("state")
+    is_code = F.col("value_key") == state
+    # The state follows from the normalised key, so grouping by both makes no more groups.
     spellings = (
         text_values(df, columns)
-        .groupBy("column", "norm_key")
+        .withColumn("state", state_code_of_normalized(norm))
+        .groupBy("column", "norm_key", "state")
         .agg(
             F.sum("n").alias("n"),
             F.max("n").alias("top_n"),
             F.sum("chars").alias("chars"),
             F.count("*").alias("variants"),
-            F.count_if(F.col("value_key") == state_code_of_normalized(norm)).alias("coded"),
-            F.sum(F.when(F.col("value_key") == state_code_of_normalized(norm), F.col("n")).otherwise(0)).alias("coded_n"),
+            F.count_if(is_code).alias("coded"),
+            F.sum(F.when(is_code, F.col("n")).otherwise(0)).alias("coded_n"),
         )
     )
     return (
@@ -153,8 +155,7 @@ def typed_facts(df: DataFrame, exact: bool = True) -> DataFrame:
             per_column.select("column", "distinct_count", show(F.col("low")).alias("low"), show(F.col("high")).alias("high"))
         )
     if not parts:
-        schema = T.StructType().add("column", "string").add("distinct_count", "long").add("low", "string").add("high", "string")
-        return df.sparkSession.createDataFrame([], schema)
+        return fixed(df.sparkSession, [], "column string, distinct_count bigint, low string, high string")
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

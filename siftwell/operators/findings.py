@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.special import p_value
 from siftwell.operators.columns import numeric_columns
+from siftwell.operators.local import collected, fixed
 from siftwell.operators.statistics import (
     categorical_columns,
     correlation_t,
@@ -100,14 +101,13 @@ def test_statistics(
     p_values: bool = True,
 ) -> DataFrame:
     """One row per eligible test, significant or not: trends, then pairs, then group differences."""
-    spark = df.sparkSession
     numbers = numeric_columns(df)
     date = date_column(df) if numbers else None
     trends = numbers[:max_trends] if date else []
     pairs = list(combinations(numbers, 2))[:max_pairs]
     levels = categorical_columns(df).orderBy("position").limit(max_categories).collect() if numbers else []
     categories = [r["column"] for r in levels]
-    tests = spark.createDataFrame([], TEST_SCHEMA).drop("p")
+    tests = fixed(df.sparkSession, [], TEST_SCHEMA).drop("p")
 
     if trends or pairs:
         moments = pair_table(df, pairs, date, trends)
@@ -228,6 +228,4 @@ def findings_of(df: DataFrame, log: DataFrame | None = None, limit: int = MAX_FI
 
 def analyze(df: DataFrame, log: DataFrame | None = None, goal: str | None = None, **caps) -> AnalysisResult:
     """Findings and descriptive statistics. At most `limit` findings come back, so they are fixed here once."""
-    found = findings_of(df, log, **caps)
-    fixed = df.sparkSession.createDataFrame(found.collect(), found.schema)
-    return AnalysisResult(fixed, describe(df), goal)
+    return AnalysisResult(collected(findings_of(df, log, **caps)), describe(df), goal)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import quoted
 from siftwell.operators.columns import numeric_columns
 from siftwell.operators.detectors import OUTLIER_FENCE, OUTLIER_MIN_VALUES
+from siftwell.operators.local import fixed
 from siftwell.operators.quantiles import Span, quantiles, spans
 
 Fences = dict[str, tuple[float, float]]
@@ -46,7 +47,7 @@ def is_outside(c: Column, fence: tuple[float, float]) -> Column:
 def outlier_counts(df: DataFrame, fences: Fences) -> DataFrame:
     """(position, column, lower, upper, outlier_count): one pass over the fenced columns."""
     if not fences:
-        return df.sparkSession.createDataFrame([], FENCE_SCHEMA)
+        return fixed(df.sparkSession, [], FENCE_SCHEMA)
     counts = df.agg(*[F.count_if(is_outside(quoted(c), f)).alias(f"n{i}") for i, (c, f) in enumerate(fences.items())])
     rows = [
         F.struct(

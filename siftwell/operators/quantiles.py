@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import quoted
 from siftwell.operators.facts import scan_facts
+from siftwell.operators.local import fixed
 from siftwell.operators.values import stacked
 
 SMALL_ROWS = 250_000
@@ -157,8 +158,8 @@ def _narrow(
     target_rows = [
         (s.column, brackets[s.bracket][0], s.low, s.high, False, offsets[s.column, s.rank]) for s in searches
     ]
-    bracket = F.broadcast(spark.createDataFrame(bracket_rows, BRACKET_SCHEMA).drop("rank"))
-    target = F.broadcast(spark.createDataFrame(target_rows, BRACKET_SCHEMA).select("bracket", "rank"))
+    bracket = F.broadcast(fixed(spark, bracket_rows, BRACKET_SCHEMA).drop("rank"))
+    target = F.broadcast(fixed(spark, target_rows, BRACKET_SCHEMA).select("bracket", "rank"))
 
     value, low, high = F.col("value"), F.col("low"), F.col("high")
     # Halved before subtracting so that the width of a bracket cannot overflow.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import parse_date, quoted, whole_days
 from siftwell.operators.columns import numeric_columns, temporal_columns, text_columns
+from siftwell.operators.local import fixed
 from siftwell.operators.quantiles import Span, quantiles
 from siftwell.operators.values import stacked
 
@@ -34,7 +35,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, limit: int = D
     """(column, count, mean, std, min, p25, p50, p75, max), four decimals, for the first numeric columns."""
     names = (numeric_columns(df) if columns is None else list(columns))[:limit]
     if not names:
-        return df.sparkSession.createDataFrame([], DESCRIPTION_SCHEMA)
+        return fixed(df.sparkSession, [], DESCRIPTION_SCHEMA)
     aggregates = [
         make(_double(c)).alias(f"{name}{i}")
         for i, c in enumerate(names)
@@ -51,7 +52,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, limit: int = D
         (c, *[moments[f"{name}{i}"] for name in ("count", "mean", "std", "min")], *at.get(c, (None,) * 3), moments[f"max{i}"])
         for i, c in enumerate(names)
     ]
-    table = df.sparkSession.createDataFrame(rows, DESCRIPTION_SCHEMA)
+    table = fixed(df.sparkSession, rows, DESCRIPTION_SCHEMA)
     return table.select("column", "count", *[(F.round(c, 4) + 0.0).alias(c) for c in table.columns[2:]])
 
 
@@ -69,7 +70,7 @@ def categorical_columns(df: DataFrame, max_levels: int = LEVEL_LIMIT) -> DataFra
     shuffled to learn that it is not a category; the remaining columns are counted exactly.
     """
     names = text_columns(df)
-    empty = df.sparkSession.createDataFrame([], "position int, column string, levels bigint")
+    empty = fixed(df.sparkSession, [], "position int, column string, levels bigint")
     if not names:
         return empty
     sketches = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
@@ -158,7 +159,7 @@ def pair_table(
             tests.append(("pair", x, y, middle[x].mean))
             cells.append((centred(x), centred(y), missing, missing))
     if not tests:
-        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+        return fixed(df.sparkSession, [], PAIR_SCHEMA)
 
     laid_out = F.array(
         *[
@@ -187,10 +188,8 @@ def pair_table(
         )
     )
     labels = [(i, kind, x_, y_, float(x0), middle[y_].mean) for i, (kind, x_, y_, x0) in enumerate(tests)]
-    labelled = sums.join(
-        F.broadcast(df.sparkSession.createDataFrame(labels, "test int, kind string, x_name string, y_name string, x0 double, y0 double")),
-        "test",
-    )
+    label_schema = "test int, kind string, x_name string, y_name string, x0 double, y0 double"
+    labelled = sums.join(F.broadcast(fixed(df.sparkSession, labels, label_schema)), "test")
     sxx = F.col("sum_xx") - F.col("sum_x") * F.col("sum_x") / n
     syy = F.col("sum_yy") - F.col("sum_y") * F.col("sum_y") / n
     sxy = F.col("sum_xy") - F.col("sum_x") * F.col("sum_y") / n

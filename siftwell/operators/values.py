@@ -11,17 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions import normalize_text, quoted, value_key
-from siftwell.functions.text import KEY_LENGTH
-from siftwell.operators.columns import columns_of_kind, kind_of
+from siftwell.functions.text import KEY_LENGTH, is_plain_key
+from siftwell.operators.columns import columns_of_kind
 
 
 def stacked(df: DataFrame, columns: Sequence[str], cast: str | None = None) -> DataFrame:
     """The non-null cells of `columns` as (column, value) rows."""
-    cells = [quoted(c).cast(cast).alias(f"c{i}") if cast else quoted(c).alias(f"c{i}") for i, c in enumerate(columns)]
-    names = F.array(*[F.lit(c) for c in columns])
-    long = df.select(*cells).unpivot([], [f"c{i}" for i in range(len(columns))], "slot", "value")
-    position = F.substring("slot", 2, 9).cast("int")
-    return long.where(F.col("value").isNotNull()).select(F.get(names, position).alias("column"), "value")
+    cells = [(quoted(c).cast(cast) if cast else quoted(c)).alias(c) for c in columns]
+    long = df.select(*cells).unpivot([], [quoted(c) for c in columns], "column", "value")
+    return long.where(F.col("value").isNotNull())
 
 
 def _as_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -63,18 +61,19 @@ def text_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value_key, norm_key, n, chars): one row per distinct text value.
 
     Texts beyond the key length are represented by a digest, so document-sized columns are counted
-    exactly without sending the documents themselves through the shuffle.
+    exactly without sending the documents themselves through the shuffle. Only those are normalised
+    row by row; for the others it is enough to normalise each distinct value afterwards.
     """
-    value = F.col("value")
+    value, key = F.col("value"), F.col("value_key")
     keyed = stacked(df, columns).select(
         "column",
         value_key(value).alias("value_key"),
-        value_key(normalize_text(value)).alias("norm_key"),
+        F.when(~is_plain_key(value), value_key(normalize_text(value))).alias("long_norm"),
         F.length(value).alias("chars"),
     )
-    return keyed.groupBy("column", "value_key", "norm_key").agg(
-        F.count("*").alias("n"), F.sum("chars").alias("chars")
-    )
+    grouped = keyed.groupBy("column", "value_key", "long_norm").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    norm = F.coalesce("long_norm", value_key(normalize_text(key)))
+    return grouped.select("column", "value_key", norm.alias("norm_key"), "n", "chars")
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -128,7 +127,3 @@ def _with_long_values(chosen: DataFrame, cells: DataFrame) -> DataFrame:
     )
     joined = chosen.join(F.broadcast(texts), ["column", "sample"], "left")
     return joined.select("column", "rank", F.coalesce("text", "sample").alias("sample"))
-
-
-def kind_label(df: DataFrame, column: str) -> str:
-    return kind_of(df.schema[column].dataType)

@@ -7,7 +7,7 @@ log with the outcome of every action.
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import reduce
+from itertools import chain
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row
@@ -28,6 +28,7 @@ from siftwell.operators.detectors import (
 )
 from siftwell.operators.duplicates import drop_duplicate_rows, duplicate_count
 from siftwell.operators.facts import scan_facts, text_facts
+from siftwell.operators.local import collected, fixed
 from siftwell.operators.outliers import iqr_fences, outlier_counts
 from siftwell.operators.quality import quality_score, scored
 from siftwell.operators.quantiles import Span
@@ -102,11 +103,6 @@ def measured(df: DataFrame) -> DataFrame:
     return facts.select("*", *absent)
 
 
-def _local(df: DataFrame) -> DataFrame:
-    """The rows of a per-column table, fixed; its size is bounded by the width of the data."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
 def with_examples(df: DataFrame, facts: DataFrame) -> DataFrame:
     """Add the replacements to be shown in the notes of standardising actions."""
     chosen = facts.select(
@@ -118,7 +114,7 @@ def with_examples(df: DataFrame, facts: DataFrame) -> DataFrame:
     variants = [r["column"] for r in chosen if r["variants"] and not r["state"]]
     if not states and not variants:
         return facts.withColumn("examples", F.lit(None).cast("string"))
-    return facts.join(F.broadcast(_local(variant_examples(df, states, variants))), "column", "left")
+    return facts.join(F.broadcast(collected(variant_examples(df, states, variants))), "column", "left")
 
 
 def propose_cleaning(df: DataFrame, focus: str | None = None, **search) -> CleaningPlan:
@@ -128,13 +124,15 @@ def propose_cleaning(df: DataFrame, focus: str | None = None, **search) -> Clean
     spark = df.sparkSession
     # Independent stages of one query, so that scan, value and duplicate passes run side by side.
     everything = measured(df).unionByName(duplicate_count(df), allowMissingColumns=True)
-    facts = spark.createDataFrame(everything.collect(), everything.schema)
+    rows = everything.collect()
+    facts = fixed(spark, rows, everything.schema)
     duplicates = facts.where(F.col("column").isNull()).select("duplicate_rows")
     columns = facts.where(F.col("column").isNotNull())
 
     known = {
         r["column"]: Span(r["row_count"] - r["null_count"], r["min_number"], r["max_number"])
-        for r in columns.where(F.col("min_number").isNotNull()).collect()
+        for r in rows
+        if r["min_number"] is not None
     }
     fences = iqr_fences(df, known=known, **search) if numeric_columns(df) else {}
     described = with_examples(df, columns)
@@ -146,10 +144,11 @@ def propose_cleaning(df: DataFrame, focus: str | None = None, **search) -> Clean
         detect_case_variants(described),
         detect_outliers(outlier_counts(df, fences)),
     ]
-    ordered = reduce(DataFrame.unionByName, proposals).orderBy("stage", "position")
-    rows = [
+    # A few actions per column of the table at most; over fixed facts they are found without a job.
+    proposed = sorted(chain.from_iterable(p.collect() for p in proposals), key=lambda r: (r["stage"], r["position"]))
+    actions = [
         Row(i, *[r[c] for c in ACTION_COLUMNS], focus is not None and r["column"] == focus)
-        for i, r in enumerate(ordered.collect(), 1)
+        for i, r in enumerate(proposed, 1)
     ]
     totals = facts.agg(
         F.max("row_count").alias("row_count"),
@@ -157,7 +156,7 @@ def propose_cleaning(df: DataFrame, focus: str | None = None, **search) -> Clean
         F.max("duplicate_rows").alias("duplicate_rows"),
         F.avg(F.col("normalized_count") / F.col("distinct_count")).alias("consistency"),
     ).withColumn("column_count", F.lit(len(df.columns)))
-    return CleaningPlan(spark.createDataFrame(rows, ACTION_SCHEMA), scored(totals))
+    return CleaningPlan(fixed(spark, actions, ACTION_SCHEMA), scored(totals))
 
 
 def approved_ids(plan: CleaningPlan, approved: str | Iterable[str]) -> set[str]:
@@ -180,7 +179,7 @@ def apply_cleaning(df: DataFrame, plan: CleaningPlan, approved: str | Iterable[s
     Statistics used as fills and fences are taken from the table as it stands at that step, not from
     the plan. Spellings are consolidated as found in `df` itself.
     """
-    actions = plan.actions.orderBy("sequence").collect()
+    actions = sorted(plan.actions.collect(), key=lambda a: a["sequence"])
     ids = approved_ids(plan, approved)
     chosen = [a for a in actions if a["action_id"] in ids]
     by_class = {name: [a for a in chosen if a["action"] == name] for name in EXECUTION_ORDER}
@@ -241,7 +240,7 @@ def apply_cleaning(df: DataFrame, plan: CleaningPlan, approved: str | Iterable[s
             attempt(action, lambda d, c=c: drop_missing(d, [c]))
 
     log = [_outcome(a, a["action_id"] in ids, failures.get(a["action_id"])) for a in actions]
-    return CleaningResult(working, df.sparkSession.createDataFrame(log, ACTION_SCHEMA), plan.summary)
+    return CleaningResult(working, fixed(df.sparkSession, log, ACTION_SCHEMA), plan.summary)
 
 
 def _readable(df: DataFrame, column: str) -> bool:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from siftwell.functions import parse_number, quoted
 from siftwell.operators.columns import text_columns
+from siftwell.operators.local import fixed
 from siftwell.operators.values import stacked
 
 # Cell texts that mean "missing".
@@ -39,7 +40,7 @@ class LoadedTable:
 
     @property
     def issues(self) -> DataFrame:
-        return self.data.sparkSession.createDataFrame([(n,) for n in self.notes], "issue string")
+        return fixed(self.data.sparkSession, [(n,) for n in self.notes], "issue string")
 
     def summary(self) -> DataFrame:
         """(source_type, file_name, row_count, column_count)."""
@@ -279,4 +280,4 @@ def load_parquet(spark: SparkSession, path: str) -> LoadedTable:
 
 
 def _nothing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "record string")
+    return fixed(spark, [], "record string")
