@@ -13,14 +13,15 @@ from siftwell.functions.special import p_value
 from siftwell.operators.columns import numeric_columns
 from siftwell.operators.local import collected, fixed
 from siftwell.operators.statistics import (
+    TextRoles,
     categorical_columns,
     correlation_t,
-    date_column,
     describe,
     group_moments,
     group_tests,
     pair_table,
     percent_change,
+    text_roles,
 )
 
 MAX_FINDINGS = 6
@@ -102,11 +103,12 @@ def test_statistics(
 ) -> DataFrame:
     """One row per eligible test, significant or not: trends, then pairs, then group differences."""
     numbers = numeric_columns(df)
-    date = date_column(df) if numbers else None
+    roles = text_roles(df) if numbers else TextRoles(None, ())
+    date = roles.date
     trends = numbers[:max_trends] if date else []
     pairs = list(combinations(numbers, 2))[:max_pairs]
-    levels = categorical_columns(df).orderBy("position").limit(max_categories).collect() if numbers else []
-    categories = [r["column"] for r in levels]
+    levels = categorical_columns(df, roles=roles).collect()
+    categories = [r["column"] for r in sorted(levels, key=lambda r: r["position"])][:max_categories] if numbers else []
     tests = fixed(df.sparkSession, [], TEST_SCHEMA).drop("p")
 
     if trends or pairs:

@@ -63,35 +63,49 @@ def group_means(df: DataFrame, category: str, measure: str) -> DataFrame:
     return grouped.orderBy(F.desc("mean"), "level")
 
 
-def categorical_columns(df: DataFrame, max_levels: int = LEVEL_LIMIT) -> DataFrame:
-    """(position, column, levels) of the text columns with 2 to `max_levels` distinct values.
+@dataclass(frozen=True)
+class TextRoles:
+    """The date column of a table, and the text columns that may be categories."""
+
+    date: str | None
+    likely: tuple[str, ...]
+
 
-    A sketch first rules out columns that clearly hold more, so that near-unique text is never
-    shuffled to learn that it is not a category; the remaining columns are counted exactly.
+def text_roles(df: DataFrame, max_levels: int = LEVEL_LIMIT, dates: bool = True) -> TextRoles:
+    """One scan of the text columns.
+
+    The date column is the first date or timestamp column, else the first text column that reads as
+    dates in over nine of ten rows. Likely categories are those a sketch does not rule out: near-unique
+    text is never shuffled to learn that it is not a category.
     """
-    names = text_columns(df)
-    empty = fixed(df.sparkSession, [], "position int, column string, levels bigint")
+    stored, names = temporal_columns(df), text_columns(df)
+    date = stored[0] if stored else None
     if not names:
-        return empty
-    sketches = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    likely = [c for c, n in zip(names, sketches) if 1 <= n <= 10 * max_levels]
+        return TextRoles(date, ())
+    aggregates = [F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]
+    read = dates and date is None
+    if read:
+        aggregates += [(F.count(parse_date(quoted(c))) / F.count("*")).alias(f"s{i}") for i, c in enumerate(names)]
+    row = df.agg(*aggregates).first()
+    likely = tuple(c for i, c in enumerate(names) if 1 <= row[f"n{i}"] <= 10 * max_levels)
+    if read:
+        date = next((c for i, c in enumerate(names) if (row[f"s{i}"] or 0) > DATE_SHARE), None)
+    return TextRoles(date, likely)
+
+
+def categorical_columns(df: DataFrame, max_levels: int = LEVEL_LIMIT, roles: TextRoles | None = None) -> DataFrame:
+    """(position, column, levels) of the text columns with 2 to `max_levels` distinct values, counted exactly."""
+    likely = (roles or text_roles(df, max_levels, dates=False)).likely
     if not likely:
-        return empty
+        return fixed(df.sparkSession, [], "position int, column string, levels bigint")
     position = F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("column")) - 1
     levels = stacked(df, likely).distinct().groupBy("column").agg(F.count("*").alias("levels"))
     return levels.where(F.col("levels").between(2, max_levels)).select(position.cast("int").alias("position"), "column", "levels")
 
 
 def date_column(df: DataFrame) -> str | None:
-    """First date or timestamp column, else the first text column that reads as dates in over nine of ten rows."""
     stored = temporal_columns(df)
-    if stored:
-        return stored[0]
-    names = text_columns(df)
-    if not names:
-        return None
-    shares = df.agg(*[(F.count(parse_date(quoted(c))) / F.count("*")).alias(f"s{i}") for i, c in enumerate(names)])
-    return next((c for c, share in zip(names, shares.first()) if share is not None and share > DATE_SHARE), None)
+    return stored[0] if stored else text_roles(df).date
 
 
 def moment_of(df: DataFrame, column: str) -> Column:

@@ -6,13 +6,14 @@ network once per map task, and per-column results come from a second, equally co
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions import normalize_text, quoted, value_key
-from siftwell.functions.text import KEY_LENGTH, is_plain_key
+from siftwell.functions.text import is_plain_key
 from siftwell.operators.columns import columns_of_kind
+from siftwell.operators.local import fixed
 
 
 def stacked(df: DataFrame, columns: Sequence[str], cast: str | None = None) -> DataFrame:
@@ -22,18 +23,19 @@ def stacked(df: DataFrame, columns: Sequence[str], cast: str | None = None) -> D
     return long.where(F.col("value").isNotNull())
 
 
+def _text_form(df: DataFrame, name: str) -> Column:
+    data_type = df.schema[name].dataType
+    if isinstance(data_type, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
+        return F.to_json(quoted(name))
+    if isinstance(data_type, T.BinaryType):
+        return F.hex(quoted(name))
+    return quoted(name).cast("string")
+
+
 def _as_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Booleans, arrays, structs, maps and binaries in a text form that tells values apart."""
 
-    def text(name: str) -> Column:
-        data_type = df.schema[name].dataType
-        if isinstance(data_type, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
-            return F.to_json(quoted(name))
-        if isinstance(data_type, T.BinaryType):
-            return F.hex(quoted(name))
-        return quoted(name).cast("string")
-
-    return df.select(*[text(c).alias(c) for c in columns])
+    return df.select(*[_text_form(df, c).alias(c) for c in columns])
 
 
 def typed_groups(df: DataFrame, columns: Sequence[str] | None = None) -> list[tuple[str, DataFrame]]:
@@ -92,38 +94,26 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def sample_values(df: DataFrame, size: int = 4) -> DataFrame:
     """(column, sample_values): the lowest `size` distinct non-null values of every column, as text.
 
-    Ranks are limited before they are shuffled (window group limit), so no column's values gather
-    in one task. Long texts are ranked by digest and only the chosen ones are read back.
+    Each round finds the lowest value above the last one, for all columns in one ungrouped aggregate, so
+    no values are shuffled however many distinct ones there are. The outcome has one row per column.
     """
-    picks = []
-    by_value = Window.partitionBy("column").orderBy("value")
-    for kind, cells in typed_groups(df):
-        if kind in ("integer", "float", "date"):
-            distinct = cells.distinct()
-        else:
-            distinct = cells.select("column", value_key(F.col("value")).alias("value")).distinct()
-        ranked = distinct.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= size)
-        chosen = ranked.select("column", "rank", F.col("value").cast("string").alias("sample"))
-        if kind in ("text", "nested"):
-            chosen = _with_long_values(chosen, cells)
-        picks.append(chosen)
-    every = picks[0]
-    for pick in picks[1:]:
-        every = every.unionByName(pick)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "sample")))
-    return every.groupBy("column").agg(F.transform(ordered, lambda p: p["sample"]).alias("sample_values"))
-
-
-def _with_long_values(chosen: DataFrame, cells: DataFrame) -> DataFrame:
-    """Replace digests among the chosen keys (a handful per column) by the texts they stand for."""
-    digests = chosen.where(F.length("sample") == KEY_LENGTH + 1).select("column", F.col("sample").alias("key"))
-    texts = (
-        cells.where(F.length("value") > KEY_LENGTH)
-        .select("column", value_key(F.col("value")).alias("key"), "value")
-        .join(F.broadcast(digests), ["column", "key"])
-        .groupBy("column", "key")
-        .agg(F.min("value").alias("text"))
-        .withColumnRenamed("key", "sample")
-    )
-    joined = chosen.join(F.broadcast(texts), ["column", "sample"], "left")
-    return joined.select("column", "rank", F.coalesce("text", "sample").alias("sample"))
+    nested = columns_of_kind(df, "nested")
+    shown = df.select(*[_text_form(df, c).alias(c) if c in nested else quoted(c) for c in df.columns])
+    last: dict[str, Column] = {}
+    drawn: dict[str, list[str]] = {c: [] for c in df.columns}
+    left = list(df.columns)
+    for _ in range(size):
+        if not left:
+            break
+        above = [F.when(quoted(c) > last[c], quoted(c)) if c in last else quoted(c) for c in left]
+        lowest = [F.min(c).alias(f"v{i}") for i, c in enumerate(above)]
+        texts = [F.col(f"v{i}").cast("string").alias(f"t{i}") for i in range(len(left))]
+        row = shown.agg(*lowest).select(*texts).first()
+        kinds = {f.name: f.dataType for f in shown.schema}
+        for c, text in zip(list(left), row):
+            if text is None:
+                left.remove(c)
+            else:
+                drawn[c].append(text)
+                last[c] = F.lit(text).cast(kinds[c])
+    return fixed(df.sparkSession, list(drawn.items()), "column string, sample_values array<string>")

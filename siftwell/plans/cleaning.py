@@ -45,7 +45,7 @@ from siftwell.operators.transforms import (
     variant_examples,
     variant_replacements,
 )
-from siftwell.plans.storage import staged
+from siftwell.storage import staged
 
 ACTION_SCHEMA = T.StructType(
     [T.StructField("sequence", T.IntegerType())]
@@ -156,7 +156,7 @@ def propose_cleaning(df: DataFrame, focus: str | None = None, **search) -> Clean
         F.max("duplicate_rows").alias("duplicate_rows"),
         F.avg(F.col("normalized_count") / F.col("distinct_count")).alias("consistency"),
     ).withColumn("column_count", F.lit(len(df.columns)))
-    return CleaningPlan(fixed(spark, actions, ACTION_SCHEMA), scored(totals))
+    return CleaningPlan(fixed(spark, actions, ACTION_SCHEMA), collected(scored(totals)))
 
 
 def approved_ids(plan: CleaningPlan, approved: str | Iterable[str]) -> set[str]:
@@ -201,7 +201,8 @@ def apply_cleaning(df: DataFrame, plan: CleaningPlan, approved: str | Iterable[s
             failures[action["action_id"]] = f"[FAILED TO APPLY: {reason}]"
 
     for action in by_class["dropped_rows"]:
-        attempt(action, drop_duplicate_rows)
+        row_count = plan.summary.first()["row_count"]
+        attempt(action, lambda d: drop_duplicate_rows(d, row_count))
     for action in by_class["coerced_type"]:
         attempt(action, lambda d, c=action["column"]: coerce_numbers(d, [c]))
 

@@ -4,14 +4,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions import parse_number, quoted
 from siftwell.operators.columns import text_columns
 from siftwell.operators.local import fixed
-from siftwell.operators.values import stacked
 
 # Cell texts that mean "missing".
 NA_TOKENS = (
@@ -175,16 +174,22 @@ def load_delimited(
     # Spark refuses to read the raw record alone, so the condition reads a parsed field as well.
     readable = F.length(F.concat_ws("", F.col(CORRUPT), quoted(names[0]))) > 0
     surplus = F.col(CORRUPT).isNotNull() & (_field_count(F.col(CORRUPT), sep) > len(names)) & readable
+    surplus = F.coalesce(surplus, F.lit(False))
     quarantined = rows.where(surplus).select(F.col(CORRUPT).alias("record"))
-    kept = na_to_null(rows.where(~F.coalesce(surplus, F.lit(False))).drop(CORRUPT))
-    set_aside = quarantined.count()
+    kept = na_to_null(rows.where(~surplus).drop(CORRUPT))
+    # The one pass over the parsed rows at load time: rows set aside, rows kept, and what each column holds.
+    measures = [F.count_if(surplus).alias("set_aside"), F.count_if(~surplus).alias("kept")]
+    if typed:
+        measures += _type_measures(names)
+    found = na_to_null(rows.withColumn("__kept", ~surplus)).agg(*measures).first()
+    set_aside = found["set_aside"]
     if set_aside:
         notes.append(
             f"{set_aside} row(s) had a mismatched column count and were quarantined (excluded) during load."
         )
     notes += name_notes
-    data = with_types(kept) if typed else kept
-    if data.isEmpty():
+    data = _cast_measured(kept, names, found) if typed else kept
+    if not found["kept"]:
         notes.append("Loaded dataframe has zero rows.")
     return LoadedTable(data, quarantined, source_type, path, tuple(notes))
 
@@ -195,32 +200,29 @@ def _field_count(record: Column, sep: str) -> Column:
     return F.length(unquoted) - F.length(F.translate(unquoted, sep, "")) + 1
 
 
-def with_types(df: DataFrame) -> DataFrame:
-    """Cast text columns that hold nothing but whole numbers, numbers or booleans.
-
-    One pass with a per-column aggregate; columns without values stay text.
-    """
-    names = text_columns(df)
-    if not names:
-        return df
-    value = F.col("value")
-    shares = (
-        stacked(df, names)
-        .groupBy("column")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(value.rlike(r"^\s*[+-]?\d+\s*$") & value.try_cast("bigint").isNotNull()).alias("whole"),
-            F.count(parse_number(value)).alias("number"),
-            F.count_if(value.isin(*BOOLEAN_TEXTS)).alias("boolean"),
-        )
-    )
-    casts = {}
-    for r in shares.collect():
-        for name, kind in (("whole", "bigint"), ("number", "double"), ("boolean", "boolean")):
-            if r[name] == r["n"]:
-                casts[r["column"]] = kind
-                break
-    return df.select(*[quoted(c).try_cast(casts[c]).alias(c) if c in casts else quoted(c) for c in df.columns])
+def _type_measures(names: Sequence[str]) -> list[Column]:
+    """For each text column the kept values that there are, and those that read as each narrower type."""
+    measures = []
+    for i, name in enumerate(names):
+        value = F.when(F.col("__kept"), quoted(name))
+        whole = value.rlike(r"^\s*[+-]?\d+\s*$") & value.try_cast("bigint").isNotNull()
+        measures += [
+            F.count(value).alias(f"n{i}"),
+            F.count_if(whole).alias(f"bigint{i}"),
+            F.count(parse_number(value)).alias(f"double{i}"),
+            F.count_if(value.isin(*BOOLEAN_TEXTS)).alias(f"boolean{i}"),
+        ]
+    return measures
+
+
+def _cast_measured(df: DataFrame, names: Sequence[str], found: Row) -> DataFrame:
+    """Cast columns that hold nothing but whole numbers, numbers or booleans; columns without values stay text."""
+    columns = []
+    for i, name in enumerate(names):
+        n = found[f"n{i}"]
+        kind = next((k for k in ("bigint", "double", "boolean") if n and found[f"{k}{i}"] == n), None)
+        columns.append(quoted(name).try_cast(kind).alias(name) if kind else quoted(name))
+    return df.select(*columns)
 
 
 def flatten(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from siftwell.operators import transforms, values
 from siftwell.operators.findings import Lineage, analyze, caveat, findings_of, test_statistics
 from siftwell.operators.quantiles import quantiles
 from siftwell.plans.cleaning import apply_cleaning, measured, propose_cleaning, with_examples
-from siftwell.plans.storage import shared_folder
+from siftwell.storage import shared_folder
 from siftwell.sources.readers import load_json, load_table
 from verification.dirty import dirty_orders
 
