@@ -132,7 +132,7 @@ def replace_by_lookup(df: DataFrame, column: str, lookup: DataFrame, max_broadca
         joined = df.join(F.broadcast(pairs), quoted(column) == F.col("__variant"), "left")
     else:
         salted = df.withColumn("__salt", F.pmod(F.xxhash64(*map(quoted, df.columns)), F.lit(salts)))
-        spread = pairs.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+        spread = pairs.withColumn("__salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
         joined = salted.join(
             spread, (quoted(column) == F.col("__variant")) & (salted["__salt"] == spread["__salt"]), "left"
         )

@@ -10,14 +10,14 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by the session; a local session without one gets a temporary folder."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="siftwell-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="siftwell-"))
+    return context.getCheckpointDir()
 
 
 def staged(df: DataFrame) -> DataFrame:
