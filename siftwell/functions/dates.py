@@ -4,6 +4,8 @@ Each accepted notation is rewritten to ISO order and cast, so a value costs one
 notation until the first that fits and free text never reaches a date parser.
 """
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +75,11 @@ def _dated(text: Column) -> Column:
     )
 
 
+def moment_literal(moment: datetime) -> Column:
+    """A timestamp without zone, whatever the zones of driver and session."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def whole_days(start: Column, end: Column) -> Column:
     """Completed days between two timestamps without zone, not calendar boundaries crossed."""
     return F.extract(F.lit("DAY"), end - start)

@@ -137,23 +137,25 @@ def text_facts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> Dat
     )
 
 
+def _extreme_text(kind: str, c: Column) -> Column:
+    if kind == "float":
+        return number_text(c.cast("double"))
+    return c.cast("string") if kind in ("integer", "date") else F.lit(None).cast("string")
+
+
 def typed_facts(df: DataFrame, exact: bool = True) -> DataFrame:
     """(column, distinct_count, low, high) of the columns that are not text, extremes as text."""
     parts = []
     for kind, cells in typed_groups(df):
         if kind == "text":
             continue
-        show = number_text if kind == "float" else lambda c: c.cast("string")
-        if kind in ("boolean", "nested"):
-            show = lambda c: F.lit(None).cast("string")
         distinct = F.count("*") if exact else F.approx_count_distinct("value")
         values = cells.distinct() if exact else cells
         per_column = values.groupBy("column").agg(
             distinct.alias("distinct_count"), F.min("value").alias("low"), F.max("value").alias("high")
         )
-        parts.append(
-            per_column.select("column", "distinct_count", show(F.col("low")).alias("low"), show(F.col("high")).alias("high"))
-        )
+        extremes = [_extreme_text(kind, F.col(c)).alias(c) for c in ("low", "high")]
+        parts.append(per_column.select("column", "distinct_count", *extremes))
     if not parts:
         return fixed(df.sparkSession, [], "column string, distinct_count bigint, low string, high string")
     result = parts[0]

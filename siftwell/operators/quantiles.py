@@ -22,6 +22,7 @@ from siftwell.operators.local import fixed
 from siftwell.operators.values import stacked
 
 SMALL_ROWS = 250_000
+SMALL_COLUMNS = 8
 BUCKETS = 1024
 LISTED_VALUES = 50_000
 BRACKET_SCHEMA = "column string, bracket int, low double, high double, listed boolean, rank bigint"
@@ -75,6 +76,9 @@ def quantiles(
     known = dict(spans(df, columns) if known is None else known)
     wanted = [c for c in columns if known.get(c) and known[c].count > 0]
     small = [c for c in wanted if known[c].count <= small_rows]
+    # The buffers of all columns meet in one task, so they are limited together as well.
+    if sum(known[c].count for c in small) > SMALL_COLUMNS * small_rows:
+        small = []
     result = _built_in(df, small, probabilities)
     large = [c for c in wanted if c not in result]
     if large:
@@ -98,9 +102,6 @@ def _searched(
     buckets: int,
     listed_values: int,
 ) -> dict[str, list[float]]:
-    # Infinities count as the largest finite numbers, so that every bracket has a width.
-    finite = F.greatest(F.lit(-sys.float_info.max), F.least(F.lit(sys.float_info.max), F.col("value")))
-    cells = stacked(df, columns, "double").withColumn("value", finite)
     ranks = {c: sorted(_ranks(known[c].count, probabilities)) for c in columns}
     found: dict[tuple[str, int], float] = {}
     open_searches = []
@@ -115,7 +116,7 @@ def _searched(
     offsets = {(s.column, s.rank): s.rank for s in open_searches}
     while open_searches:
         still_open = []
-        narrowed = _narrow(cells, open_searches, offsets, buckets, listed_values)
+        narrowed = _narrow(df, open_searches, offsets, buckets, listed_values)
         for search in open_searches:
             key = (search.column, search.rank)
             low, high, count, before = narrowed[key]
@@ -144,14 +145,18 @@ def _interpolated(value_at, count: int, probability: float) -> float:
 
 
 def _narrow(
-    cells: DataFrame,
+    df: DataFrame,
     searches: Sequence[_Search],
     offsets: Mapping[tuple[str, int], int],
     buckets: int,
     listed_values: int,
 ) -> dict[tuple[str, int], tuple[float, float, int, int]]:
     """For each search: extremes and row count of the bucket holding its rank, and the rows below it."""
-    spark = cells.sparkSession
+    spark = df.sparkSession
+    # Infinities count as the largest finite numbers, so that every bracket has a width.
+    finite = F.greatest(F.lit(-sys.float_info.max), F.least(F.lit(sys.float_info.max), F.col("value")))
+    still_searched = list(dict.fromkeys(s.column for s in searches))
+    cells = stacked(df, still_searched, "double").withColumn("value", finite)
     brackets = {s.bracket: (i, s.count <= listed_values) for i, s in enumerate(searches)}
     # A handful of rows: at most two ranks per probability and column.
     bracket_rows = [(c, i, low, high, listed, 0) for (c, low, high), (i, listed) in brackets.items()]

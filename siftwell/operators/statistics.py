@@ -3,11 +3,12 @@
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions import parse_date, quoted, whole_days
+from siftwell.functions import moment_literal, parse_date, quoted, whole_days
 from siftwell.operators.columns import numeric_columns, temporal_columns, text_columns
 from siftwell.operators.local import fixed
 from siftwell.operators.quantiles import Span, quantiles
@@ -17,6 +18,8 @@ DESCRIBED_COLUMNS = 10
 LEVEL_LIMIT = 12
 DATE_SHARE = 0.9
 MIN_GROUP_ROWS = 3
+# Spark generates code for aggregates of up to a hundred columns.
+AGGREGATE_WIDTH = 96
 
 DESCRIPTION_SCHEMA = (
     "column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
@@ -117,37 +120,81 @@ def moment_of(df: DataFrame, column: str) -> Column:
 
 @dataclass(frozen=True)
 class Centre:
-    """Mean of a measure, and the first and last moment at which it has a value."""
+    """Mean of a measure, whether it has gaps, and the first and last moment at which it has a value."""
 
     mean: float | None
+    gaps: bool = True
     start: datetime | None = None
     end: datetime | None = None
 
 
 def centres(df: DataFrame, measures: Sequence[str], date: str | None = None, dated: Sequence[str] = ()) -> dict[str, Centre]:
-    """Centre of each measure in one scan, with dates for those in `dated`."""
+    """Centre of each measure in one scan, with dates (under the name of the date column, their gaps) for those in `dated`."""
     if not measures:
         return {}
-    aggregates = [F.avg(_double(c)).alias(f"mean{i}") for i, c in enumerate(measures)]
+    aggregates = [F.count("*").alias("rows")]
+    for i, c in enumerate(measures):
+        aggregates += [F.avg(_double(c)).alias(f"mean{i}"), F.count(quoted(c)).alias(f"n{i}")]
     if date is not None:
         df = df.withColumn("__moment", moment_of(df, date))
+        aggregates.append(F.count("__moment").alias("moments"))
         for i, c in enumerate(measures):
             if c in dated:
                 moment = F.when(quoted(c).isNotNull(), F.col("__moment"))
                 aggregates += [F.min(moment).alias(f"start{i}"), F.max(moment).alias(f"end{i}")]
     row = df.agg(*aggregates).first().asDict()
-    return {c: Centre(row[f"mean{i}"], row.get(f"start{i}"), row.get(f"end{i}")) for i, c in enumerate(measures)}
+    found = {
+        c: Centre(row[f"mean{i}"], row[f"n{i}"] < row["rows"], row.get(f"start{i}"), row.get(f"end{i}"))
+        for i, c in enumerate(measures)
+    }
+    if date is not None:
+        found[date] = Centre(None, row["moments"] < row["rows"])
+    return found
+
+
+@dataclass(frozen=True)
+class _Test:
+    """One regression: expressions of x and y, names that tell equal expressions apart from others, and offsets."""
+
+    kind: str
+    x: str
+    y: str
+    x_key: str
+    x_value: Column
+    y_value: Column
+    x_offset: float
+    y_offset: float
+    gaps: bool
+    first: tuple[str, Column]
+    last: tuple[str, Column]
+
+    def sums(self) -> dict[str, tuple[str, Column]]:
+        """Field -> (key, aggregate). Without gaps, tests of the same column share its sums."""
+        x, y = self.x_value, self.y_value
+        both = f" with {self.x_key} and {self.y}" if self.gaps else ""
+
+        def kept(c: Column) -> Column:
+            return F.when(x.isNotNull() & y.isNotNull(), c) if self.gaps else c
+
+        fields = {"n": (f"n{both}", F.count(kept(x)))}
+        for side, key, c in (("x", self.x_key, x), ("y", self.y, y)):
+            fields[f"sum_{side}"] = (f"sum {key}{both}", F.sum(kept(c)))
+            fields[f"sum_{side}{side}"] = (f"squares {key}{both}", F.sum(kept(c * c)))
+            fields[f"low_{side}"] = (f"low {key}{both}", F.min(kept(c)))
+            fields[f"high_{side}"] = (f"high {key}{both}", F.max(kept(c)))
+        fields["sum_xy"] = (f"products {self.x_key} and {self.y}", F.sum(x * y))
+        return fields | {"first": self.first, "last": self.last}
 
 
 def pair_table(
     df: DataFrame, pairs: Sequence[tuple[str, str]], date: str | None = None, trends: Sequence[str] = ()
 ) -> DataFrame:
-    """Moments of every trend and correlation test, one row per test, from two scans.
+    """Moments of every trend and correlation test, one row per test.
 
-    Columns: sequence, kind, x, y, n, r, slope, intercept, low_x, high_x, first, last.
-    Each row is laid out once per test and summed per test before the shuffle, so a task sends one
-    row of sums per test. Values are centred on their column mean first, which keeps plain sums of
-    squares accurate and cheap. Correlation pairs carry no first and last value.
+    Columns: sequence, kind, x, y, n, r, slope, intercept, low_x, high_x, first, last. One scan finds the
+    centres; a second one takes plain sums of the centred values, which is accurate and stays within
+    generated code. Sums are shared between tests; tables with gaps need sums of their own for each
+    pair, and are scanned again when one aggregate would get too wide. No rows are shuffled.
     """
     measures = list(dict.fromkeys([*trends, *[c for pair in pairs for c in pair]]))
     middle = centres(df, measures, date, trends)
@@ -158,73 +205,82 @@ def pair_table(
     def centred(name: str) -> Column:
         return _double(name) - F.lit(middle[name].mean)
 
-    missing = F.lit(None).cast("double")
-    tests, cells = [], []
+    nothing = ("nothing", F.max(F.lit(None).cast("double")))
+    tests = []
     for y in dated:
-        moment, start, end = F.col("__moment"), F.lit(middle[y].start), F.lit(middle[y].end)
-        days = whole_days(start.cast("timestamp_ntz"), moment).cast("double")
+        moment, start, end = F.col("__moment"), moment_literal(middle[y].start), moment_literal(middle[y].end)
         half_span = (middle[y].end - middle[y].start).days / 2
-        tests.append(("trend", date, y, half_span))
-        at_start = F.when(moment == start.cast("timestamp_ntz"), _double(y))
-        at_end = F.when(moment == end.cast("timestamp_ntz"), _double(y))
-        cells.append((days - half_span, centred(y), at_start, at_end))
+        days = whole_days(start, moment).cast("double") - half_span
+        first = (f"first {y}", F.min(F.when(moment == start, _double(y))))
+        last = (f"last {y}", F.max(F.when(moment == end, _double(y))))
+        gaps = middle[y].gaps or middle[date].gaps
+        key = f"days from {middle[y].start}"
+        tests.append(_Test("trend", date, y, key, days, centred(y), half_span, middle[y].mean, gaps, first, last))
     for x, y in pairs:
         if middle[x].mean is not None and middle[y].mean is not None:
-            tests.append(("pair", x, y, middle[x].mean))
-            cells.append((centred(x), centred(y), missing, missing))
+            gaps = middle[x].gaps or middle[y].gaps
+            values = (centred(x), centred(y), middle[x].mean, middle[y].mean)
+            tests.append(_Test("pair", x, y, x, *values, gaps, nothing, nothing))
     if not tests:
         return fixed(df.sparkSession, [], PAIR_SCHEMA)
-
-    laid_out = F.array(
-        *[
-            F.struct(F.lit(i).alias("test"), x.alias("x"), y.alias("y"), first.alias("first"), last.alias("last"))
-            for i, (x, y, first, last) in enumerate(cells)
-        ]
-    )
-    x, y, n = F.col("x"), F.col("y"), F.col("n")
-    sums = (
-        df.select(F.inline(laid_out))
-        .where(x.isNotNull() & y.isNotNull())
-        .groupBy("test")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("x").alias("sum_x"),
-            F.sum("y").alias("sum_y"),
-            F.sum(x * x).alias("sum_xx"),
-            F.sum(y * y).alias("sum_yy"),
-            F.sum(x * y).alias("sum_xy"),
-            F.min("x").alias("low_x"),
-            F.max("x").alias("high_x"),
-            F.min("y").alias("low_y"),
-            F.max("y").alias("high_y"),
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
-        )
-    )
-    labels = [(i, kind, x_, y_, float(x0), middle[y_].mean) for i, (kind, x_, y_, x0) in enumerate(tests)]
-    label_schema = "test int, kind string, x_name string, y_name string, x0 double, y0 double"
-    labelled = sums.join(F.broadcast(fixed(df.sparkSession, labels, label_schema)), "test")
+    sums = reduce(DataFrame.unionByName, [_summed(df, batch) for batch in _batches(tests)])
+    return sums.where(F.col("n") > 0).select(*_regression())
+
+
+def _batches(tests: Sequence[_Test]) -> list[dict[int, _Test]]:
+    """Tests by sequence number, grouped so that each group needs a bounded number of distinct sums."""
+    batches: list[dict[int, _Test]] = []
+    keys: set[str] = set()
+    for i, test in enumerate(tests):
+        needed = {key for key, _ in test.sums().values()}
+        if not batches or len(keys | needed) > AGGREGATE_WIDTH:
+            batches.append({})
+            keys = set()
+        keys |= needed
+        batches[-1][i] = test
+    return batches
+
+
+def _summed(df: DataFrame, batch: dict[int, _Test]) -> DataFrame:
+    """One row of sums per test from one ungrouped aggregate."""
+    names: dict[str, str] = {}
+    aggregates, rows = [], []
+    for i, test in batch.items():
+        fields = []
+        for field, (key, aggregate) in test.sums().items():
+            if key not in names:
+                names[key] = f"a{len(names)}"
+                aggregates.append(aggregate.alias(names[key]))
+            fields.append(F.col(names[key]).alias(field))
+        labels = {"sequence": i, "kind": test.kind, "x": test.x, "y": test.y, "x0": float(test.x_offset), "y0": float(test.y_offset)}
+        rows.append(F.struct(*[F.lit(v).alias(k) for k, v in labels.items()], *fields))
+    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+
+
+def _regression() -> list[Column]:
+    """The columns of the pair table from sums of centred values."""
+    n = F.col("n")
     sxx = F.col("sum_xx") - F.col("sum_x") * F.col("sum_x") / n
     syy = F.col("sum_yy") - F.col("sum_y") * F.col("sum_y") / n
     sxy = F.col("sum_xy") - F.col("sum_x") * F.col("sum_y") / n
-    varies = (F.col("low_x") < F.col("high_x")) & (F.col("low_y") < F.col("high_y"))
-    slope = F.when(F.col("low_x") < F.col("high_x"), F.try_divide(sxy, sxx))
-    r = F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy)))))
+    x_varies, y_varies = (F.col("low_x") < F.col("high_x")) & (sxx > 0), (F.col("low_y") < F.col("high_y")) & (syy > 0)
+    slope = F.when(x_varies, F.try_divide(sxy, sxx))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy))))
     level = F.col("sum_y") / n + F.col("y0")
-    return labelled.select(
-        F.col("test").alias("sequence"),
-        "kind",
-        F.col("x_name").alias("x"),
-        F.col("y_name").alias("y"),
-        "n",
-        r.alias("r"),
+    return [
+        F.col("sequence"),
+        F.col("kind"),
+        F.col("x"),
+        F.col("y"),
+        n,
+        F.when(x_varies & y_varies, r).alias("r"),
         slope.alias("slope"),
         (level - slope * (F.col("sum_x") / n + F.col("x0"))).alias("intercept"),
         (F.col("low_x") + F.col("x0")).alias("low_x"),
         (F.col("high_x") + F.col("x0")).alias("high_x"),
-        "first",
-        "last",
-    )
+        F.col("first"),
+        F.col("last"),
+    ]
 
 
 def correlation_t(r: Column, n: Column) -> Column:

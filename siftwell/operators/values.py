@@ -42,8 +42,15 @@ def typed_groups(df: DataFrame, columns: Sequence[str] | None = None) -> list[tu
     """(kind, stacked cells) per physical kind, so that no value is cast to text to be counted."""
     wanted = set(df.columns if columns is None else columns)
     groups = []
+    decimals: dict[str, list[str]] = {}
+    for f in df.schema:
+        if f.name in wanted and isinstance(f.dataType, T.DecimalType):
+            decimals.setdefault(f.dataType.simpleString(), []).append(f.name)
+    for cast, names in decimals.items():
+        groups.append(("float", stacked(df, names, cast)))
+    exact = {name for names in decimals.values() for name in names}
     for kind, cast in (("integer", "bigint"), ("float", "double"), ("date", "timestamp_ntz")):
-        names = [c for c in columns_of_kind(df, kind) if c in wanted]
+        names = [c for c in columns_of_kind(df, kind) if c in wanted and c not in exact]
         if names:
             groups.append((kind, stacked(df, names, cast)))
     for kind in ("text", "boolean", "nested"):

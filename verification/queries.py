@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import (
+    moment_literal,
     normalize_text,
     parse_date,
     parse_number,
@@ -170,7 +171,7 @@ def state_codes(spark, sf_dir):
 @query
 def days_since_first(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    start = F.lit(events.agg(F.min("ts")).first()[0]).cast("timestamp_ntz")
+    start = moment_literal(events.agg(F.min("ts")).first()[0])
     return events.select("event_id", whole_days(start, F.col("ts")).cast("bigint").alias("days"))
 
 
