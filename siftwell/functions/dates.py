@@ -52,7 +52,11 @@ def _short_year(text: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """Timestamp written in the text, month first where the order is open, null otherwise."""
-    text = F.upper(strip(c))
+    return parse_clean_date(F.upper(strip(c)))
+
+
+def parse_clean_date(text: Column) -> Column:
+    """parse_date of text that is already stripped and in upper case."""
     # No accepted notation is longer than this or lacks two digits in a row.
     return F.when((F.length(text) <= _LONGEST) & text.rlike(r"\d\d"), _dated(text))
 

@@ -13,7 +13,7 @@ from siftwell.functions import (
     has_fraction,
     normalize_text,
     number_text,
-    parse_date,
+    parse_clean_date,
     parse_number,
     parse_number_lenient,
     quoted,
@@ -78,13 +78,15 @@ def _share_counts() -> list[Column]:
     ]
 
 
-def _readings(norm: Column) -> list[Column]:
-    # Numbers and dates read the same from normalised text as from the raw cell.
-    return [
-        parse_number(norm).alias("number"),
-        parse_number_lenient(norm).alias("lenient"),
-        parse_date(norm).alias("moment"),
-    ]
+def _with_readings(df: DataFrame, norm: str) -> DataFrame:
+    """Add what the text reads as; numbers and dates read the same from normalised text as from the raw cell."""
+    # Upper case in a step of its own, so that it is evaluated once and not in every notation of dates.
+    return df.withColumn("upper", F.upper(norm)).select(
+        "*",
+        parse_number(F.col(norm)).alias("number"),
+        parse_number_lenient(F.col(norm)).alias("lenient"),
+        parse_clean_date(F.col("upper")).alias("moment"),
+    )
 
 
 def text_facts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
@@ -99,7 +101,7 @@ def text_facts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> Dat
             "column", "value", norm.alias("norm"), F.lit(1).alias("n"), F.length("value").alias("chars")
         )
         return (
-            rows.select("*", state_code_of_normalized(F.col("norm")).alias("state"), *_readings(F.col("norm")))
+            _with_readings(rows.withColumn("state", state_code_of_normalized(F.col("norm"))), "norm")
             .groupBy("column")
             .agg(
                 *_share_counts(),
@@ -124,7 +126,7 @@ def text_facts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> Dat
         )
     )
     return (
-        spellings.select("*", *_readings(norm))
+        _with_readings(spellings, "norm_key")
         .groupBy("column")
         .agg(
             *_share_counts(),

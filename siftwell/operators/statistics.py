@@ -173,8 +173,10 @@ class _Test:
         x, y = self.x_value, self.y_value
         both = f" with {self.x_key} and {self.y}" if self.gaps else ""
 
+        present = x.isNotNull() & y.isNotNull()
+
         def kept(c: Column) -> Column:
-            return F.when(x.isNotNull() & y.isNotNull(), c) if self.gaps else c
+            return F.when(present, c) if self.gaps else c
 
         fields = {"n": (f"n{both}", F.count(kept(x)))}
         for side, key, c in (("x", self.x_key, x), ("y", self.y, y)):
@@ -223,31 +225,35 @@ def pair_table(
             tests.append(_Test("pair", x, y, x, *values, gaps, nothing, nothing))
     if not tests:
         return fixed(df.sparkSession, [], PAIR_SCHEMA)
-    sums = reduce(DataFrame.unionByName, [_summed(df, batch) for batch in _batches(tests)])
+    sums = reduce(DataFrame.union, [_summed(df, batch) for batch in _batches(tests)])
     return sums.where(F.col("n") > 0).select(*_regression())
 
 
-def _batches(tests: Sequence[_Test]) -> list[dict[int, _Test]]:
-    """Tests by sequence number, grouped so that each group needs a bounded number of distinct sums."""
-    batches: list[dict[int, _Test]] = []
+Sums = dict[str, tuple[str, Column]]
+
+
+def _batches(tests: Sequence[_Test]) -> list[list[tuple[int, _Test, Sums]]]:
+    """Numbered tests with their sums, grouped so that each group needs a bounded number of distinct sums."""
+    batches: list[list[tuple[int, _Test, Sums]]] = []
     keys: set[str] = set()
     for i, test in enumerate(tests):
-        needed = {key for key, _ in test.sums().values()}
+        sums = test.sums()
+        needed = {key for key, _ in sums.values()}
         if not batches or len(keys | needed) > AGGREGATE_WIDTH:
-            batches.append({})
+            batches.append([])
             keys = set()
         keys |= needed
-        batches[-1][i] = test
+        batches[-1].append((i, test, sums))
     return batches
 
 
-def _summed(df: DataFrame, batch: dict[int, _Test]) -> DataFrame:
+def _summed(df: DataFrame, batch: Sequence[tuple[int, _Test, Sums]]) -> DataFrame:
     """One row of sums per test from one ungrouped aggregate."""
     names: dict[str, str] = {}
     aggregates, rows = [], []
-    for i, test in batch.items():
+    for i, test, sums in batch:
         fields = []
-        for field, (key, aggregate) in test.sums().items():
+        for field, (key, aggregate) in sums.items():
             if key not in names:
                 names[key] = f"a{len(names)}"
                 aggregates.append(aggregate.alias(names[key]))
