@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.special import p_value
 from siftwell.operators.columns import numeric_columns
-from siftwell.operators.local import collected, fixed
+from siftwell.operators.local import collected, fixed, together
 from siftwell.operators.statistics import (
     TextRoles,
     categorical_columns,
@@ -230,4 +230,5 @@ def findings_of(df: DataFrame, log: DataFrame | None = None, limit: int = MAX_FI
 
 def analyze(df: DataFrame, log: DataFrame | None = None, goal: str | None = None, **caps) -> AnalysisResult:
     """Findings and descriptive statistics. At most `limit` findings come back, so they are fixed here once."""
-    return AnalysisResult(collected(findings_of(df, log, **caps)), describe(df), goal)
+    found, described = together(df.sparkSession, lambda: collected(findings_of(df, log, **caps)), lambda: describe(df))
+    return AnalysisResult(found, described, goal)

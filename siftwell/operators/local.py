@@ -1,8 +1,10 @@
-"""Small result tables fixed on the driver."""
+"""Small result tables fixed on the driver, and independent jobs at the same time."""
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -24,3 +26,10 @@ def fixed(spark: SparkSession, rows: Iterable, schema: T.StructType | str) -> Da
 def collected(df: DataFrame) -> DataFrame:
     """`df` computed once; only for tables whose size does not grow with the data."""
     return fixed(df.sparkSession, df.collect(), df.schema)
+
+
+def together(spark: SparkSession, *tasks: Callable) -> list:
+    """Results of independent tasks whose jobs share the cluster instead of waiting for each other."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]
+        return [task.result() for task in running]

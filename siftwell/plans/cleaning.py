@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.operators.columns import kind_of, numeric_columns, text_columns
+from siftwell.operators.columns import kind_of, text_columns
 from siftwell.operators.detectors import (
     ACTION_COLUMNS,
     detect_case_variants,
@@ -28,7 +28,7 @@ from siftwell.operators.detectors import (
 )
 from siftwell.operators.duplicates import drop_duplicate_rows, duplicate_count
 from siftwell.operators.facts import scan_facts, text_facts
-from siftwell.operators.local import collected, fixed
+from siftwell.operators.local import collected, fixed, together
 from siftwell.operators.outliers import iqr_fences, outlier_counts
 from siftwell.operators.quality import quality_score, scored
 from siftwell.operators.quantiles import Span
@@ -92,15 +92,17 @@ class CleaningResult:
         return before.unionByName(after, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
 
 
-def measured(df: DataFrame) -> DataFrame:
-    """Scan and text facts of every column: what the detectors read. One row per column."""
-    facts = scan_facts(df)
+def _text_part(df: DataFrame) -> DataFrame:
+    """Facts of the text columns; an empty table with the same columns if there are none."""
     names = text_columns(df)
     if names:
-        return facts.join(F.broadcast(text_facts(df, names)), "column", "left")
-    schema = text_facts(df.select(F.lit("").alias("c")), ["c"]).schema
-    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "column"]
-    return facts.select("*", *absent)
+        return text_facts(df, names)
+    return text_facts(df.select(F.lit("").alias("none")).limit(0), ["none"])
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """Scan and text facts of every column: what the detectors read. One row per column."""
+    return scan_facts(df).join(F.broadcast(_text_part(df)), "column", "left")
 
 
 def with_examples(df: DataFrame, facts: DataFrame) -> DataFrame:
@@ -122,27 +124,30 @@ def propose_cleaning(df: DataFrame, focus: str | None = None, **search) -> Clean
     if focus is not None and focus not in df.columns:
         raise ValueError(f"no column {focus!r} to focus on")
     spark = df.sparkSession
-    # Independent stages of one query, so that scan, value and duplicate passes run side by side.
-    everything = measured(df).unionByName(duplicate_count(df), allowMissingColumns=True)
-    rows = everything.collect()
-    facts = fixed(spark, rows, everything.schema)
-    duplicates = facts.where(F.col("column").isNull()).select("duplicate_rows")
-    columns = facts.where(F.col("column").isNotNull())
-
+    scanned = scan_facts(df)
+    rows = scanned.collect()
     known = {
         r["column"]: Span(r["row_count"] - r["null_count"], r["min_number"], r["max_number"])
         for r in rows
         if r["min_number"] is not None
     }
-    fences = iqr_fences(df, known=known, **search) if numeric_columns(df) else {}
-    described = with_examples(df, columns)
+    # Texts and duplicates in one query whose stages run side by side, next to the outlier search.
+    read = _text_part(df).unionByName(duplicate_count(df), allowMissingColumns=True)
+    read_rows, fences = together(
+        spark, read.collect, lambda: collected(outlier_counts(df, iqr_fences(df, known=known, **search)))
+    )
+    texts = fixed(spark, read_rows, read.schema)
+    duplicates = texts.where(F.col("column").isNull()).select("duplicate_rows")
+    per_column = texts.where(F.col("column").isNotNull()).drop("duplicate_rows")
+    facts = collected(fixed(spark, rows, scanned.schema).join(F.broadcast(per_column), "column", "left"))
+    described = collected(with_examples(df, facts))
     proposals = [
         detect_duplicates(duplicates),
         detect_missing(described),
         detect_numeric_text(described),
         detect_state_variants(described),
         detect_case_variants(described),
-        detect_outliers(outlier_counts(df, fences)),
+        detect_outliers(fences),
     ]
     # A few actions per column of the table at most; over fixed facts they are found without a job.
     proposed = sorted(chain.from_iterable(p.collect() for p in proposals), key=lambda r: (r["stage"], r["position"]))
@@ -153,9 +158,10 @@ def propose_cleaning(df: DataFrame, focus: str | None = None, **search) -> Clean
     totals = facts.agg(
         F.max("row_count").alias("row_count"),
         F.sum("null_count").alias("null_cells"),
-        F.max("duplicate_rows").alias("duplicate_rows"),
         F.avg(F.col("normalized_count") / F.col("distinct_count")).alias("consistency"),
-    ).withColumn("column_count", F.lit(len(df.columns)))
+        F.lit(len(df.columns)).alias("column_count"),
+        F.lit(duplicates.first()["duplicate_rows"]).alias("duplicate_rows"),
+    )
     return CleaningPlan(fixed(spark, actions, ACTION_SCHEMA), collected(scored(totals)))
 
 
