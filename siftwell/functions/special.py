@@ -6,12 +6,17 @@ elementary power plus a few closed terms, so one continued fraction serves both.
 """
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The few functions below travel with the plan, so that executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _LARGE_DF = 1e5
 
 

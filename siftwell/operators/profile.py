@@ -64,7 +64,8 @@ def _extreme(number: str, moment: str, typed: str) -> Column:
 
 def _measured(df: DataFrame, exact: bool) -> DataFrame:
     """Scan facts joined with value facts; every side has one row per column of the table."""
-    joined = scan_facts(df).join(F.broadcast(typed_facts(df, exact).withColumnRenamed("distinct_count", "typed_distinct")), "column", "left")
+    typed = typed_facts(df, exact).withColumnRenamed("distinct_count", "typed_distinct")
+    joined = scan_facts(df).join(F.broadcast(typed), "column", "left")
     names = text_columns(df)
     if names:
         joined = joined.join(F.broadcast(text_facts(df, names, exact)), "column", "left")

@@ -421,6 +421,17 @@ def null_rows(columns, source: str = "dirty") -> str:
     )
 
 
+def kind_rows(columns, source: str = "dirty") -> str:
+    def extreme(c: str, kind: str, which: str) -> str:
+        return f"{which}({c})::DOUBLE" if kind in ("integer", "float") else "CAST(NULL AS DOUBLE)"
+
+    return union(
+        f"SELECT {i} AS position, '{c}' AS \"column\", '{kind}' AS kind, count(*) AS row_count, count(*) - count({c}) AS null_count, "
+        f"{extreme(c, kind, 'min')} AS min_number, {extreme(c, kind, 'max')} AS max_number FROM {source}"
+        for i, (c, kind) in enumerate(columns)
+    )
+
+
 def distinct_rows(source: str, columns) -> str:
     return union(
         f"SELECT {i} AS position, '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count FROM {source}"
@@ -446,7 +457,7 @@ TREND_COLUMNS = "y, n, round(r, 6) + 0 AS r, round(slope, 6) + 0 AS slope, round
 
 ORACLES: dict[str, str] = {
     "profile_nulls": f"WITH {DIRTY} {null_rows(DIRTY_COLUMNS)}",
-    "column_kinds": union(f"SELECT {i} AS position, '{c}' AS \"column\", '{k}' AS kind" for i, (c, k) in enumerate(DIRTY_COLUMNS)),
+    "column_kinds": f"WITH {DIRTY} {kind_rows(DIRTY_COLUMNS)}",
     "profile_distinct": distinct_rows("lineitem", LINEITEM_COLUMNS),
     "profile_distinct_documents": distinct_rows("documents", DOCUMENT_COLUMNS),
     "profile_minmax": extremes(LINEITEM_COLUMNS, f"WITH {STATES}, {facts('lineitem', LINEITEM_COLUMNS)}", typed_extremes("lineitem", LINEITEM_COLUMNS)),

@@ -66,7 +66,7 @@ def profile_nulls(spark, sf_dir):
 
 @query
 def column_kinds(spark, sf_dir):
-    return facts.scan_facts(dirty_orders(spark, sf_dir)).select("position", "column", "kind")
+    return facts.scan_facts(dirty_orders(spark, sf_dir))
 
 
 @query
