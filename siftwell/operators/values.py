@@ -5,6 +5,7 @@ network once per map task, and per-column results come from a second, equally co
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,16 +87,18 @@ def text_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value) with each column's most frequent value as text, the lowest on ties."""
+    """(column, value) with each column's most frequent value as text, the lowest on ties.
+
+    The highest count per column comes first and the values that reach it second, both from the same
+    shuffled counts, so that distinct values are hashed and never sorted.
+    """
     tops = []
     for _, cells in typed_groups(df, columns):
         counted = cells.groupBy("column", "value").agg(F.count("*").alias("n"))
-        best = F.min(F.struct((-F.col("n")).alias("rank"), "value"))["value"]
-        tops.append(counted.groupBy("column").agg(best.cast("string").alias("value")))
-    result = tops[0]
-    for top in tops[1:]:
-        result = result.unionByName(top)
-    return result
+        highest = counted.groupBy("column").agg(F.max("n").alias("n"))
+        most = counted.join(F.broadcast(highest), ["column", "n"]).groupBy("column").agg(F.min("value").alias("value"))
+        tops.append(most.select("column", F.col("value").cast("string").alias("value")))
+    return reduce(DataFrame.unionByName, tops)
 
 
 def sample_values(df: DataFrame, size: int = 4) -> DataFrame:
