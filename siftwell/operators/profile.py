@@ -34,19 +34,23 @@ def empty_columns(df: DataFrame) -> DataFrame:
 def _logical_type() -> Column:
     """Logical type of a column: its physical kind, or for text the first reading that fits."""
     non_null = F.col("row_count") - F.col("null_count")
-    unique_share = F.col("distinct_count") / non_null
+
+    def share(count: str) -> Column:
+        return F.try_divide(F.col(count), non_null)
+
+    unique_share = share("distinct_count")
     return (
         F.when(non_null == 0, "unknown")
         .when(F.col("kind").isin("boolean", "integer", "float", "date"), F.col("kind"))
         .when(
-            F.col("numeric_count") / non_null > RECOGNISED_SHARE,
+            share("numeric_count") > RECOGNISED_SHARE,
             F.when(F.col("has_fraction"), "float").otherwise("integer"),
         )
-        .when(F.col("date_count") / non_null > RECOGNISED_SHARE, "date")
+        .when(share("date_count") > RECOGNISED_SHARE, "date")
         .when(F.col("distinct_count") <= 1, "constant")
         .when(
             (F.col("kind") == "text") & (unique_share > IDENTIFIER_SHARE),
-            F.when(F.col("chars") / non_null <= IDENTIFIER_LENGTH, "identifier").otherwise("text"),
+            F.when(share("chars") <= IDENTIFIER_LENGTH, "identifier").otherwise("text"),
         )
         .when((unique_share < CATEGORICAL_SHARE) | (F.col("distinct_count") <= CATEGORICAL_VALUES), "categorical")
         .otherwise("text")

@@ -88,7 +88,7 @@ def text_roles(df: DataFrame, max_levels: int = LEVEL_LIMIT, dates: bool = True)
     aggregates = [F.approx_count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]
     read = dates and date is None
     if read:
-        aggregates += [(F.count(parse_date(quoted(c))) / F.count("*")).alias(f"s{i}") for i, c in enumerate(names)]
+        aggregates += [F.try_divide(F.count(parse_date(quoted(c))), F.count("*")).alias(f"s{i}") for i, c in enumerate(names)]
     row = df.agg(*aggregates).first()
     likely = tuple(c for i, c in enumerate(names) if 1 <= row[f"n{i}"] <= 10 * max_levels)
     if read:

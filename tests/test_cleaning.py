@@ -123,6 +123,24 @@ def test_failing_actions_are_logged(messy, plan):
     assert result.data.where("grade IS NULL").count() == 0
 
 
+def test_other_types_are_cleaned_too(spark):
+    df = spark.range(60).select(
+        "id",
+        F.create_map(F.lit("k"), F.col("id") % 3).alias("m"),
+        F.when(F.col("id") % 10 != 3, (F.col("id") / 7).cast("decimal(20,6)")).alias("dec"),
+        F.when(F.col("id") % 12 != 1, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 20).cast("int"))).alias("day"),
+        F.when(F.col("id") % 15 != 0, F.col("id") % 2 == 0).alias("flag"),
+        F.when(F.col("id") % 11 != 0, F.array(F.col("id") % 2)).alias("list"),
+    )
+    df = df.unionByName(df.where("id < 4"))
+    result = apply_cleaning(df, propose_cleaning(df), "all")
+    assert result.data.count() == 60
+    assert result.data.where("dec IS NULL OR day IS NULL OR flag IS NULL").count() == 0
+    assert dict(result.data.dtypes)["day"] == "date" and dict(result.data.dtypes)["flag"] == "boolean"
+    # A list has no mode that could be written back; the log says so and the rest goes on.
+    assert [r["column"] for r in result.rejected.collect()] == ["list"]
+
+
 def test_execution_order():
     assert EXECUTION_ORDER.index("coerced_type") < EXECUTION_ORDER.index("imputed") < EXECUTION_ORDER.index("flagged_not_dropped")
 

@@ -241,3 +241,28 @@ def test_trendline_needs_spread(spark):
     df = spark.range(10).select(F.lit(1.0).alias("x"), F.col("id").alias("y"))
     assert trendline(df, "x", "y").count() == 0
     assert trendline(df, "y", "x").count() == 50
+
+
+def test_tables_without_rows_or_plain_columns(spark):
+    empty = spark.createDataFrame([], "a string, b int, c date")
+    assert analyze(empty).findings.count() == 0
+    assert {r["inferred_type"] for r in column_profile(empty).collect()} == {"unknown"}
+    nested = spark.range(5).select(F.array("id").alias("a"), F.create_map(F.lit("k"), F.col("id")).alias("m"))
+    assert analyze(nested).findings.count() == 0
+    assert [r["unique_count"] for r in column_profile(nested).orderBy("position").collect()] == [5, 5]
+
+
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    df = spark.range(40).select(
+        F.expr("timestamp_ntz'2024-03-09 12:00:00' + make_interval(0, 0, 0, 0, CAST(id * 7 AS INT), 0, 0)").alias("t"),
+        (F.col("id") * 2).alias("v"),
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        tables = []
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            tables.append(pair_table(df, [], "t", ["v"]).collect())
+        assert tables[0] == tables[1] and tables[0][0]["first"] == 0 and tables[0][0]["last"] == 78
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
