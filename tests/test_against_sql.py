@@ -2,10 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from verification.compare import connect, difference
-
-QUERIES, ORACLES = queries(), oracle_sql()
+from verification.oracles import ORACLES
+from verification.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
