@@ -2,9 +2,10 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import mixing, quality_rules
+from siftwell.llm import bpe, mixing, quality_rules, token_files
 from siftwell.llm.shared import ship, table
 
 
@@ -16,8 +17,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(files)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op7_mixing)
+    f.__name__: f for f in (op1_quality_rules, op7_mixing, op8_token_files, op9_bpe)
 }
 
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.REPORT_SQL}
