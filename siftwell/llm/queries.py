@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import bpe, language, mixing, quality_model, quality_rules, token_files
+from siftwell.llm import bpe, jaccard_join, language, mixing, quality_model, quality_rules, token_files
 from siftwell.llm.shared import ship, table
 
 
@@ -13,6 +13,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op5_language, op6_quality_model, op7_mixing, op8_token_files, op9_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op5_language, op6_quality_model, op7_mixing, op8_token_files, op9_bpe)
 }
 
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.REPORT_SQL}
