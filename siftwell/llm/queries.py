@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import bpe, jaccard_join, language, mixing, quality_model, quality_rules, token_files
+from siftwell.llm import bpe, chat, jaccard_join, language, mixing, neighbours, pii, quality_model, quality_rules, token_files
 from siftwell.llm.shared import ship, table
 
 
@@ -17,6 +17,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
@@ -38,8 +46,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op5_language, op6_quality_model, op7_mixing, op8_token_files, op9_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_chat, op4_pii, op5_language, op6_quality_model, op7_mixing, op8_token_files, op9_bpe, op10_neighbours)
 }
 
-ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.REPORT_SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.REPORT_SQL, "op3_chat": chat.REPORT_SQL}
