@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from siftwell.functions import parse_number, quoted
 from siftwell.operators.columns import text_columns
 from siftwell.operators.local import fixed
+from siftwell.storage import staged
 
 # Cell texts that mean "missing".
 NA_TOKENS = (
@@ -22,8 +23,10 @@ NA_TOKENS = (
 ENVELOPE_KEYS = ("records", "data", "rows", "results", "items")
 
 BOOLEAN_TEXTS = ("True", "False", "TRUE", "FALSE", "true", "false")
-FORMATS = {"csv": "csv", "tsv": "tsv", "json": "json", "parquet": "parquet"}
-CORRUPT = "_corrupt_record"
+FORMATS = {"csv": "csv", "txt": "csv", "tsv": "tsv", "json": "json", "jsonl": "json", "parquet": "parquet"}
+# Suffixes of compressed files.
+COMPRESSION = ("gz", "bz2", "zst", "lz4", "snappy", "deflate")
+CORRUPT, SURPLUS, FILE = "_corrupt_record", "_surplus_fields", "_source_file"
 ROW_SAMPLE = 5
 
 
@@ -57,12 +60,18 @@ class LoadedTable:
 
 
 def detect_format(path: str) -> str:
-    """csv, tsv, json or parquet by extension; csv without one; workbooks and other known formats are refused."""
-    name = path.rstrip("/").rsplit("/", 1)[-1]
-    extension = name.rsplit(".", 1)[-1].lower() if "." in name else ""
-    if extension in ("xlsx", "xls"):
-        raise ValueError("workbooks are not read here; export the first sheet as CSV")
-    return FORMATS.get(extension, "csv")
+    """csv, tsv, json or parquet by extension, which a suffix of compression may follow; csv without one.
+
+    Other extensions are refused; pass the format to `load_table` for folders with a dot in their name.
+    """
+    parts = path.rstrip("/").rsplit("/", 1)[-1].lower().split(".")
+    while len(parts) > 1 and parts[-1] in COMPRESSION:
+        parts.pop()
+    if len(parts) == 1:
+        return "csv"
+    if parts[-1] not in FORMATS:
+        raise ValueError(f"unsupported file type .{parts[-1]}; csv, tsv, json and parquet are read")
+    return FORMATS[parts[-1]]
 
 
 def load_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> LoadedTable:
@@ -120,11 +129,13 @@ def tidy_names(raw: Sequence[str | None]) -> tuple[list[str], list[str]]:
     return names, notes
 
 
-def invalid_utf8_files(spark: SparkSession, path: str) -> list[str]:
-    """Paths of the files that are not UTF-8; only these reach the driver."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    bad = lines.where(~F.is_valid_utf8("value")).select("file").distinct()
-    return [r["file"] for r in bad.collect()]
+def _file_facts(spark: SparkSession, path: str, measures: dict[str, Column]) -> DataFrame:
+    """One row per file: `first`, its first line with something on it, and `measures` over all such lines."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # Ids rise within a block, and blocks are ordered by where they start.
+    lines = lines.withColumns({"place": F.struct("block", F.monotonically_increasing_id())})
+    return lines.groupBy("file").agg(F.min_by("value", "place").alias("first"), *[m.alias(n) for n, m in measures.items()])
 
 
 def load_delimited(
@@ -133,55 +144,52 @@ def load_delimited(
     sep: str = ",",
     source_type: str = "csv",
     encoding: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     typed: bool = True,
 ) -> LoadedTable:
-    """Delimited text with a header.
-
-    Everything is read as text in one pass without schema inference; `typed` then measures which
-    columns hold only numbers or booleans and casts those. Give `encoding` to skip the check of the bytes.
-    Rows with more fields than the header are quarantined, shorter ones are padded with nulls.
+    """Delimited text with a header in each file.
+
+    A first pass measures the files: header, encoding, and whether quotes stay open at the end of a line. Files that
+    agree are parsed together, each in its own encoding, and columns meet by name whatever their order. Records may
+    go on over several lines; only files with quotes open at a line's end are kept from being split for it
+    (`multi_line` decides for all files instead). Everything is parsed as text once and written to the shared
+    folder; `typed` then measures which columns hold only numbers or booleans and casts those. Rows with more fields
+    than their header are quarantined, shorter ones are padded with nulls.
     """
-    notes: list[str] = []
-    # A pruned parse would not notice rows with the wrong number of fields.
-    layout = dict(sep=sep, quote='"', escape='"', multiLine=multi_line, columnPruning=False)
-    latin = invalid_utf8_files(spark, path) if encoding is None else []
-    first_encoding = encoding or ("ISO-8859-1" if latin else "UTF-8")
-    # Fields of the header line as they are, before Spark renames empty and repeated ones.
-    first_read = spark.read.options(header=False, encoding=first_encoding, **layout)
-    heading = first_read.csv(latin[0] if latin else path).first()
-    if heading is None:
+    odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1
+    facts = _file_facts(spark, path, {"latin": F.max(~F.is_valid_utf8("value")), "open": F.max(odd)})
+    facts = staged(facts.select("file", F.hex(F.encode("first", "UTF-8")).alias("heading"), "first", "latin", "open"))
+    # One row per kind of file, not per file.
+    kinds = facts.groupBy("heading", "latin", "open").agg(F.min("file").alias("file"), F.first("first").alias("first"))
+    kinds = kinds.orderBy("file").collect()
+    if not kinds:
         raise ValueError(f"{path} is empty")
-    if latin:
-        notes.append("File was not valid UTF-8; decoded using 'latin-1' fallback.")
-    names, name_notes = tidy_names(list(heading))
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
-
-    def read(paths: str | list[str], charset: str) -> DataFrame:
-        reader = spark.read.schema(schema).options(
-            header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, encoding=charset, **layout
-        )
-        return reader.csv(paths)
-
-    if latin:
-        everything = spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
-        others = [r["file"] for r in everything.where(~F.col("file").isin(*latin)).collect()]
-        parts = [read(latin, "ISO-8859-1")] + ([read(others, "UTF-8")] if others else [])
-        rows = reduce(DataFrame.unionByName, parts)
-    else:
-        rows = read(path, first_encoding)
-
-    # Spark refuses to read the raw record alone, so the condition reads a parsed field as well.
-    readable = F.length(F.concat_ws("", F.col(CORRUPT), quoted(names[0]))) > 0
-    surplus = F.col(CORRUPT).isNotNull() & (_field_count(F.col(CORRUPT), sep) > len(names)) & readable
-    surplus = F.coalesce(surplus, F.lit(False))
-    quarantined = rows.where(surplus).select(F.col(CORRUPT).alias("record"))
-    kept = na_to_null(rows.where(~surplus).drop(CORRUPT))
-    # The one pass over the parsed rows at load time: rows set aside, rows kept, and what each column holds.
-    measures = [F.count_if(surplus).alias("set_aside"), F.count_if(~surplus).alias("kept")]
+    notes = ["File was not valid UTF-8; decoded using 'latin-1' fallback."] * any(k["latin"] for k in kinds if not encoding)
+    parts, name_notes = [], []
+    for kind in kinds:
+        charset = encoding or ("ISO-8859-1" if kind["latin"] else "UTF-8")
+        broken = kind["open"] if multi_line is None else multi_line
+        names, own_notes = tidy_names(_heading(spark, kind["file"], sep, charset, broken))
+        name_notes += [n for n in own_notes if n not in name_notes]
+        rows = _parsed(spark, path, sep, charset, broken, names)
+        if len(kinds) > 1:
+            alike = facts.where((F.col("heading") == kind["heading"]) & (F.col("latin") == kind["latin"]) & (F.col("open") == kind["open"]))
+            rows = rows.join(alike.select(F.col("file").alias(FILE)), FILE, "left_semi")
+        parts.append(rows.drop(FILE))
+    names = parts[0].drop(CORRUPT, SURPLUS).columns
+    if any(set(p.columns) != set(parts[0].columns) or p.columns != parts[0].columns for p in parts):
+        name_notes.append("Files have different headers; columns were matched by name.")
+    rows = staged(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    names = [c for c in rows.columns if c not in (CORRUPT, SURPLUS)]
+    rows = rows.select(*map(quoted, names), CORRUPT, SURPLUS)
+
+    quarantined = rows.where(SURPLUS).select(F.col(CORRUPT).alias("record"))
+    kept = na_to_null(rows.where(~F.col(SURPLUS)).drop(CORRUPT, SURPLUS))
+    # One pass over the written rows: rows set aside, rows kept, and what each column holds.
+    measures = [F.count_if(SURPLUS).alias("set_aside"), F.count_if(~F.col(SURPLUS)).alias("kept")]
     if typed:
         measures += _type_measures(names)
-    found = na_to_null(rows.withColumn("__kept", ~surplus)).agg(*measures).first()
+    found = na_to_null(rows.drop(CORRUPT).withColumn("__kept", ~F.col(SURPLUS))).agg(*measures).first()
     set_aside = found["set_aside"]
     if set_aside:
         notes.append(
@@ -194,6 +202,25 @@ def load_delimited(
     return LoadedTable(data, quarantined, source_type, path, tuple(notes))
 
 
+def _layout(sep: str, charset: str, broken: bool) -> dict:
+    # A pruned parse would not notice rows with the wrong number of fields.
+    return dict(sep=sep, quote='"', escape='"', multiLine=broken, columnPruning=False, encoding=charset)
+
+
+def _heading(spark: SparkSession, file: str, sep: str, charset: str, broken: bool) -> list[str | None]:
+    """Fields of the header as they are, before Spark renames empty and repeated ones."""
+    return list(spark.read.options(header=False, **_layout(sep, charset, broken)).csv(file).first())
+
+
+def _parsed(spark: SparkSession, path: str, sep: str, charset: str, broken: bool, names: list[str]) -> DataFrame:
+    """All columns as text, the raw record of rows that do not fit, whether they hold too many fields, and their file."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+    reader = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    rows = reader.options(**_layout(sep, charset, broken)).csv(path)
+    surplus = F.coalesce(F.col(CORRUPT).isNotNull() & (_field_count(F.col(CORRUPT), sep) > len(names)), F.lit(False))
+    return rows.select(*map(quoted, names), CORRUPT, surplus.alias(SURPLUS), F.col("_metadata.file_path").alias(FILE))
+
+
 def _field_count(record: Column, sep: str) -> Column:
     """Fields in a raw record: separators outside quotes, plus one."""
     unquoted = F.regexp_replace(record, r'"([^"]|"")*"', "q")
@@ -242,34 +269,78 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*leaves(df.schema, None, ""))
 
 
-def load_json(spark: SparkSession, path: str, multi_line: bool = True, schema: T.StructType | None = None) -> LoadedTable:
-    """A list of records, or an object that holds one under a usual key, or a single object.
+def load_json(spark: SparkSession, path: str, multi_line: bool | None = None, schema: T.StructType | None = None) -> LoadedTable:
+    """Records from files that hold one per line, a list of them, one object around such a list, or one record.
 
-    Set `multi_line=False` for one record per line, which is the layout that splits across tasks.
+    Each file is read as what it holds: a file that opens with a bracket, or whose first line is not a record by itself,
+    or that is a single line, is one document; all others have a record per line, which splits across tasks
+    (`multi_line` decides for all files instead). In a document that is an object, the first usual key with a list
+    gives the records. Whatever is not a record is quarantined as it stands. Parsed rows are written once.
     """
-    notes: list[str] = []
-    lines = spark.read.text(path).select(F.ltrim("value").alias("value")).where(F.length("value") > 0)
-    opening = lines.select(F.substring("value", 1, 1)).first()
-    if opening is None:
+    record = F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\{")
+    facts = _file_facts(spark, path, {"n": F.count(F.lit(1))})
+    first_record = F.try_parse_json("first").isNotNull() & F.ltrim("first").startswith("{")
+    whole = F.lit(multi_line) if multi_line is not None else F.ltrim("first").startswith("[") | (F.col("n") == 1) | ~first_record
+    facts = staged(facts.select("file", whole.alias("whole")))
+    kinds = {r["whole"] for r in facts.select("whole").distinct().collect()}
+    if not kinds:
         raise ValueError(f"{path} is empty")
-    raw = spark.read.json(path, multiLine=multi_line, schema=schema)
-    if multi_line and opening[0] == "{":
-        arrays = {f.name: f.dataType for f in raw.schema if isinstance(f.dataType, T.ArrayType)}
-        key = next((k for k in ENVELOPE_KEYS if k in arrays), None)
-        if key is None:
-            notes.append("Top-level JSON was a single object; wrapped as a one-row table.")
-        elif not isinstance(arrays[key].elementType, T.StructType):
-            raise ValueError(f"the {key!r} list in {path} does not hold records")
-        else:
-            raw = raw.select(F.explode(quoted(key)).alias("r")).select("r.*")
-            notes.append(f"Top-level JSON was an object; used the '{key}' list field.")
-    flat = nan_to_null(flatten(raw))
+
+    def read(documents: bool) -> DataFrame:
+        lines = spark.read.text(path, wholetext=documents).where(F.length(F.trim("value")) > 0)
+        lines = lines.select("value", F.col("_metadata.file_path").alias("file"))
+        if len(kinds) > 1:
+            lines = lines.join(facts.where(F.col("whole") == documents).select("file"), "file", "left_semi")
+        return lines.drop("file")
+
+    parts = []
+    if False in kinds:
+        parts.append(read(False).select(F.lit("lines").alias("origin"), "value"))
+    if True in kinds:
+        parts.append(_unwrapped(read(True)))
+    values = staged(reduce(DataFrame.union, parts))
+    good = values.where(record)
+    raw = _from_texts(spark, good, schema)
+    flat = nan_to_null(flatten(raw.drop(CORRUPT) if CORRUPT in raw.columns else raw))
     names, name_notes = tidy_names(flat.columns)
     data = flat.toDF(*names)
+    bad = values.where(~F.coalesce(record, F.lit(False))).select(F.col("value").alias("record"))
+
+    found = {(r["origin"], r["good"]): r["count"] for r in values.groupBy("origin", F.coalesce(record, F.lit(False)).alias("good")).count().collect()}
+    notes = [f"Top-level JSON was an object; used the '{k}' list field." for k in ENVELOPE_KEYS if (k, True) in found or (k, False) in found]
+    for key in ENVELOPE_KEYS:
+        if (key, False) in found and (key, True) not in found:
+            raise ValueError(f"the {key!r} list in {path} does not hold records")
+    if ("object", True) in found:
+        notes.append("Top-level JSON was a single object; wrapped as a one-row table.")
+    set_aside = sum(n for (_, fine), n in found.items() if not fine)
+    if set_aside:
+        notes.append(f"{set_aside} entries are not JSON records and were quarantined during load.")
     notes += name_notes
-    if data.isEmpty():
+    if not any(fine for _, fine in found):
         notes.append("Loaded dataframe has zero rows.")
-    return LoadedTable(data, _nothing(spark), "json", path, tuple(notes))
+    return LoadedTable(data, bad, "json", path, tuple(notes))
+
+
+def _unwrapped(documents: DataFrame) -> DataFrame:
+    """(origin, value): the entries of each document as JSON text, and the key, list or object they come from."""
+    keys = F.from_json("value", T.StructType([T.StructField(k, T.StringType()) for k in ENVELOPE_KEYS]))
+    lists = [F.when(F.ltrim(F.col("keys")[k]).startswith("["), F.struct(F.lit(k).alias("origin"), F.col("keys")[k].alias("list"))) for k in ENVELOPE_KEYS]
+    valid = F.try_parse_json("value").isNotNull()
+    is_list = valid & F.ltrim("value").startswith("[")
+    chosen = F.when(is_list, F.struct(F.lit("list").alias("origin"), F.col("value").alias("list"))).when(valid, F.coalesce(*lists))
+    split = documents.withColumns({"keys": keys}).select("value", chosen.alias("chosen"))
+    entries = F.when(F.col("chosen").isNotNull(), F.from_json("chosen.list", T.ArrayType(T.StringType()))).otherwise(F.array("value"))
+    return split.select(F.coalesce("chosen.origin", F.lit("object")).alias("origin"), F.explode(entries).alias("value"))
+
+
+def _from_texts(spark: SparkSession, values: DataFrame, schema: T.StructType | None) -> DataFrame:
+    """Rows of a column of JSON texts; Spark infers the schema over all of them unless it is given."""
+    texts = getattr(values.select("value")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    reader = spark.read.option("columnNameOfCorruptRecord", CORRUPT)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return DataFrame(reader._jreader.json(texts), spark)
 
 
 def load_parquet(spark: SparkSession, path: str) -> LoadedTable:

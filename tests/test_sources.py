@@ -113,3 +113,57 @@ def test_sinks(spark, put, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/actions")).count() == 1
     assert spark.read.parquet(str(tmp_path / "out/summary")).first()["rows_after"] == 2
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+def test_json_lines_and_mixed_layouts(spark, put):
+    lines = load_table(spark, put("plain/lines.json", "".join(f'{{"a":{i},"data":[1]}}\n' for i in range(100))))
+    assert lines.data.count() == 100 and lines.notes == ()
+    put("mixed/a.json", '{"data":[{"a":1},{"a":2}]}')
+    put("mixed/b.json", '{"records":[{"a":3}],"data":[{"a":99}]}')
+    put("mixed/c.json", '[{"a":4},\n {"a":5}]')
+    put("mixed/d.json", '{"a":6}\n{"a":7}\nnot json\n')
+    put("mixed/f.json", '[{"a":9}, 10, null]')
+    folder = put("mixed/e.json", '{\n "a": 8\n}').rsplit("/", 1)[0]
+    loaded = load_table(spark, folder, "json")
+    assert rows(loaded.data) == [(i,) for i in range(1, 10)]
+    assert sorted(str(r[0]) for r in loaded.quarantined.collect()) in (["10", "None", "not json"], ["10", "not json", "null"])
+    assert sum("list field" in n for n in loaded.notes) == 2
+
+
+def test_json_beyond_doubles_and_malformed(spark, put):
+    loaded = load_table(spark, put("big.json", '[{"a":9007199254740993,"b":{"c":[{"d":1}]}}]'))
+    assert loaded.data.columns == ["a", "b.c"] and loaded.data.first()[0] == 9007199254740993
+    broken = load_table(spark, put("broken.json", '{"a":1}\n{"a":\n{"a":3}\n'))
+    assert rows(broken.data) == [(1,), (3,)] and rows(broken.quarantined) == [('{"a":',)]
+
+
+def test_compressed_and_unknown_names(spark, put):
+    import gzip
+
+    assert rows(load_table(spark, put("x.json.gz", gzip.compress(b'{"a":1}\n{"a":2}\n'))).data) == [(1,), (2,)]
+    assert rows(load_table(spark, put("x.tsv.gz", gzip.compress(b"a\tb\n1\tx\n"))).data) == [(1, "x")]
+    for name in ("a.docx", "b.orc", "c.xls.gz"):
+        with pytest.raises(ValueError):
+            detect_format(name)
+
+
+def test_quoted_line_breaks_without_a_switch(spark, put):
+    loaded = load_table(spark, put("breaks.csv", 'a,b\n"one\ntwo, ""three""",1\nx,2\n3,4,5\n'))
+    assert rows(loaded.data) == [('one\ntwo, "three"', 1), ("x", 2)] and loaded.quarantined.count() == 1
+
+
+def test_headers_in_another_order(spark, put):
+    put("orders/a.csv", "a,b\n1,2\n")
+    put("orders/b.csv", "b,a\nz,3\n")
+    put("orders/d.csv", "a,b\n5,é\n".encode("latin-1"))
+    folder = put("orders/c.csv", "b,c\nq,7\n").rsplit("/", 1)[0]
+    loaded = load_table(spark, folder, "csv")
+    assert loaded.data.columns == ["a", "b", "c"]
+    assert {tuple(r) for r in loaded.data.collect()} == {(1, "2", None), (3, "z", None), (5, "é", None), (None, "q", 7)}
+    assert any("different headers" in n for n in loaded.notes)
+
+
+def test_loaded_rows_are_read_from_parquet(spark, put):
+    loaded = load_table(spark, put("once.csv", "a,b\n1,2\n"))
+    plan = loaded.data._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "csv" not in plan.replace("once.csv", "")
