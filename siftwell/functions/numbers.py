@@ -22,10 +22,14 @@ def has_fraction(c: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """A double in plain notation: 42.0, 0.25, 12345678.9."""
-    padded = c.cast("string").try_cast("decimal(38,12)").cast("string")
-    plain = F.regexp_replace(F.regexp_replace(padded, r"0+$", ""), r"\.$", ".0")
-    return F.coalesce(F.when(F.abs(c) < 1e15, plain), c.cast("string"))
+    """A double in plain notation: 42.0, 0.25, 12345678.9; very large and very small ones as 1.0E20."""
+    size = F.abs(c)
+    # Wide enough for every digit of a double of that size.
+    decimal = F.when(size < 1, c.cast("string").try_cast("decimal(38,34)").cast("string")).otherwise(
+        c.cast("string").try_cast("decimal(38,20)").cast("string")
+    )
+    plain = F.regexp_replace(F.regexp_replace(decimal, r"0+$", ""), r"\.$", ".0")
+    return F.coalesce(F.when((size >= 1e-15) & (size < 1e15), plain), c.cast("string"))
 
 
 def short_decimal(c: Column, places: int = 2) -> Column:

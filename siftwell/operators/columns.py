@@ -1,8 +1,11 @@
 """Column selection by physical type."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.functions.text import quoted
+
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -37,3 +40,13 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def temporal_columns(df: DataFrame) -> list[str]:
     return columns_of_kind(df, "date")
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Not-a-number is missing; Spark's aggregates would otherwise count it and spread it."""
+    doubles = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if not doubles:
+        return df
+    return df.select(
+        *[F.when(~F.isnan(quoted(c)), quoted(c)).alias(c) if c in doubles else quoted(c) for c in df.columns]
+    )

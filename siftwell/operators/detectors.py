@@ -14,7 +14,6 @@ SPARSE_SHARE = 0.5
 SAFE_IMPUTE_SHARE = 0.15
 NUMERIC_TEXT_SHARE = 0.9
 STATE_SHARE = 0.8
-VARIANT_VALUES = 100
 OUTLIER_FENCE = 1.5
 OUTLIER_MIN_VALUES = 8
 
@@ -74,19 +73,22 @@ def detect_missing(facts: DataFrame) -> DataFrame:
     """Sparse columns are flagged, numeric ones get a median and the others a mode."""
     share = null_share(F.col("null_count"), F.col("row_count"))
     non_null = F.col("row_count") - F.col("null_count")
+    nested = (F.col("kind") == "nested") & (F.col("data_type") != "binary")
     numeric = F.col("kind").isin("integer", "float") | F.coalesce(
         F.col("lenient_count") / F.nullif(non_null, F.lit(0)) > NUMERIC_TEXT_SHARE, F.lit(False)
     )
     sparse = share >= SPARSE_SHARE
+    flagged = sparse | nested
     percent = F.round(share * 100, 1).cast("string")
     reason = (
         F.when(sparse, F.concat(percent, F.lit("% missing — too sparse to safely impute")))
+        .when(nested, F.concat(percent, F.lit("% missing nested values — no fill applies")))
         .when(numeric, F.concat(percent, F.lit("% missing numeric values")))
         .otherwise(F.concat(percent, F.lit("% missing categorical/text values")))
     )
     note = (
         F.when(
-            sparse,
+            flagged,
             "Recommend manual review: consider dropping the column or sourcing the data rather than imputing.",
         )
         .when(numeric, "Median chosen over mean to reduce outlier sensitivity.")
@@ -95,11 +97,11 @@ def detect_missing(facts: DataFrame) -> DataFrame:
     return _proposals(
         facts.where(F.col("null_count") > 0),
         2,
-        F.when(sparse, "flagged_not_dropped").otherwise("imputed"),
+        F.when(flagged, "flagged_not_dropped").otherwise("imputed"),
         reason,
         F.col("null_count"),
-        severity=F.when(~sparse & (share <= SAFE_IMPUTE_SHARE), "safe").otherwise("review"),
-        method=F.when(sparse, None).when(numeric, "median").otherwise("mode"),
+        severity=F.when(~flagged & (share <= SAFE_IMPUTE_SHARE), "safe").otherwise("review"),
+        method=F.when(flagged, None).when(numeric, "median").otherwise("mode"),
         note=note,
     )
 
@@ -126,13 +128,10 @@ def is_state_column() -> Column:
     return (F.col("kind") == "text") & (hit_share >= STATE_SHARE) & (F.col("state_variants") > 0)
 
 
-def has_case_variants() -> Column:
-    """Few enough values, of which some share a normalised form."""
-    return (
-        (F.col("kind") == "text")
-        & (F.col("distinct_count") <= VARIANT_VALUES)
-        & (F.col("normalized_count") < F.col("distinct_count"))
-    )
+def has_case_variants(most_values: int | None = None) -> Column:
+    """Some values share a normalised form; with `most_values`, only in columns of no more distinct values."""
+    some = (F.col("kind") == "text") & (F.col("normalized_count") < F.col("distinct_count"))
+    return some if most_values is None else some & (F.col("distinct_count") <= most_values)
 
 
 def detect_state_variants(facts: DataFrame) -> DataFrame:
@@ -149,10 +148,10 @@ def detect_state_variants(facts: DataFrame) -> DataFrame:
     )
 
 
-def detect_case_variants(facts: DataFrame) -> DataFrame:
+def detect_case_variants(facts: DataFrame, most_values: int | None = None) -> DataFrame:
     """Values that differ only in case or surrounding whitespace; state columns are left to their own detector."""
     return _proposals(
-        facts.where(has_case_variants() & ~F.coalesce(is_state_column(), F.lit(False))),
+        facts.where(has_case_variants(most_values) & ~F.coalesce(is_state_column(), F.lit(False))),
         4,
         "standardized",
         F.lit("case/whitespace variants of the same value"),

@@ -42,6 +42,7 @@ def scan_facts(df: DataFrame) -> DataFrame:
             F.lit(i).alias("position"),
             F.lit(field.name).alias("column"),
             F.lit(kind_of(field.dataType)).alias("kind"),
+            F.lit(field.dataType.simpleString()).alias("data_type"),
             F.col("rows").alias("row_count"),
             (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
             (F.col(f"lo{i}") if field.name in numeric else missing).alias("min_number"),
@@ -73,6 +74,9 @@ def _share_counts() -> list[Column]:
         F.coalesce(F.max(has_fraction(F.col("number"))), F.lit(False)).alias("has_fraction"),
         F.min("number").alias("low_number"),
         F.max("number").alias("high_number"),
+        # Whole numbers beyond what a double tells apart.
+        F.min("whole").alias("low_whole"),
+        F.max("whole").alias("high_whole"),
         F.min("moment").alias("low_moment"),
         F.max("moment").alias("high_moment"),
     ]
@@ -84,6 +88,7 @@ def _with_readings(df: DataFrame, norm: str) -> DataFrame:
     return df.withColumn("upper", F.upper(norm)).select(
         "*",
         parse_number(F.col(norm)).alias("number"),
+        F.when(F.trim(norm).rlike(r"^[+-]?\d{1,38}$"), F.trim(norm).try_cast("decimal(38,0)")).alias("whole"),
         parse_number_lenient(F.col(norm)).alias("lenient"),
         parse_clean_date(F.col("upper")).alias("moment"),
     )

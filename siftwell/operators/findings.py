@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.special import p_value
-from siftwell.operators.columns import numeric_columns
+from siftwell.operators.columns import nan_to_null, numeric_columns
 from siftwell.operators.local import collected, fixed, together
 from siftwell.operators.statistics import (
+    LEVEL_LIMIT,
     TextRoles,
     categorical_columns,
     correlation_t,
@@ -24,12 +25,6 @@ from siftwell.operators.statistics import (
     text_roles,
 )
 
-MAX_FINDINGS = 6
-MAX_TRENDS = 6
-MAX_PAIRS = 15
-MAX_CATEGORIES = 5
-MAX_MEASURES = 5
-
 SIGNIFICANT = 0.05
 HIGHLY_SIGNIFICANT = 0.01
 CLEARLY_NOT = 0.2
@@ -95,19 +90,25 @@ def caveat(columns: Column, lineage: Lineage) -> Column:
 
 def test_statistics(
     df: DataFrame,
-    max_trends: int = MAX_TRENDS,
-    max_pairs: int = MAX_PAIRS,
-    max_categories: int = MAX_CATEGORIES,
-    max_measures: int = MAX_MEASURES,
+    max_trends: int | None = None,
+    max_pairs: int | None = None,
+    max_categories: int | None = None,
+    max_measures: int | None = None,
     p_values: bool = True,
+    max_levels: int = LEVEL_LIMIT,
 ) -> DataFrame:
-    """One row per eligible test, significant or not: trends, then pairs, then group differences."""
+    """One row per eligible test, significant or not: trends, then pairs, then group differences.
+
+    Every numeric column, pair and category is tested unless an argument says how many of the first ones to take. A
+    category is a text column of up to `max_levels` values.
+    """
+    df = nan_to_null(df)
     numbers = numeric_columns(df)
-    roles = text_roles(df) if numbers else TextRoles(None, ())
+    roles = text_roles(df, max_levels) if numbers else TextRoles(None, ())
     date = roles.date
     trends = numbers[:max_trends] if date else []
     pairs = list(combinations(numbers, 2))[:max_pairs]
-    levels = categorical_columns(df, roles=roles).collect()
+    levels = categorical_columns(df, max_levels, roles).collect()
     categories = [r["column"] for r in sorted(levels, key=lambda r: r["position"])][:max_categories] if numbers else []
     tests = fixed(df.sparkSession, [], TEST_SCHEMA).drop("p")
 
@@ -124,7 +125,7 @@ def test_statistics(
         tests = tests.unionByName(linear, allowMissingColumns=True)
     if categories:
         measures = numbers[:max_measures]
-        order = {pair: 1000 + i for i, pair in enumerate(product(categories, measures))}
+        order = {pair: len(trends) + len(pairs) + 1000 + i for i, pair in enumerate(product(categories, measures))}
         place = F.get(
             F.array(*[F.lit(i) for i in order.values()]),
             (F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category")) - 1) * len(measures)
@@ -213,22 +214,22 @@ def _described(tests: DataFrame) -> DataFrame:
     )
 
 
-def ranked(findings: DataFrame, limit: int = MAX_FINDINGS) -> DataFrame:
+def ranked(findings: DataFrame, limit: int | None = None) -> DataFrame:
     """Most confident first, then by p-value, then in the order the tests were made."""
     confidence = F.array_position(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), F.col("confidence"))
     order = (confidence, F.coalesce("p_value", F.lit(1.0)), F.col("sequence"))
-    top = findings.orderBy(*order).limit(limit)
+    top = findings if limit is None else findings.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def findings_of(df: DataFrame, log: DataFrame | None = None, limit: int = MAX_FINDINGS, **caps) -> DataFrame:
-    """The ranked findings of a table, as a lazy DataFrame."""
+def findings_of(df: DataFrame, log: DataFrame | None = None, limit: int | None = None, **caps) -> DataFrame:
+    """All findings of a table in order, or the first `limit`, as a lazy DataFrame; `caps` are those of `test_statistics`."""
     top = ranked(_described(test_statistics(df, **caps)), limit)
     noted = top.withColumn("caveat", caveat(F.col("related_columns"), Lineage.of(log)))
     return noted.select(*FINDING_COLUMNS).orderBy("rank")
 
 
 def analyze(df: DataFrame, log: DataFrame | None = None, goal: str | None = None, **caps) -> AnalysisResult:
-    """Findings and descriptive statistics. At most `limit` findings come back, so they are fixed here once."""
+    """Findings and descriptive statistics. There is at most one finding per test, so they are fixed here once."""
     found, described = together(df.sparkSession, lambda: collected(findings_of(df, log, **caps)), lambda: describe(df))
     return AnalysisResult(found, described, goal)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import quoted
-from siftwell.operators.columns import numeric_columns
+from siftwell.operators.columns import nan_to_null, numeric_columns
 from siftwell.operators.detectors import OUTLIER_FENCE, OUTLIER_MIN_VALUES
 from siftwell.operators.local import fixed
 from siftwell.operators.quantiles import Span, quantiles, spans
@@ -33,6 +33,7 @@ def iqr_fences(
     names = numeric_columns(df) if columns is None else list(columns)
     if not names:
         return {}
+    df = nan_to_null(df)
     known = spans(df, names) if known is None else known
     eligible = [c for c in names if c in known and known[c].count >= minimum]
     quartiles = quantiles(df, eligible, (0.25, 0.75), known, **search)
@@ -48,7 +49,7 @@ def outlier_counts(df: DataFrame, fences: Fences) -> DataFrame:
     """(position, column, lower, upper, outlier_count): one pass over the fenced columns."""
     if not fences:
         return fixed(df.sparkSession, [], FENCE_SCHEMA)
-    counts = df.agg(*[F.count_if(is_outside(quoted(c), f)).alias(f"n{i}") for i, (c, f) in enumerate(fences.items())])
+    counts = nan_to_null(df).agg(*[F.count_if(is_outside(quoted(c), f)).alias(f"n{i}") for i, (c, f) in enumerate(fences.items())])
     rows = [
         F.struct(
             F.lit(df.columns.index(c)).alias("position"),

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import number_text
-from siftwell.operators.columns import text_columns
+from siftwell.operators.columns import nan_to_null, text_columns
 from siftwell.operators.facts import null_share, scan_facts, text_facts, typed_facts
 from siftwell.operators.values import sample_values
 
@@ -18,7 +18,7 @@ EMPTY_SHARE = 0.999
 
 def null_profile(df: DataFrame) -> DataFrame:
     """(position, column, row_count, null_count, null_pct): one scan, no shuffle of data."""
-    return scan_facts(df).select(
+    return scan_facts(nan_to_null(df)).select(
         "position",
         "column",
         "row_count",
@@ -57,9 +57,9 @@ def _logical_type() -> Column:
     )
 
 
-def _extreme(number: str, moment: str, typed: str) -> Column:
+def _extreme(number: str, whole: str, moment: str, typed: str) -> Column:
     from_text = (
-        F.when(F.col("inferred_type") == "integer", F.col(number).cast("decimal(38,0)").cast("string"))
+        F.when(F.col("inferred_type") == "integer", F.coalesce(F.col(whole), F.col(number).cast("decimal(38,0)")).cast("string"))
         .when(F.col("inferred_type") == "float", number_text(F.col(number)))
         .when(F.col("inferred_type") == "date", F.col(moment).cast("string"))
     )
@@ -68,6 +68,7 @@ def _extreme(number: str, moment: str, typed: str) -> Column:
 
 def _measured(df: DataFrame, exact: bool) -> DataFrame:
     """Scan facts joined with value facts; every side has one row per column of the table."""
+    df = nan_to_null(df)
     typed = typed_facts(df, exact).withColumnRenamed("distinct_count", "typed_distinct")
     joined = scan_facts(df).join(F.broadcast(typed), "column", "left")
     names = text_columns(df)
@@ -77,6 +78,7 @@ def _measured(df: DataFrame, exact: bool) -> DataFrame:
     else:
         for name, kind in (("numeric_count", "bigint"), ("date_count", "bigint"), ("chars", "bigint"),
                            ("has_fraction", "boolean"), ("low_number", "double"), ("high_number", "double"),
+                           ("low_whole", "decimal(38,0)"), ("high_whole", "decimal(38,0)"),
                            ("low_moment", "timestamp_ntz"), ("high_moment", "timestamp_ntz")):
             joined = joined.withColumn(name, F.lit(None).cast(kind))
         distinct = F.coalesce("typed_distinct", F.lit(0))
@@ -99,6 +101,7 @@ def column_profile(df: DataFrame, samples: bool = True, exact: bool = True) -> D
     `exact=False` replaces distinct counts by sketches, which leaves no shuffle that grows with
     the table; pass `samples=False` with it to skip the distinct scan behind the sample values.
     """
+    df = nan_to_null(df)
     typed = _measured(df, exact).withColumn("inferred_type", _logical_type())
     profile = typed.select(
         "position",
@@ -107,8 +110,8 @@ def column_profile(df: DataFrame, samples: bool = True, exact: bool = True) -> D
         "null_count",
         F.round(null_share(F.col("null_count"), F.col("row_count")), 4).alias("null_pct"),
         F.col("distinct_count").alias("unique_count"),
-        _extreme("low_number", "low_moment", "low").alias("min_value"),
-        _extreme("high_number", "high_moment", "high").alias("max_value"),
+        _extreme("low_number", "low_whole", "low_moment", "low").alias("min_value"),
+        _extreme("high_number", "high_whole", "high_moment", "high").alias("max_value"),
     )
     if not samples:
         return profile

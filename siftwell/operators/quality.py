@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.operators.columns import text_columns
+from siftwell.operators.columns import nan_to_null, text_columns
 from siftwell.operators.duplicates import duplicate_count
 from siftwell.operators.facts import scan_facts, text_facts
 
@@ -37,6 +37,7 @@ def scored(measures: DataFrame) -> DataFrame:
 
 def quality_score(df: DataFrame) -> DataFrame:
     """(row_count, column_count, completeness, uniqueness, consistency, quality_score)."""
+    df = nan_to_null(df)
     cells = scan_facts(df).agg(F.max("row_count").alias("row_count"), F.sum("null_count").alias("null_cells"))
     parts = [cells, duplicate_count(df)]
     names = text_columns(df)

@@ -1,11 +1,11 @@
 """Exact, linearly interpolated quantiles that hold at any number of distinct values.
 
-Spark's `percentile` keeps every distinct value of a column in one aggregation buffer. That is the
-quickest way while a column is small, and is used up to a checked row count. Beyond it the wanted
-order statistics are searched for: each round counts the values of the open brackets in a fixed
-number of buckets, narrows every bracket to the bucket that holds its rank, and stops when a bracket
-has one value left. A round is one scan of the columns and a shuffle of at most
-buckets x brackets rows per task, whatever the size or skew of the data.
+Spark's `percentile` keeps every distinct value of a column in one aggregation buffer. Here the wanted order
+statistics are searched for instead, in the same way at every size: each round counts the values of the open brackets
+in a fixed number of buckets, narrows every bracket to the bucket that holds its rank, and stops when a bracket has one
+value left. A bracket with few rows has its values listed, so fifty thousand rows take one round and fifty million
+evenly spread ones two. A round is one scan of the columns and a shuffle of at most buckets x brackets rows per task,
+whatever the size or skew of the data.
 """
 
 import math
@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import quoted
+from siftwell.operators.columns import nan_to_null
 from siftwell.operators.facts import scan_facts
 from siftwell.operators.local import fixed
 from siftwell.operators.values import stacked
 
-SMALL_ROWS = 250_000
-SMALL_COLUMNS = 8
 BUCKETS = 1024
 LISTED_VALUES = 50_000
+LARGEST = sys.float_info.max
 BRACKET_SCHEMA = "column string, bracket int, low double, high double, listed boolean, rank bigint"
 
 
@@ -65,33 +65,17 @@ def quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     known: Mapping[str, Span] | None = None,
-    small_rows: int = SMALL_ROWS,
     buckets: int = BUCKETS,
     listed_values: int = LISTED_VALUES,
 ) -> dict[str, list[float]]:
-    """column -> quantiles at `probabilities`; columns without values are left out.
+    """column -> quantiles at `probabilities`; columns without values are left out, not-a-number is no value.
 
     The result is as small as its arguments, so it is returned as plain numbers.
     """
+    df = nan_to_null(df)
     known = dict(spans(df, columns) if known is None else known)
     wanted = [c for c in columns if known.get(c) and known[c].count > 0]
-    small = [c for c in wanted if known[c].count <= small_rows]
-    # The buffers of all columns meet in one task, so they are limited together as well.
-    if sum(known[c].count for c in small) > SMALL_COLUMNS * small_rows:
-        small = []
-    result = _built_in(df, small, probabilities)
-    large = [c for c in wanted if c not in result]
-    if large:
-        result.update(_searched(df, large, probabilities, known, buckets, listed_values))
-    return {c: result[c] for c in wanted}
-
-
-def _built_in(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float]]:
-    if not columns:
-        return {}
-    at = F.array(*[F.lit(p) for p in probabilities])
-    row = df.agg(*[F.percentile(quoted(c).cast("double"), at).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    return {c: list(row[i]) for i, c in enumerate(columns)}
+    return _searched(df, wanted, probabilities, known, buckets, listed_values) if wanted else {}
 
 
 def _searched(
@@ -107,8 +91,7 @@ def _searched(
     open_searches = []
     for c in columns:
         for rank in ranks[c]:
-            low, high = max(known[c].low, -sys.float_info.max), min(known[c].high, sys.float_info.max)
-            search = _Search(c, rank, low, high, known[c].count)
+            search = _Search(c, rank, known[c].low, known[c].high, known[c].count)
             if search.low == search.high:
                 found[c, rank] = search.low
             else:
@@ -153,10 +136,8 @@ def _narrow(
 ) -> dict[tuple[str, int], tuple[float, float, int, int]]:
     """For each search: extremes and row count of the bucket holding its rank, and the rows below it."""
     spark = df.sparkSession
-    # Infinities count as the largest finite numbers, so that every bracket has a width.
-    finite = F.greatest(F.lit(-sys.float_info.max), F.least(F.lit(sys.float_info.max), F.col("value")))
     still_searched = list(dict.fromkeys(s.column for s in searches))
-    cells = stacked(df, still_searched, "double").withColumn("value", finite)
+    cells = stacked(df, still_searched, "double")
     brackets = {s.bracket: (i, s.count <= listed_values) for i, s in enumerate(searches)}
     # A handful of rows: at most two ranks per probability and column.
     bracket_rows = [(c, i, low, high, listed, 0) for (c, low, high), (i, listed) in brackets.items()]
@@ -166,14 +147,15 @@ def _narrow(
     bracket = F.broadcast(fixed(spark, bracket_rows, BRACKET_SCHEMA).drop("rank"))
     target = F.broadcast(fixed(spark, target_rows, BRACKET_SCHEMA).select("bracket", "rank"))
 
-    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    # Among the buckets infinities count as the largest finite numbers, so that every bracket has a width.
+    value, low, high = (F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.col(c))) for c in ("value", "low", "high"))
     # Halved before subtracting so that the width of a bracket cannot overflow.
-    share = (value / 2 - low / 2) / (high / 2 - low / 2)
+    share = F.try_divide(value / 2 - low / 2, high / 2 - low / 2)
     # Few enough values are listed one by one; otherwise buckets of equal width, ordered like the values.
-    bucket = F.when(F.col("listed"), value).otherwise(F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("double"))
+    bucket = F.when(F.col("listed") | (low == high), F.col("value")).otherwise(F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("double"))
     histogram = (
         cells.join(bracket, "column")
-        .where(value.between(low, high))
+        .where(F.col("value").between(F.col("low"), F.col("high")))
         .select("bracket", bucket.alias("bucket"), "value")
         .groupBy("bracket", "bucket")
         .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))

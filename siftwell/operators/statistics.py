@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import moment_literal, parse_date, quoted, whole_days
-from siftwell.operators.columns import numeric_columns, temporal_columns, text_columns
+from siftwell.operators.columns import nan_to_null, numeric_columns, temporal_columns, text_columns
 from siftwell.operators.local import fixed
 from siftwell.operators.quantiles import Span, quantiles
 from siftwell.operators.values import stacked
 
-DESCRIBED_COLUMNS = 10
 LEVEL_LIMIT = 12
 DATE_SHARE = 0.9
 MIN_GROUP_ROWS = 3
@@ -34,8 +33,9 @@ def _double(name: str) -> Column:
     return quoted(name).cast("double")
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, limit: int = DESCRIBED_COLUMNS, **search) -> DataFrame:
-    """(column, count, mean, std, min, p25, p50, p75, max), four decimals, for the first numeric columns."""
+def describe(df: DataFrame, columns: Sequence[str] | None = None, limit: int | None = None, **search) -> DataFrame:
+    """(column, count, mean, std, min, p25, p50, p75, max), four decimals, for all numeric columns or the first `limit`."""
+    df = nan_to_null(df)
     names = (numeric_columns(df) if columns is None else list(columns))[:limit]
     if not names:
         return fixed(df.sparkSession, [], DESCRIPTION_SCHEMA)
@@ -61,7 +61,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, limit: int = D
 
 def group_means(df: DataFrame, category: str, measure: str) -> DataFrame:
     """(level, mean, n) over rows with both values, highest mean first."""
-    pair = df.where(quoted(category).isNotNull() & quoted(measure).isNotNull())
+    pair = nan_to_null(df).where(quoted(category).isNotNull() & quoted(measure).isNotNull())
     grouped = pair.groupBy(quoted(category).alias("level")).agg(F.avg(_double(measure)).alias("mean"), F.count("*").alias("n"))
     return grouped.orderBy(F.desc("mean"), "level")
 

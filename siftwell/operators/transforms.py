@@ -6,16 +6,19 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.functions import normalize_text, parse_number_lenient, quoted, state_code
 from siftwell.operators.columns import kind_of
-from siftwell.operators.detectors import VARIANT_VALUES
 from siftwell.operators.outliers import Fences, is_outside
 from siftwell.operators.quantiles import quantiles
 from siftwell.operators.values import modes, stacked
 
 Replacements = dict[str, dict[str, str]]
 
+# Replacements of a column that are written into the plan.
+VALUES_IN_PLAN = 100
+
 
 def as_number(df: DataFrame, name: str) -> Column:
     """The column as double: text is parsed, separators dropped, the unreadable becomes null."""
@@ -55,7 +58,9 @@ def impute_median(df: DataFrame, fills: Mapping[str, float]) -> DataFrame:
 
 def impute_mode(df: DataFrame, fills: Mapping[str, str]) -> DataFrame:
     def filled(name: str, value: str) -> Column:
-        return F.coalesce(quoted(name), F.lit(value).cast(df.schema[name].dataType))
+        kind = df.schema[name].dataType
+        fill = F.unhex(F.lit(value)) if isinstance(kind, T.BinaryType) else F.lit(value).cast(kind)
+        return F.coalesce(quoted(name), fill)
 
     return with_columns(df, {c: filled(c, v) for c, v in fills.items()})
 
@@ -91,22 +96,23 @@ def variant_examples(df: DataFrame, states: Sequence[str], variants: Sequence[st
     return chosen.groupBy("column").agg(F.concat(F.lit("["), joined, F.lit("]")).alias("examples"))
 
 
-def variant_replacements(df: DataFrame, columns: Sequence[str], limit: int = VARIANT_VALUES) -> Replacements:
-    """column -> {variant: canonical} for columns with at most `limit` distinct values.
+def standardize_variants(df: DataFrame, spellings: DataFrame, columns: Sequence[str], in_plan: int = VALUES_IN_PLAN) -> DataFrame:
+    """Replace every variant of `spellings` (column, variant, canonical) in its column.
 
-    The limit is checked on the values themselves before anything reaches the driver.
+    Columns with few variants, counted before anything reaches the driver, have them written into the plan and replaced
+    without a shuffle; the others are joined with the table of spellings, however long it is.
     """
-    if not columns:
-        return {}
-    values = stacked(df, columns).distinct().groupBy("column").agg(F.count("*").alias("n"))
-    few = {r["column"] for r in values.where(F.col("n") <= limit).collect()}
-    kept = [c for c in columns if c in few]
-    if not kept:
-        return {}
-    replacements: Replacements = {c: {} for c in kept}
-    for r in variant_table(df, kept).where("variant != canonical").collect():
-        replacements[r["column"]][r["variant"]] = r["canonical"]
-    return replacements
+    changed = spellings.where(F.col("variant") != F.col("canonical"))
+    counts = {r["column"]: r["count"] for r in changed.groupBy("column").count().collect() if r["column"] in columns}
+    few = [c for c, n in counts.items() if n <= in_plan]
+    small: Replacements = {c: {} for c in few}
+    for r in changed.where(F.col("column").isin(few)).collect() if few else []:
+        small[r["column"]][r["variant"]] = r["canonical"]
+    df = replace_values(df, small)
+    for c in counts:
+        if c not in small:
+            df = replace_by_lookup(df, c, changed)
+    return df
 
 
 def replace_values(df: DataFrame, replacements: Replacements) -> DataFrame:
@@ -120,15 +126,21 @@ def replace_values(df: DataFrame, replacements: Replacements) -> DataFrame:
     return with_columns(df, {c: replaced(c, m) for c, m in replacements.items() if m})
 
 
-def replace_by_lookup(df: DataFrame, column: str, lookup: DataFrame, max_broadcast: int = 100_000, salts: int = 32) -> DataFrame:
-    """Replace values through a (variant, canonical) table of any size.
+def replace_by_lookup(
+    df: DataFrame, column: str, lookup: DataFrame, max_broadcast: int = 100_000, salts: int = 32, max_bytes: int = 8 << 20
+) -> DataFrame:
+    """Replace values through a (variant, canonical) table of any size, or through its rows for `column` if it names columns.
 
-    Broadcast only if the table is counted small. A larger one is joined by shuffle, with every
-    value of the column spread over several salts so that no hot value lands in one task.
+    A variant given several times takes the lowest canonical, so no row is ever multiplied. Broadcast only if both
+    rows and bytes of the table are counted small. A larger one is joined by shuffle, with every value of the column
+    spread over several salts so that no hot value lands in one task.
     """
-    pairs = lookup.select(F.col("variant").alias("__variant"), F.col("canonical").alias("__canonical"))
-    small = pairs.limit(max_broadcast + 1).count() <= max_broadcast
-    if small:
+    own = lookup.where(F.col("column") == column) if "column" in lookup.columns else lookup
+    pairs = own.groupBy(F.col("variant").alias("__variant")).agg(F.min("canonical").alias("__canonical"))
+    size = pairs.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("__variant") + F.octet_length("__canonical")).alias("bytes")
+    ).first()
+    if size["rows"] <= max_broadcast and (size["bytes"] or 0) <= max_bytes:
         joined = df.join(F.broadcast(pairs), quoted(column) == F.col("__variant"), "left")
     else:
         salted = df.withColumn("__salt", F.pmod(F.xxhash64(*map(quoted, df.columns)), F.lit(salts)))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.operators.columns import kind_of, text_columns
+from siftwell.operators.columns import kind_of, nan_to_null, text_columns
 from siftwell.operators.detectors import (
     ACTION_COLUMNS,
     detect_case_variants,
@@ -40,10 +40,10 @@ from siftwell.operators.transforms import (
     impute_mode,
     medians,
     most_frequent,
-    replace_values,
+    standardize_variants,
     standardize_states,
     variant_examples,
-    variant_replacements,
+    variant_table,
 )
 from siftwell.storage import staged
 
@@ -105,12 +105,12 @@ def measured(df: DataFrame) -> DataFrame:
     return scan_facts(df).join(F.broadcast(_text_part(df)), "column", "left")
 
 
-def with_examples(df: DataFrame, facts: DataFrame) -> DataFrame:
+def with_examples(df: DataFrame, facts: DataFrame, most_values: int | None = None) -> DataFrame:
     """Add the replacements to be shown in the notes of standardising actions."""
     chosen = facts.select(
         "column",
         F.coalesce(is_state_column(), F.lit(False)).alias("state"),
-        F.coalesce(has_case_variants(), F.lit(False)).alias("variants"),
+        F.coalesce(has_case_variants(most_values), F.lit(False)).alias("variants"),
     ).collect()
     states = [r["column"] for r in chosen if r["state"]]
     variants = [r["column"] for r in chosen if r["variants"] and not r["state"]]
@@ -119,10 +119,14 @@ def with_examples(df: DataFrame, facts: DataFrame) -> DataFrame:
     return facts.join(F.broadcast(collected(variant_examples(df, states, variants))), "column", "left")
 
 
-def propose_cleaning(df: DataFrame, focus: str | None = None, **search) -> CleaningPlan:
-    """Inspect `df` and propose actions; `focus` marks every action on one column for approval."""
+def propose_cleaning(df: DataFrame, focus: str | None = None, variant_values: int | None = None, **search) -> CleaningPlan:
+    """Inspect `df` and propose actions; `focus` marks every action on one column for approval.
+
+    Spellings are consolidated in columns of any number of values, or of `variant_values` at most. Not-a-number is missing.
+    """
     if focus is not None and focus not in df.columns:
         raise ValueError(f"no column {focus!r} to focus on")
+    df = nan_to_null(df)
     spark = df.sparkSession
     scanned = scan_facts(df)
     rows = scanned.collect()
@@ -140,13 +144,13 @@ def propose_cleaning(df: DataFrame, focus: str | None = None, **search) -> Clean
     duplicates = texts.where(F.col("column").isNull()).select("duplicate_rows")
     per_column = texts.where(F.col("column").isNotNull()).drop("duplicate_rows")
     facts = collected(fixed(spark, rows, scanned.schema).join(F.broadcast(per_column), "column", "left"))
-    described = collected(with_examples(df, facts))
+    described = collected(with_examples(df, facts, variant_values))
     proposals = [
         detect_duplicates(duplicates),
         detect_missing(described),
         detect_numeric_text(described),
         detect_state_variants(described),
-        detect_case_variants(described),
+        detect_case_variants(described, variant_values),
         detect_outliers(fences),
     ]
     # A few actions per column of the table at most; over fixed facts they are found without a job.
@@ -185,6 +189,7 @@ def apply_cleaning(df: DataFrame, plan: CleaningPlan, approved: str | Iterable[s
     Statistics used as fills and fences are taken from the table as it stands at that step, not from
     the plan. Spellings are consolidated as found in `df` itself.
     """
+    df = nan_to_null(df)
     actions = sorted(plan.actions.collect(), key=lambda a: a["sequence"])
     ids = approved_ids(plan, approved)
     chosen = [a for a in actions if a["action_id"] in ids]
@@ -229,7 +234,8 @@ def apply_cleaning(df: DataFrame, plan: CleaningPlan, approved: str | Iterable[s
             attempt(action, lambda d, c=c: impute_mode(d, {c: common[c]} if c in common else {}))
 
     spelled = [a["column"] for a in by_class["standardized"] if a["method"] == "canonicalize" and a["column"] in df.columns]
-    replacements = variant_replacements(df, [c for c in spelled if kind_of(df.schema[c].dataType) == "text"])
+    spelled = [c for c in spelled if kind_of(df.schema[c].dataType) == "text"]
+    spellings = staged(variant_table(df, spelled)) if spelled else None
     for action in by_class["standardized"]:
         c = action["column"]
         if c in working.columns and kind_of(working.schema[c].dataType) != "text":
@@ -237,7 +243,7 @@ def apply_cleaning(df: DataFrame, plan: CleaningPlan, approved: str | Iterable[s
         elif action["method"] == "us_state_canonicalize":
             attempt(action, lambda d, c=c: standardize_states(d, [c]))
         else:
-            attempt(action, lambda d, c=c: replace_values(d, {c: replacements.get(c, {})}))
+            attempt(action, lambda d, c=c: standardize_variants(d, spellings, [c]) if c in spelled else d)
 
     for action in by_class["flagged_not_dropped"]:
         c = action["column"]

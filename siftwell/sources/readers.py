@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions import parse_number, quoted
-from siftwell.operators.columns import text_columns
+from siftwell.operators.columns import nan_to_null, text_columns
 from siftwell.operators.local import fixed
 from siftwell.storage import staged
 
@@ -88,16 +88,6 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, **options
     raise ValueError(f"unsupported format {kind!r}")
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Not-a-number is missing; Spark's aggregates would otherwise spread it."""
-    doubles = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    if not doubles:
-        return df
-    return df.select(
-        *[F.when(~F.isnan(quoted(c)), quoted(c)).alias(c) if c in doubles else quoted(c) for c in df.columns]
-    )
-
-
 def na_to_null(df: DataFrame) -> DataFrame:
     """Texts that stand for a missing value become null, in all text columns at once."""
     texts = set(text_columns(df))
@@ -272,15 +262,15 @@ def flatten(df: DataFrame) -> DataFrame:
 def load_json(spark: SparkSession, path: str, multi_line: bool | None = None, schema: T.StructType | None = None) -> LoadedTable:
     """Records from files that hold one per line, a list of them, one object around such a list, or one record.
 
-    Each file is read as what it holds: a file that opens with a bracket, or whose first line is not a record by itself,
-    or that is a single line, is one document; all others have a record per line, which splits across tasks
+    Each file is read as what it holds: a file that opens with a bracket, or in which most lines are not records by
+    themselves, or that is a single line, is one document; all others have a record per line, which splits across tasks
     (`multi_line` decides for all files instead). In a document that is an object, the first usual key with a list
     gives the records. Whatever is not a record is quarantined as it stands. Parsed rows are written once.
     """
     record = F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\{")
-    facts = _file_facts(spark, path, {"n": F.count(F.lit(1))})
-    first_record = F.try_parse_json("first").isNotNull() & F.ltrim("first").startswith("{")
-    whole = F.lit(multi_line) if multi_line is not None else F.ltrim("first").startswith("[") | (F.col("n") == 1) | ~first_record
+    facts = _file_facts(spark, path, {"n": F.count(F.lit(1)), "records": F.count_if(record)})
+    document = F.ltrim("first").startswith("[") | (F.col("n") == 1) | (F.col("records") * 2 < F.col("n"))
+    whole = document if multi_line is None else F.lit(multi_line)
     facts = staged(facts.select("file", whole.alias("whole")))
     kinds = {r["whole"] for r in facts.select("whole").distinct().collect()}
     if not kinds:

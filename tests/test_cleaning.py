@@ -100,7 +100,7 @@ def test_all_actions(messy, plan):
 
 
 def test_searched_statistics_give_the_same_table(messy):
-    route = {"small_rows": 0, "buckets": 3, "listed_values": 2}
+    route = {"buckets": 3, "listed_values": 2}
     searched = apply_cleaning(messy, propose_cleaning(messy, **route), "all", **route)
     plain = apply_cleaning(messy, propose_cleaning(messy), "all")
     assert sorted(map(str, searched.data.collect())) == sorted(map(str, plain.data.collect()))
@@ -176,7 +176,8 @@ def test_over_a_hundred_values_are_not_consolidated(spark):
     few = spark.range(200).select(F.when(F.col("id") % 100 == 0, "ID1").otherwise(F.concat(F.lit("id"), F.col("id") % 100)).alias("v"))
     many = spark.range(202).select(F.when(F.col("id") % 101 == 0, "ID1").otherwise(F.concat(F.lit("id"), F.col("id") % 101)).alias("v"))
     assert [a[0] for a in listed(propose_cleaning(few))] == ["dropped_rows", "standardized"]
-    assert [a[0] for a in listed(propose_cleaning(many))] == ["dropped_rows"]
+    assert [a[0] for a in listed(propose_cleaning(many))] == ["dropped_rows", "standardized"]
+    assert [a[0] for a in listed(propose_cleaning(many, variant_values=100))] == ["dropped_rows"]
 
 
 cell = st.one_of(st.none(), st.sampled_from(["1", "2", "1,000", "a", "A", " a", "ny", "NY", "2024-01-05", ""]))
@@ -203,3 +204,27 @@ def test_staging_uses_the_folder_of_the_session(spark):
     assert folder == named if named else folder == spark.sparkContext.getCheckpointDir()
     df = spark.createDataFrame([(1, "a"), (None, None)], "`n.x` int, t string")
     assert sorted(map(str, staged(df).collect())) == sorted(map(str, df.collect()))
+
+
+def test_nested_and_binary_columns(spark):
+    df = spark.createDataFrame(
+        [(bytearray(b"\x01\x02"), [1]), (bytearray(b"\x01\x02"), [2]), (None, None), (bytearray(b"\x03"), [3])] * 3 + [(bytearray(b"\x04"), [4])] * 9,
+        "b binary, a array<int>",
+    ).withColumn("i", F.monotonically_increasing_id())
+    plan = propose_cleaning(df)
+    assert {(a["column"], a["action"], a["method"]) for a in plan.actions.collect()} == {("b", "imputed", "mode"), ("a", "flagged_not_dropped", None)}
+    filled = apply_cleaning(df, plan, [a["action_id"] for a in plan.actions.where("column = 'b'").collect()])
+    assert filled.data.where("b = X'04'").count() == 12 and filled.data.where("b IS NULL").count() == 0
+
+
+def test_a_repeated_variant_multiplies_nothing(spark):
+    df = spark.createDataFrame([("x",), ("y",)], "v string")
+    lookup = spark.createDataFrame([("v", "x", "b"), ("v", "x", "a"), ("w", "y", "c")], "column string, variant string, canonical string")
+    assert sorted(r[0] for r in replace_by_lookup(df, "v", lookup).collect()) == ["a", "y"]
+
+
+def test_not_a_number_is_filled(spark):
+    df = spark.createDataFrame([(i, float("nan") if i == 3 else float(i)) for i in range(20)], "k long, v double")
+    plan = propose_cleaning(df)
+    assert [(a["column"], a["method"], a["count"]) for a in plan.actions.collect()] == [("v", "median", 1)]
+    assert apply_cleaning(df, plan, "safe").data.where("v = 10.0").count() == 2

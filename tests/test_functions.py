@@ -33,6 +33,11 @@ DATES = {
     "2024/01/05": datetime(2024, 1, 5), "5 Jan 2024": datetime(2024, 1, 5), "05 JANUARY 2024": datetime(2024, 1, 5),
     "Jan 5, 2024": datetime(2024, 1, 5), "20240105": datetime(2024, 1, 5), " 2024-01-05 ": datetime(2024, 1, 5),
     "2024-01-05T10:00:00": datetime(2024, 1, 5, 10), "01/05/2024 10:30": datetime(2024, 1, 5, 10, 30),
+    "5-Jan-24": datetime(2024, 1, 5), "05.01.2024": datetime(2024, 5, 1), "31.01.2024": datetime(2024, 1, 31), "2024.01.05": datetime(2024, 1, 5),
+    "2024-01": datetime(2024, 1, 1), "Jan 5 2024 10:30 AM": datetime(2024, 1, 5, 10, 30), "Jan 5 2024 10:30 PM": datetime(2024, 1, 5, 22, 30),
+    "1/5/2024 12:05:09 am": datetime(2024, 1, 5, 0, 5, 9), "20240105T101500": datetime(2024, 1, 5, 10, 15), "Friday, January 5, 2024": datetime(2024, 1, 5),
+    "2024-01-05T10:00:00+02:00": datetime(2024, 1, 5, 8), "2024-01-05T10:00:00Z": datetime(2024, 1, 5, 10), "2024-01-05 23:30-0530": datetime(2024, 1, 6, 5),
+    "2024-01-05 10:00:00.25 UTC": datetime(2024, 1, 5, 10, 0, 0, 250000), "Friday": None, "5-Foo-24": None, "2024-13": None,
     "junk": None, "2024": None, "2024-13-45": None, "Mayhem 5, 2024": None, "": None,
 }
 

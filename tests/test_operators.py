@@ -14,7 +14,7 @@ from siftwell.operators.statistics import categorical_columns, describe, group_m
 from siftwell.operators.transforms import replace_by_lookup
 from siftwell.operators.values import modes, sample_values
 
-ROUTES = [{}, {"small_rows": 0}, {"small_rows": 0, "buckets": 4, "listed_values": 3}, {"small_rows": 0, "buckets": 2, "listed_values": 0}]
+ROUTES = [{}, {"listed_values": 0}, {"buckets": 4, "listed_values": 3}, {"buckets": 2, "listed_values": 0}]
 
 
 @pytest.mark.parametrize("route", ROUTES)
@@ -40,7 +40,7 @@ def test_quantiles_match_numpy(spark, route):
 
 def test_quantiles_of_whole_numbers_with_nulls(spark):
     df = spark.createDataFrame([(None,), (4,), (1,), (2,), (None,), (3,)], "v bigint")
-    assert quantiles(df, ["v"], (0.5,)) == quantiles(df, ["v"], (0.5,), small_rows=0) == {"v": [2.5]}
+    assert quantiles(df, ["v"], (0.5,)) == quantiles(df, ["v"], (0.5,), listed_values=0) == {"v": [2.5]}
 
 
 @pytest.fixture(scope="module")

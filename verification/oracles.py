@@ -568,3 +568,25 @@ _CANONICAL = f"""WITH {DIRTY}, spelled AS ({variants_of('dirty', 'priority')})
 SELECT d.o_orderkey, coalesce(s.canonical, d.priority) AS priority FROM dirty d LEFT JOIN spelled s ON s.variant = d.priority"""
 ORACLES["standardize_case"] = _CANONICAL
 ORACLES["standardize_by_lookup"] = _CANONICAL
+
+ORACLES |= {
+    "json_lines_load": "SELECT * FROM conversations",
+    "json_mixed_envelopes": "SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders",
+    "json_quarantine": "SELECT '{\"k\": ' || o_orderkey AS record FROM orders WHERE o_orderkey % 9 = 0",
+    "csv_quoted_newlines": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "csv_header_orders": "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_mktsegment FROM customer",
+    "parse_dates_notations": """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 3 THEN date_trunc('month', m)::TIMESTAMP WHEN 4 THEN m WHEN 5 THEN m
+      WHEN 7 THEN m - INTERVAL 2 HOUR ELSE date_trunc('day', m)::TIMESTAMP END AS moment
+      FROM (SELECT o_orderkey, o_orderdate + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60) AS m FROM orders)""",
+    "quantile_infinities": """WITH v AS (SELECT CASE event_id % 50 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE ELSE value END AS value
+      FROM events WHERE event_id % 50 <> 2) SELECT 0.0::DOUBLE AS p, min(value) AS value FROM v UNION ALL SELECT 0.01, quantile_cont(value, 0.01) FROM v
+      UNION ALL SELECT 0.5, quantile_cont(value, 0.5) FROM v UNION ALL SELECT 0.99, quantile_cont(value, 0.99) FROM v
+      UNION ALL SELECT 1.0, max(value) FROM v""",
+    "profile_nan": """SELECT 'event_id' AS "column", count(*) AS row_count, 0::BIGINT AS null_count FROM events
+      UNION ALL SELECT 'value', count(*), count(*) FILTER (event_id % 50 = 2 OR (value IS NULL AND event_id % 50 > 2)) FROM events""",
+    "profile_minmax_wide_integers": """SELECT 'k' AS "column", (9007199254740992 + min(o_orderkey))::VARCHAR AS min_value,
+      (9007199254740992 + max(o_orderkey))::VARCHAR AS max_value FROM orders""",
+    "standardize_many": "SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, c_name FROM customer",
+    "lookup_by_shuffle": "SELECT c_custkey, 'x' || c_custkey AS c_name FROM customer",
+    "all_tests_lineitem": "SELECT 'trend' AS kind, 8::BIGINT AS n UNION ALL SELECT 'pair', 28 UNION ALL SELECT 'group', 16",
+}

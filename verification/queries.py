@@ -29,7 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 ACTION = ("action", "column", "reason", "count", "method", "severity", "rows_affected")
-TEXT = ("order_date", "priority", "state", "revenue", "status", "segment")
+CAPS = {"max_trends": 6, "max_pairs": 15, "max_categories": 5, "max_measures": 5}
 LINEITEM_PAIRS = [
     ("l_quantity", "l_extendedprice"),
     ("l_quantity", "l_discount"),
@@ -272,7 +272,7 @@ def standardize_states(spark, sf_dir):
 @query
 def standardize_case(spark, sf_dir):
     df = dirty_orders(spark, sf_dir)
-    return transforms.replace_values(df, transforms.variant_replacements(df, ["priority"])).select("o_orderkey", "priority")
+    return transforms.standardize_variants(df, transforms.variant_table(df, ["priority"]), ["priority"]).select("o_orderkey", "priority")
 
 
 @query
@@ -333,7 +333,7 @@ def cleaning_summary(spark, sf_dir):
 
 @query
 def describe(spark, sf_dir):
-    return statistics.describe(table(spark, sf_dir, "lineitem"))
+    return statistics.describe(table(spark, sf_dir, "lineitem"), limit=10)
 
 
 @query
@@ -344,7 +344,7 @@ def describe_dirty(spark, sf_dir):
 @query
 def quantile_search(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    found = quantiles(df, ["l_quantity", "l_extendedprice", "l_discount"], (0.25, 0.5, 0.75), small_rows=0)
+    found = quantiles(df, ["l_quantity", "l_extendedprice", "l_discount"], (0.25, 0.5, 0.75), listed_values=1000)
     rows = [(c, *qs) for c, qs in found.items()]
     return rounded(spark.createDataFrame(rows, "column string, p25 double, p50 double, p75 double"))
 
@@ -413,7 +413,7 @@ def extreme_groups(spark, sf_dir):
 
 @query
 def p_values(spark, sf_dir):
-    return rounded(test_statistics(table(spark, sf_dir, "events")).select("kind", "x", "y", "p"))
+    return rounded(test_statistics(table(spark, sf_dir, "events"), **CAPS).select("kind", "x", "y", "p"))
 
 
 def _shown(findings: DataFrame) -> DataFrame:
@@ -422,24 +422,24 @@ def _shown(findings: DataFrame) -> DataFrame:
 
 @query
 def ranked_findings(spark, sf_dir):
-    return _shown(findings_of(table(spark, sf_dir, "events")))
+    return _shown(findings_of(table(spark, sf_dir, "events"), limit=6, **CAPS))
 
 
 @query
 def ranked_findings_lineitem(spark, sf_dir):
-    return _shown(findings_of(table(spark, sf_dir, "lineitem")))
+    return _shown(findings_of(table(spark, sf_dir, "lineitem"), limit=6, **CAPS))
 
 
 @query
 def findings_after_cleaning(spark, sf_dir):
     cleaned = _cleaned(spark, sf_dir, "safe")
-    return _shown(findings_of(cleaned.data, cleaned.log))
+    return _shown(findings_of(cleaned.data, cleaned.log, limit=6, **CAPS))
 
 
 @query
 def caveats(spark, sf_dir):
     cleaned = _cleaned(spark, sf_dir, "safe")
-    tests = test_statistics(cleaned.data, p_values=False)
+    tests = test_statistics(cleaned.data, p_values=False, **CAPS)
     return tests.select("kind", "x", "y", caveat(F.array("x", "y"), Lineage.of(cleaned.log)).alias("caveat"))
 
 
@@ -474,7 +474,7 @@ def bar_series(spark, sf_dir):
 @query
 def chart_routing(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    routing = charts.route_charts(events, analyze(events).findings)
+    routing = charts.route_charts(events, analyze(events, limit=6, **CAPS).findings)
     return routing.charts.select("rank", "chart_type", "caption", "n").unionByName(
         routing.skipped.select("rank", "reason"), allowMissingColumns=True
     )
@@ -493,21 +493,21 @@ def report_methodology(spark, sf_dir):
 @query
 def report_findings(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    found = analyze(events).findings
+    found = analyze(events, limit=6, **CAPS).findings
     return report.findings_table(found, charts.route_charts(events, found))
 
 
 @query
 def report_findings_executive(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    found = analyze(events).findings
+    found = analyze(events, limit=6, **CAPS).findings
     return report.findings_table(found, charts.route_charts(events, found), "executive")
 
 
 @query
 def report_headline(spark, sf_dir):
     cleaned = _cleaned(spark, sf_dir, "safe")
-    return report.headline(findings_of(cleaned.data, cleaned.log), cleaned.summary())
+    return report.headline(findings_of(cleaned.data, cleaned.log, limit=6, **CAPS), cleaned.summary())
 
 
 # --- sources -----------------------------------------------------------------------------------
@@ -603,3 +603,118 @@ def parquet_load(spark, sf_dir):
 @query
 def load_summary(spark, sf_dir):
     return load_table(spark, f"{sf_dir}/orders.parquet").summary()
+
+
+# --- what loaders and statistics must not lose ----------------------------------------------------
+
+
+def _text_files(spark, path, name, lines: DataFrame):
+    lines.select(F.col("value").cast("string")).write.text(f"{path}/{name}")
+
+
+@query
+def json_lines_load(spark, sf_dir):
+    """One record per line, all columns, without an option."""
+    path = fresh_path(spark)
+    table(spark, sf_dir, "conversations").write.json(path)
+    return load_table(spark, path, "json").data
+
+
+@query
+def json_mixed_envelopes(spark, sf_dir):
+    """Documents with different keys around their records, a plain list, and lines, side by side."""
+    path = fresh_path(spark)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("string"))
+    record = F.to_json(F.struct("*"))
+    for i, (before, after) in enumerate((('{"data":[', '],"n":1}'), ('{"meta":{"data":1},"records":[', "]}"), ("[", "]"))):
+        own = orders.where(F.col("o_orderkey") % 4 == i).select(record.alias("r"), (F.col("o_orderkey") % 16).alias("k"))
+        grouped = own.groupBy("k").agg(F.concat(F.lit(before), F.array_join(F.collect_list("r"), ","), F.lit(after)).alias("value"))
+        _text_files(spark, path, f"part{i}", grouped.repartition(16, "k"))
+    _text_files(spark, path, "part3", orders.where("o_orderkey % 4 = 3").select(record.alias("value")))
+    return load_table(spark, f"{path}/*", "json").data
+
+
+@query
+def json_quarantine(spark, sf_dir):
+    path = fresh_path(spark)
+    value = F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit('{"k": '), "o_orderkey")).otherwise(F.to_json(F.struct(F.col("o_orderkey").alias("k"))))
+    table(spark, sf_dir, "orders").select(value.alias("value")).write.text(path)
+    return load_table(spark, path, "json").quarantined
+
+
+@query
+def csv_quoted_newlines(spark, sf_dir):
+    """Whole documents, whose texts hold line breaks, commas and quotes."""
+    path = fresh_path(spark)
+    table(spark, sf_dir, "documents").write.options(header=True, escape='"', quoteAll=True).csv(path)
+    return load_table(spark, path, "csv").data
+
+
+@query
+def csv_header_orders(spark, sf_dir):
+    """Files whose columns stand in another order."""
+    path = fresh_path(spark)
+    customers = table(spark, sf_dir, "customer").drop("c_acctbal")
+    for i, columns in enumerate((customers.columns, customers.columns[::-1])):
+        customers.where(F.col("c_custkey") % 2 == i).select(*columns).write.option("header", True).csv(f"{path}/part{i}")
+    return load_table(spark, f"{path}/*", "csv").data.select(*customers.columns)
+
+
+@query
+def parse_dates_notations(spark, sf_dir):
+    """Every notation in turn; those without a clock drop it, offsets lead to universal time."""
+    patterns = ("d-MMM-yy", "MM.dd.yyyy", "yyyy.MM.dd", "yyyy-MM", "MMM d yyyy hh:mm a", "yyyyMMdd'T'HHmmss", "EEEE, MMMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
+    moment = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"), (F.col("o_orderkey") % 60).cast("int"))
+    text = F.lit(None).cast("string")
+    for i, pattern in enumerate(patterns):
+        text = F.when(F.col("o_orderkey") % 8 == i, F.date_format(moment, pattern)).otherwise(text)
+    return table(spark, sf_dir, "orders").select("o_orderkey", parse_date(text).alias("moment"))
+
+
+def _odd_values(spark, sf_dir) -> DataFrame:
+    """Events whose values are infinite or not a number here and there."""
+    key = F.col("event_id")
+    value = F.when(key % 50 == 0, float("inf")).when(key % 50 == 1, float("-inf")).when(key % 50 == 2, float("nan")).otherwise(F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", value.alias("value"))
+
+
+@query
+def quantile_infinities(spark, sf_dir):
+    at = (0.0, 0.01, 0.5, 0.99, 1.0)
+    found = quantiles(_odd_values(spark, sf_dir), ["value"], at, listed_values=100)["value"]
+    return spark.createDataFrame([(p, v) for p, v in zip(at, found)], "p double, value double")
+
+
+@query
+def profile_nan(spark, sf_dir):
+    return profile.null_profile(_odd_values(spark, sf_dir)).select("column", "row_count", "null_count")
+
+
+@query
+def profile_minmax_wide_integers(spark, sf_dir):
+    """Whole numbers as text that doubles cannot tell apart."""
+    wide = table(spark, sf_dir, "orders").select((F.lit(9007199254740992) + F.col("o_orderkey")).cast("string").alias("k"))
+    return profile.column_profile(wide, samples=False).select("column", "min_value", "max_value")
+
+
+@query
+def standardize_many(spark, sf_dir):
+    """Spellings of far more values than a plan holds, by a join."""
+    names = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    spelled = names.union(names.where("c_custkey % 3 = 0").select("c_custkey", F.upper("c_name"))).union(names)
+    return transforms.standardize_variants(spelled, transforms.variant_table(spelled, ["c_name"]), ["c_name"])
+
+
+@query
+def lookup_by_shuffle(spark, sf_dir):
+    """A lookup too large to broadcast, with repeated variants."""
+    lookup = table(spark, sf_dir, "customer").select(F.col("c_name").alias("variant"), F.concat(F.lit("x"), "c_custkey").alias("canonical"))
+    lookup = lookup.union(lookup.select("variant", F.lit("z")))
+    return transforms.replace_by_lookup(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", lookup, max_broadcast=0)
+
+
+@query
+def all_tests_lineitem(spark, sf_dir):
+    """How many tests of each kind there are when nothing is left out."""
+    tests = test_statistics(table(spark, sf_dir, "lineitem"), p_values=False)
+    return tests.groupBy("kind").agg(F.countDistinct("x", "y").alias("n"))
