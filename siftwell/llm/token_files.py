@@ -30,7 +30,7 @@ from siftwell.llm.shared import fresh_folder, ship
 from siftwell.storage import staged
 
 FRAME_BYTES = 1 << 20
-DOCUMENTS_PER_FILE = 16_384
+DOCUMENTS_PER_FILE = 8_192
 MOST_FILES = 65_536
 END_ID = 1
 LEVEL = 3
@@ -40,7 +40,8 @@ SKIPPABLE_DIRECTORY, SKIPPABLE_TABLE, TABLE_MAGIC, CHECKSUMS = 0x184D2A50, 0x184
 
 # Words up to this many bytes are kept with their ids, so many per worker at most.
 KEPT_WORD_BYTES = 64
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
+LINE_WORDS = 500
 
 ID = np.dtype("<u4")
 
@@ -62,21 +63,59 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        mark = self.tokenizer.model.end_of_word_suffix or ""
+        self.ends = np.array([bool(mark) and (self.tokenizer.id_to_token(i) or "").endswith(mark) for i in range(size)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; none for null."""
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
+            self.cores.clear()
         split = [t.encode().split() if t else [] for t in texts]
         new = list({w for found in split for w in found if w not in self.words})
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.words.update(zip(new, [np.array(e.ids, ID).tobytes() for e in encoded]))
+        parts = list(map(_core, new))
+        self._learn({p for pair in parts for p in pair if p and p not in self.cores})
+        ids = self.cores.__getitem__
+        self.words.update((w, ids(core) + ids(tail) if tail else ids(core)) for w, (core, tail) in zip(new, parts))
         out = [b"".join(map(self.words.__getitem__, found)) for found in split]
-        for word in new:
+        for word, (core, _) in zip(new, parts):
             if len(word) > KEPT_WORD_BYTES:
                 del self.words[word]
+                self.cores.pop(core, None)
         return out
 
+    def _learn(self, new: set[bytes]) -> None:
+        """Words of letters go through the tokenizer in lines, since each gives one run of tokens up to one that ends a word."""
+        words = [w.decode() for w in new]
+        plain = [w for w in words if w.isalpha() and len(w) <= KEPT_WORD_BYTES]
+        others = [w for w in words if not (w.isalpha() and len(w) <= KEPT_WORD_BYTES)]
+        lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
+        for line, found in zip(lines, self.tokenizer.encode_batch_fast(list(map(" ".join, lines)), add_special_tokens=False)):
+            ids = np.array(found.ids, ID)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(line):
+                others += line
+                continue
+            raw, size = ids.tobytes(), ID.itemsize
+            bounds = [0, *(ends * size).tolist()]
+            self.cores.update((w.encode(), raw[i:j]) for w, i, j in zip(line, bounds, bounds[1:]))
+        encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        self.cores.update((w.encode(), np.array(e.ids, ID).tobytes()) for w, e in zip(others, encoded))
+
+
+def _core(word: bytes) -> tuple[bytes, bytes]:
+    """A word as the tokenizer sees it: without case, full stops and commas at its end apart.
+
+    Only where that changes nothing: in ASCII, after a letter or digit, and without what might be a special token.
+    """
+    if not word.isascii() or b"<" in word:
+        return word, b""
+    low = word.lower()
+    core = low.rstrip(b".,")
+    return (core, low[len(core) :]) if core[-1:].isalnum() else (low, b"")
+
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
@@ -171,10 +210,10 @@ class TokenFile:
 
 
 class TokenFiles(NamedTuple):
-    """folder: where the files lie; manifest: part, path, n_docs, n_tokens and start of each file."""
+    """manifest: part, path, n_docs, n_tokens and start of each file; readers: how many tasks should read them."""
 
-    folder: str
     manifest: DataFrame
+    readers: int
 
 
 def write(docs: DataFrame, path: str, folder: str | None = None, documents_per_file: int = DOCUMENTS_PER_FILE) -> TokenFiles:
@@ -231,7 +270,8 @@ def write(docs: DataFrame, path: str, folder: str | None = None, documents_per_f
     manifest = staged(ordered.mapInArrow(store, "part int, path string, n_docs long, n_tokens long"))
     # One row per file.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return TokenFiles(folder, manifest.withColumns({"start": F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).cast("long")}))
+    start = F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).cast("long")
+    return TokenFiles(manifest.withColumns({"start": start}), files)
 
 
 def _fits(ids: bytes) -> bool:
@@ -260,8 +300,7 @@ def read(files: TokenFiles) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = files.manifest.repartition(F.col("part"))
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.manifest.repartition(files.readers, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(files: TokenFiles, wanted: list[int]) -> DataFrame:
@@ -280,4 +319,4 @@ def lookup(files: TokenFiles, wanted: list[int]) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids"])
 
-    return files.manifest.repartition(F.col("part")).mapInArrow(run, "doc_id long, ids array<long>")
+    return files.manifest.repartition(files.readers, "part").mapInArrow(run, "doc_id long, ids array<long>")
