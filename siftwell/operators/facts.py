@@ -42,7 +42,6 @@ def scan_facts(df: DataFrame) -> DataFrame:
             F.lit(i).alias("position"),
             F.lit(field.name).alias("column"),
             F.lit(kind_of(field.dataType)).alias("kind"),
-            F.lit(field.dataType.simpleString()).alias("data_type"),
             F.col("rows").alias("row_count"),
             (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
             (F.col(f"lo{i}") if field.name in numeric else missing).alias("min_number"),

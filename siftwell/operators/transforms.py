@@ -56,11 +56,21 @@ def impute_median(df: DataFrame, fills: Mapping[str, float]) -> DataFrame:
     return with_columns(df, {c: F.coalesce(as_number(df, c), F.lit(m)) for c, m in fills.items()})
 
 
+def _typed(text: str, kind: T.DataType) -> Column:
+    """A value from the text form in which modes are counted."""
+    if isinstance(kind, T.BinaryType):
+        return F.unhex(F.lit(text))
+    if isinstance(kind, T.VariantType):
+        return F.parse_json(F.lit(text))
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.from_json(F.lit(text), kind)
+    return F.lit(text).cast(kind)
+
+
 def impute_mode(df: DataFrame, fills: Mapping[str, str]) -> DataFrame:
     def filled(name: str, value: str) -> Column:
         kind = df.schema[name].dataType
-        fill = F.unhex(F.lit(value)) if isinstance(kind, T.BinaryType) else F.lit(value).cast(kind)
-        return F.coalesce(quoted(name), fill)
+        return F.coalesce(quoted(name), _typed(value, kind))
 
     return with_columns(df, {c: filled(c, v) for c, v in fills.items()})
 
