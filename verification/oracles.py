@@ -551,7 +551,7 @@ ORACLES: dict[str, str] = {
     "report_headline": f"""{SAFE_FINDINGS}, {SUMMARY[len(CLEANED) + 2:]}
       SELECT (SELECT summary FROM findings WHERE rank = 1) AS headline, (SELECT count(*) FROM findings) AS finding_count,
       quality_score_before, quality_score_after FROM summary""",
-    "csv_load": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    "csv_load": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') AS o_orderdate, o_orderpriority FROM orders",
     "tsv_load": "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "csv_ragged": """SELECT o_orderkey AS k, CASE o_orderkey % 10 WHEN 1 THEN o_orderstatus WHEN 2 THEN NULL ELSE o_orderpriority || ',x' END AS v,
       CASE WHEN o_orderkey % 10 <> 1 THEN o_custkey END AS c FROM orders WHERE o_orderkey % 10 <> 0""",
