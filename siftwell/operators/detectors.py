@@ -22,7 +22,7 @@ ACTION_COLUMNS = (
 )
 
 
-def _proposals(
+def proposals(
     facts: DataFrame,
     stage: int,
     action: str | Column,
@@ -33,6 +33,8 @@ def _proposals(
     note: str | Column | None = None,
     rows_affected: Column | None = None,
 ) -> DataFrame:
+    """One action for each row of `facts`, which has at least position and column; lower stages are listed first."""
+
     def text(c: str | Column | None) -> Column:
         return c if isinstance(c, Column) else F.lit(c).cast("string")
 
@@ -59,7 +61,7 @@ def detect_duplicates(duplicates: DataFrame) -> DataFrame:
     table = duplicates.where(F.col("duplicate_rows") > 0).select(
         F.lit(-1).alias("position"), F.lit(None).cast("string").alias("column"), "duplicate_rows"
     )
-    return _proposals(
+    return proposals(
         table,
         1,
         "dropped_rows",
@@ -91,7 +93,7 @@ def detect_missing(facts: DataFrame) -> DataFrame:
         .when(numeric, "Median chosen over mean to reduce outlier sensitivity.")
         .otherwise("Most frequent value used as fill.")
     )
-    return _proposals(
+    return proposals(
         facts.where(F.col("null_count") > 0),
         2,
         F.when(sparse, "flagged_not_dropped").otherwise("imputed"),
@@ -108,7 +110,7 @@ def detect_numeric_text(facts: DataFrame) -> DataFrame:
     numbers = facts.where(
         (F.col("kind") == "text") & (F.col("lenient_count") / F.nullif("non_null", F.lit(0)) > NUMERIC_TEXT_SHARE)
     )
-    return _proposals(
+    return proposals(
         numbers,
         3,
         "coerced_type",
@@ -133,7 +135,7 @@ def has_case_variants(most_values: int | None = None) -> Column:
 
 def detect_state_variants(facts: DataFrame) -> DataFrame:
     """Columns of US states written in more ways than the two-letter code."""
-    return _proposals(
+    return proposals(
         facts.where(is_state_column()),
         4,
         "standardized",
@@ -147,7 +149,7 @@ def detect_state_variants(facts: DataFrame) -> DataFrame:
 
 def detect_case_variants(facts: DataFrame, most_values: int | None = None) -> DataFrame:
     """Values that differ only in case or surrounding whitespace; state columns are left to their own detector."""
-    return _proposals(
+    return proposals(
         facts.where(has_case_variants(most_values) & ~F.coalesce(is_state_column(), F.lit(False))),
         4,
         "standardized",
@@ -162,7 +164,7 @@ def detect_case_variants(facts: DataFrame, most_values: int | None = None) -> Da
 def detect_outliers(fences: DataFrame) -> DataFrame:
     """From (position, column, lower, upper, outlier_count)."""
     bounds = F.concat(F.lit("["), short_decimal(F.col("lower")), F.lit(", "), short_decimal(F.col("upper")), F.lit("]"))
-    return _proposals(
+    return proposals(
         fences.where(F.col("outlier_count") > 0),
         5,
         "flagged_not_dropped",

@@ -7,6 +7,7 @@ log with the outcome of every action.
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 from pyspark.errors import PySparkException
@@ -45,7 +46,7 @@ from siftwell.operators.transforms import (
     variant_examples,
     variant_table,
 )
-from siftwell.storage import staged
+from siftwell.storage import release, staged
 
 ACTION_SCHEMA = T.StructType(
     [T.StructField("sequence", T.IntegerType())]
@@ -81,7 +82,15 @@ class CleaningResult:
         return self.log.where(F.col("status") == "rejected")
 
     def summary(self) -> DataFrame:
-        """(rows_before, rows_after, quality_score_before, quality_score_after)."""
+        """(rows_before, rows_after, quality_score_before, quality_score_after), measured once."""
+        return self._summary
+
+    def release(self) -> None:
+        """Remove the staged tables behind `data`, which cannot be read afterwards."""
+        release(self.data)
+
+    @cached_property
+    def _summary(self) -> DataFrame:
         before = self.before.select(
             F.col("row_count").alias("rows_before"), F.col("quality_score").alias("quality_score_before")
         )
@@ -89,7 +98,7 @@ class CleaningResult:
             F.col("row_count").alias("rows_after"), F.col("quality_score").alias("quality_score_after")
         )
         names = ("rows_before", "rows_after", "quality_score_before", "quality_score_after")
-        return before.unionByName(after, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
+        return collected(before.unionByName(after, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names]))
 
 
 def _text_part(df: DataFrame) -> DataFrame:
@@ -119,10 +128,20 @@ def with_examples(df: DataFrame, facts: DataFrame, most_values: int | None = Non
     return facts.join(F.broadcast(collected(variant_examples(df, states, variants))), "column", "left")
 
 
-def propose_cleaning(df: DataFrame, focus: str | None = None, variant_values: int | None = None, **search) -> CleaningPlan:
+Detector = Callable[[DataFrame], DataFrame]
+
+
+def propose_cleaning(
+    df: DataFrame,
+    focus: str | None = None,
+    variant_values: int | None = None,
+    detectors: Iterable[Detector] = (),
+    **search,
+) -> CleaningPlan:
     """Inspect `df` and propose actions; `focus` marks every action on one column for approval.
 
     Spellings are consolidated in columns of any number of values, or of `variant_values` at most. Not-a-number is missing.
+    `detectors` are asked besides the usual ones: each turns the facts, one row per column, into `proposals`.
     """
     if focus is not None and focus not in df.columns:
         raise ValueError(f"no column {focus!r} to focus on")
@@ -152,6 +171,7 @@ def propose_cleaning(df: DataFrame, focus: str | None = None, variant_values: in
         detect_state_variants(described),
         detect_case_variants(described, variant_values),
         detect_outliers(fences),
+        *[detect(described) for detect in detectors],
     ]
     # A few actions per column of the table at most; over fixed facts they are found without a job.
     proposed = sorted(chain.from_iterable(p.collect() for p in proposals), key=lambda r: (r["stage"], r["position"]))

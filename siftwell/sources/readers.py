@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from siftwell.functions import parse_number, quoted
 from siftwell.operators.columns import nan_to_null, text_columns
 from siftwell.operators.local import fixed
-from siftwell.storage import staged
+from siftwell.storage import release, staged
 
 # Cell texts that mean "missing".
 NA_TOKENS = (
@@ -54,6 +54,10 @@ class LoadedTable:
             F.lit(len(self.data.columns)).alias("column_count"),
         )
 
+    def release(self) -> None:
+        """Remove the rows written while loading, which cannot be read afterwards."""
+        release(self.data)
+
     def sample_rows(self, size: int = ROW_SAMPLE) -> DataFrame:
         """(row): a few rows as JSON."""
         return self.data.limit(size).select(F.to_json(F.struct(*map(quoted, self.data.columns))).alias("row"))

@@ -20,6 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def release(df: DataFrame) -> None:
+    """Delete the staged tables that `df` reads; neither it nor what was derived from it can be read afterwards."""
+    context = df.sparkSession.sparkContext
+    folders = {file.rpartition("/")[0] for file in df.inputFiles()}
+    for folder in folders:
+        if folder.rpartition("/")[2].startswith("siftwell-"):
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet and go on from the written table.
 

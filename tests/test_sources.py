@@ -167,3 +167,12 @@ def test_loaded_rows_are_read_from_parquet(spark, put):
     loaded = load_table(spark, put("once.csv", "a,b\n1,2\n"))
     plan = loaded.data._jdf.queryExecution().executedPlan().toString()
     assert "parquet" in plan and "csv" not in plan.replace("once.csv", "")
+
+
+def test_released_rows_are_gone(spark, put):
+    loaded = load_table(spark, put("gone.csv", "a,b\n1,2\n"))
+    files = loaded.data.inputFiles()
+    assert files and all("/siftwell-" in f for f in files)
+    loaded.release()
+    with pytest.raises(Exception):
+        spark.read.parquet(*files).count()

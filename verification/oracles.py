@@ -590,3 +590,6 @@ ORACLES |= {
     "lookup_by_shuffle": "SELECT c_custkey, 'x' || c_custkey AS c_name FROM customer",
     "all_tests_lineitem": "SELECT 'trend' AS kind, 8::BIGINT AS n UNION ALL SELECT 'pair', 28 UNION ALL SELECT 'group', 16",
 }
+
+ORACLES["custom_detector"] = """SELECT 'flagged_not_dropped' AS action, 'c_name' AS "column", 'every value occurs once' AS reason, count(*) AS count,
+  NULL::VARCHAR AS method, 'review' AS severity, count(*) AS rows_affected FROM customer HAVING count(DISTINCT c_name) = count(*)"""

@@ -718,3 +718,15 @@ def all_tests_lineitem(spark, sf_dir):
     """How many tests of each kind there are when nothing is left out."""
     tests = test_statistics(table(spark, sf_dir, "lineitem"), p_values=False)
     return tests.groupBy("kind").agg(F.countDistinct("x", "y").alias("n"))
+
+
+@query
+def custom_detector(spark, sf_dir):
+    """A detector of one's own: text columns in which no value repeats."""
+
+    def unique_text(facts: DataFrame) -> DataFrame:
+        unique = facts.where((F.col("kind") == "text") & (F.col("distinct_count") == F.col("non_null")))
+        return detectors.proposals(unique, 6, "flagged_not_dropped", F.lit("every value occurs once"), F.col("non_null"), severity="review")
+
+    actions = propose_cleaning(table(spark, sf_dir, "customer"), detectors=[unique_text]).actions
+    return actions.where("reason = 'every value occurs once'").select(*ACTION)
