@@ -10,6 +10,7 @@ from siftwell.operators.local import fixed
 from siftwell.operators.statistics import group_means, moment_of, pair_table
 
 TRENDLINE_POINTS = 50
+# Wording of the output.
 NO_CHART_REASON = (
     "No correlation/effect found — best represented as a stated conclusion rather than a chart with no visible pattern."
 )

@@ -17,6 +17,8 @@ STATE_SHARE = 0.8
 OUTLIER_FENCE = 1.5
 OUTLIER_MIN_VALUES = 8
 
+# The wording of reasons and notes in the detectors below, and the names of actions and methods.
+
 ACTION_COLUMNS = (
     "action_id", "action", "column", "reason", "count", "method", "note", "severity", "status", "rows_affected",
 )

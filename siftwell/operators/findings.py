@@ -82,6 +82,7 @@ def caveat(columns: Column, lineage: Lineage) -> Column:
             F.lit("'] were modified during cleaning (imputed/standardized) — worth confirming that didn't bias this result"),
         ),
     )
+    # The wording of caveats.
     removed = (
         f"analysis excludes {lineage.duplicates} row(s) removed as duplicates during cleaning" if lineage.duplicates else None
     )
@@ -153,6 +154,7 @@ def _number(pattern: str, c: Column) -> Column:
 
 def _described(tests: DataFrame) -> DataFrame:
     """Keep what is worth reporting and put it in words."""
+    # The wording of the summaries.
     kind, p, r, x, y = F.col("kind"), F.col("p"), F.col("r"), F.col("x"), F.col("y")
     related = (p < SIGNIFICANT) & (F.abs(r) >= PAIR_MIN_R)
     kept = (

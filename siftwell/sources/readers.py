@@ -22,6 +22,7 @@ NA_TOKENS = (
 # Object fields that hold the records, in order of preference.
 ENVELOPE_KEYS = ("records", "data", "rows", "results", "items")
 
+# The wording of notes about column names, encoding, quarantined rows and JSON layouts below.
 BOOLEAN_TEXTS = ("True", "False", "TRUE", "FALSE", "true", "false")
 FORMATS = {"csv": "csv", "txt": "csv", "tsv": "tsv", "json": "json", "jsonl": "json", "parquet": "parquet"}
 # Suffixes of compressed files.

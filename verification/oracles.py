@@ -468,6 +468,7 @@ ORACLES: dict[str, str] = {
     "empty_columns": f"WITH {DIRTY} SELECT 9 AS position, 'blank' AS \"column\", count(*) AS row_count, count(*) AS null_count, 1.0::DOUBLE AS null_pct FROM dirty",
     "value_frequencies": f"WITH {DIRTY} SELECT priority AS value, count(*) AS n FROM dirty WHERE priority IS NOT NULL GROUP BY priority",
     "duplicate_count": f"WITH {DIRTY} SELECT (SELECT count(*) FROM dirty) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS duplicate_rows",
+    "dedupe_by_fingerprint": f"WITH {DIRTY} SELECT DISTINCT * FROM dirty",
     "dedupe": f"WITH {DIRTY} SELECT DISTINCT * FROM dirty",
     "quality_score": score_query(f"{DIRTY}, ", "dirty", DIRTY_COLUMNS),
     "quality_score_documents": score_query("", "documents", DOCUMENT_COLUMNS),

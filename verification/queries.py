@@ -128,6 +128,13 @@ def dedupe(spark, sf_dir):
     return duplicates.drop_duplicate_rows(dirty_orders(spark, sf_dir))
 
 
+@query
+def dedupe_by_fingerprint(spark, sf_dir):
+    """The route of large tables: fingerprints that repeat, then only their rows, without a broadcast."""
+    df = dirty_orders(spark, sf_dir)
+    return duplicates.drop_duplicate_rows(df, row_count=10**12, broadcast_fingerprints=0)
+
+
 @query
 def quality_score(spark, sf_dir):
     return quality.quality_score(dirty_orders(spark, sf_dir))
