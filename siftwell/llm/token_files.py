@@ -68,13 +68,13 @@ class WordEncoder:
         mark = self.tokenizer.model.end_of_word_suffix or ""
         self.ends = np.array([bool(mark) and (self.tokenizer.id_to_token(i) or "").endswith(mark) for i in range(size)])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes; none for null."""
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each UTF-8 text as bytes; none for null."""
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
             self.cores.clear()
-        split = [t.encode().split() if t else [] for t in texts]
-        new = list({w for found in split for w in found if w not in self.words})
+        split = [t.split() if t else [] for t in texts]
+        new = list(set().union(*split) - self.words.keys())
         parts = list(map(_core, new))
         self._learn({p for pair in parts for p in pair if p and p not in self.cores})
         ids = self.cores.__getitem__
@@ -105,15 +105,18 @@ class WordEncoder:
         self.cores.update((w.encode(), np.array(e.ids, ID).tobytes()) for w, e in zip(others, encoded))
 
 
+_CLOSING = b".,;:!?()*#$%&"
+
+
 def _core(word: bytes) -> tuple[bytes, bytes]:
-    """A word as the tokenizer sees it: without case, full stops and commas at its end apart.
+    """A word as the tokenizer sees it: without case, punctuation at its end apart.
 
     Only where that changes nothing: in ASCII, after a letter or digit, and without what might be a special token.
     """
     if not word.isascii() or b"<" in word:
         return word, b""
     low = word.lower()
-    core = low.rstrip(b".,")
+    core = low.rstrip(_CLOSING)
     return (core, low[len(core) :]) if core[-1:].isalnum() else (low, b"")
 
 
@@ -238,7 +241,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, documents_per_f
         for batch in batches:
             for part in slices(batch, "text"):
                 keys = part.column("doc_id").to_pylist()
-                ids = word_encoder(path).encode(part.column("text").to_pylist())
+                ids = word_encoder(path).encode(part.column("text").cast(pa.binary()).to_pylist())
                 place = [len(bounds) + 1 if k is None else int(p) for k, p in zip(keys, np.searchsorted(bounds, [k or 0 for k in keys]))]
                 # Narrow ids where they fit halve what is moved.
                 narrow = [np.frombuffer(i, ID).astype("<u2").tobytes() if _fits(i) else None for i in ids]
