@@ -15,12 +15,15 @@ def fold(doc_id: Column, folds: int) -> Column:
 def sampled(keys: DataFrame, label: str, per_label: int) -> DataFrame:
     """About `per_label` rows of `keys` (doc_id and `label`) for each label, chosen by hash of the doc_id.
 
-    One count and one filter; the chance of a row follows from how many rows its label has.
+    One count and one filter; the chance of a row follows from how many rows its label has. The counts, one for each
+    label that a model has to tell apart, become part of the filter, so no row moves before it is chosen.
     """
-    counts = keys.where(F.col(label).isNotNull()).groupBy(label).count()
-    chance = counts.select(F.col(label).alias("__label"), F.least(F.lit(1.0), per_label / F.col("count")).alias("__chance"))
+    counts = {r[0]: r[1] for r in keys.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    if not counts:
+        return keys.limit(0)
+    chance = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_label / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    return keys.join(chance, F.col(label) == F.col("__label")).where(draw < F.col("__chance")).drop("__label", "__chance")
+    return keys.where(draw < F.try_element_at(chance, F.col(label)))
 
 
 class Adam:
