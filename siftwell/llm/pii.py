@@ -1,19 +1,19 @@
 """Personal data: generators propose overlapping spans, boosted trees judge them, calibrated thresholds select.
 
 Generators favour recall: whatever looks like an address, a number of some length, or a secret is proposed, often
-several spans over the same characters. A candidate is described by its format (length, digits, separators, variety)
-and its context (the characters and words around it). Gradient-boosted trees, trained here, give each candidate a
+several spans over the same characters. A candidate is described by its format (length, digits, separators, variety,
+check digits) and its context (the characters and words around it). Gradient-boosted trees, trained here, give each candidate a
 score; the scores of each kind are calibrated on candidates kept aside, and a span is selected from the score on at
 which the selected ones are right often enough. Overlapping selections of one kind give way to the best one.
 
 What the fixed patterns of a kind match stays in any case. These matches also teach the trees: on a bounded sample of
-the corpus a candidate is a positive example if a check that the features do not hold, such as a checksum, speaks for
-it, and a negative one if it speaks against it.
+the corpus a candidate is a positive example if a check, such as a checksum, speaks for it, and a negative one if it
+speaks against it. Kinds that a corpus may lack are taught by examples written by rule, right and wrong ones.
 """
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -33,6 +33,8 @@ TREES, DEPTH, RATE, LEAST_LEAF, BINS = 40, 3, 0.2, 8, 16
 #: How many of a hundred selected spans of a kind must be right, as far as the calibration tells.
 PRECISION = 0.97
 CONTEXT = 24
+#: Characters of the shortest IBAN.
+MIN_IBAN = 15
 
 
 class Span(NamedTuple):
@@ -113,7 +115,7 @@ _CUES = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
 }
 _QUOTES = "\"'`"
-N_FEATURES = 16
+N_FEATURES = 17
 
 
 # Whatever any pattern finds holds one of these.
@@ -122,7 +124,15 @@ _ANY = re.compile(r"[0-9@]|[(\[{]at[)\]}]", re.I)
 
 def candidates(text: str) -> list[Span]:
     """Overlapping proposals of every generator."""
-    return [Span(kind, *m.span()) for kind, pattern in _GENERATORS for m in pattern.finditer(text)]
+    found = [Span(kind, *m.span()) for kind, pattern in _GENERATORS for m in pattern.finditer(text)]
+    return [Span(s.kind, s.start, _iban_end(text, s)) if s.kind == "iban" else s for s in found]
+
+
+def _iban_end(text: str, span: Span) -> int:
+    """Where the check digits come out right: capitals or digits after the last space may be no part of the number."""
+    found = text[span.start : span.end]
+    ends = [len(found), *(i for i in range(len(found) - 1, MIN_IBAN - 1, -1) if found[i] == " ")]
+    return span.start + next((end for end in ends if _mod97(found[:end])), len(found))
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -141,22 +151,28 @@ def features(text: str, span: Span) -> list[float]:
         KINDS.index(span.kind), n, digits, digits / n, letters / n, upper / max(1, letters), hexadecimal / n,
         len(set(found)) / n, turns / n, n - digits - letters, float(found[0] == "0"), float(cue), float(other),
         float("=" in before[-4:] or ":" in before[-4:]), float(before[-1:] in tuple(_QUOTES) and after[:1] in tuple(_QUOTES)),
-        float(not before or before[-1].isspace()),
+        float(not before or before[-1].isspace()), float(_checked(text, span)),
     ]
 
 
 def _mod97(found: str) -> bool:
     plain = found.replace(" ", "")
-    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    return MIN_IBAN <= len(plain) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
-def _right(text: str, span: Span, base: set[Span]) -> bool:
-    """What a check outside the features says of a candidate."""
+def _checked(text: str, span: Span) -> bool:
+    """Whether the check digits of a card or IBAN come out right; no other kind has any."""
     found = text[span.start : span.end]
     if span.kind == "card":
         return luhn(_DIGITS.sub("", found)) and not re.search(r"[0-9][ -]?\Z", text[max(0, span.start - 2) : span.start])
-    if span.kind == "iban":
-        return _mod97(found)
+    return span.kind == "iban" and _mod97(found)
+
+
+def _right(text: str, span: Span, base: set[Span]) -> bool:
+    """What a check says of a candidate."""
+    found = text[span.start : span.end]
+    if span.kind in ("card", "iban"):
+        return _checked(text, span)
     if span.kind == "secret":
         # Named as one, and of a variety that words and numbers do not have.
         before = text[max(0, span.start - CONTEXT) : span.start].lower()
@@ -170,6 +186,17 @@ def entropy(found: str) -> float:
     return float(-(counts * np.log2(counts)).sum())
 
 
+def _drawn_iban(rng: np.random.Generator) -> str:
+    """An IBAN of any country's length, half of them with right check digits, in one piece or in fours."""
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    country, bank = "".join(rng.choice(letters, 2)), "".join(rng.choice(letters, 4)) if rng.random() < 0.5 else ""
+    bank += "".join(map(str, rng.integers(0, 10, int(rng.integers(11, 31)) - len(bank))))
+    plain = next(v for k in range(2, 99) if _mod97(v := f"{country}{k:02d}{bank}"))
+    if rng.random() < 0.5:
+        plain = f"{country}{(int(plain[2:4]) + int(rng.integers(1, 96))) % 97:02d}{bank}"
+    return plain if rng.random() < 0.5 else " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))
+
+
 def drawn(rng: np.random.Generator) -> list[tuple[str, Span]]:
     """Examples written by rule: formats with right and wrong checks, after cues and after plain words.
 
@@ -191,7 +218,7 @@ def drawn(rng: np.random.Generator) -> list[tuple[str, Span]]:
             if rng.random() < 0.3:
                 value = str(rng.choice(["step", "version", "chapter"])) + "-" + number(2) + "-of-the-long-title"
         elif kind == "iban":
-            value = "DE" + number(20)
+            value = _drawn_iban(rng)
         elif kind == "ip":
             value = ":".join("".join(rng.choice(list(alphabets[0]), 4)) for _ in range(8))
         else:
@@ -357,11 +384,13 @@ def find(texts: list[str | None], trees: Trees) -> list[tuple[list[Span], list[S
         taken = list(base)
         scored = sorted(zip(-chance[at : at + len(spans)], spans), key=lambda x: (x[0], _order(x[1])))
         at += len(spans)
-        starts, ends = _merged(base)
+        fixed_starts, fixed_ends = _merged(base)
+        starts: list[int] = []
+        ends: list[int] = []
         for score, span in scored:
-            # What a base span or a better one covers needs no second redaction.
-            i = bisect_left(starts, span.end)
-            if score < 0 and not (i and ends[i - 1] > span.start):
+            # What base spans cover or a better one meets needs no second redaction; what reaches beyond a base span does.
+            i, j = bisect_left(starts, span.end), bisect_right(fixed_starts, span.start)
+            if score < 0 and not (i and ends[i - 1] > span.start) and not (j and fixed_ends[j - 1] >= span.end):
                 taken.append(span)
                 starts.insert(i, span.start)
                 ends.insert(i, span.end)
