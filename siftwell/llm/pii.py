@@ -95,12 +95,31 @@ def base_spans(text: str) -> list[Span]:
 
 # --- candidates ------------------------------------------------------------------------------------
 
+# How national phone numbers are grouped: the area code in brackets or after 00, North America, a leading
+# zero, pairs after it, three groups without one, local numbers, one run.
+_LAYOUTS = "|".join((
+    r"(?:00[1-9][0-9]{0,2}[ ./-]?)?\([0-9]{2,5}\)[ ./-]?[0-9]{3,8}(?:[ .-][0-9]{2,5}){0,2}",
+    r"00[1-9][0-9]{0,2}[ ./-][0-9]{2,5}(?:[ ./-]?[0-9]{2,8}){1,4}",
+    r"(?:1[ .-])?[2-9][0-9]{2}(?P<sep>[ .-])[0-9]{3}(?P=sep)[0-9]{4}",
+    r"0[1-9](?:[ .-][0-9]{2}){4}",
+    r"0[1-9][0-9]{0,4}[ /.-][0-9]{3,8}(?:[ .-][0-9]{2,5}){0,3}",
+    r"[6-9][0-9]{2}(?: [0-9]{3}){2}|[6-9][0-9]{2}(?: [0-9]{2}){3}",
+    r"[2-9][0-9]{2}[ .-][0-9]{4}",
+    r"0[1-9][0-9]{7,10}|[2-9][0-9]{9}",
+))
+_LAYOUT = re.compile(_LAYOUTS)
+_BRACKETED = re.compile(r"00|\([0-9]{3}\)[ ./-]?[0-9]{3}[ .-][0-9]{4}\Z")
+_PHONE_CUE = re.compile(r"\b(?:tele?[pf]|tel\b|tél|phone|call|mobil|fax|cell|handy|dial|ring\b|sms\b|whatsapp|anruf|appel|llam)", re.I)
+
 # What generators look for, besides the fixed patterns. Possessive repeats keep failing attempts linear.
 _GENERATORS = (
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[\w-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]{2,63}+)+", re.I)),
+    # Without a sentence that begins after the address.
+    ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[\w-]{1,63}+(?:(?:\.| \. | ?\(dot\) ?| ?\[dot\] ?)[\w-]{2,63}+)+", re.I)),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\) ?|00[0-9]{1,3}[ -])[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])")),
+    ("phone", re.compile(rf"(?<![0-9A-Za-z+])(?<![0-9][./-])(?:{_LAYOUTS})(?![0-9A-Za-z]|[./-][0-9])")),
     ("secret", re.compile(r"(?<![0-9A-Za-z_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[0-9A-Za-z_+/=-]{16,}+(?![0-9A-Za-z_+/=-])")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
 )
@@ -115,7 +134,7 @@ _CUES = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
 }
 _QUOTES = "\"'`"
-N_FEATURES = 17
+N_FEATURES = 20
 
 
 # Whatever any pattern finds holds one of these.
@@ -152,9 +171,24 @@ def features(text: str, span: Span) -> list[float]:
         len(set(found)) / n, turns / n, n - digits - letters, float(found[0] == "0"), float(cue), float(other),
         float("=" in before[-4:] or ":" in before[-4:]), float(before[-1:] in tuple(_QUOTES) and after[:1] in tuple(_QUOTES)),
         float(not before or before[-1].isspace()), float(_checked(text, span)),
+        float(_announced(text, span)), float(_well_formed(span.kind, found)), float(span.kind == "phone" and bool(_BRACKETED.match(found))),
     ]
 
 
+def _announced(text: str, span: Span) -> bool:
+    """Whether a word for a phone stands around the number, a number before it perhaps between."""
+    return span.kind == "phone" and bool(_PHONE_CUE.search(text[max(0, span.start - 2 * CONTEXT) : span.start]) or _PHONE_CUE.search(text[span.end : span.end + CONTEXT // 2]))
+
+
+def _well_formed(kind: str, found: str) -> bool:
+    """Whether a phone number is grouped as one, an IP address has all eight groups, and an email's dots stand as in one."""
+    if kind == "phone":
+        return 7 <= sum(c.isdigit() for c in found) <= 15 and bool(_LAYOUT.fullmatch(found))
+    if kind == "ip":
+        return found.count(":") == 7
+    return kind == "email" and not re.search(r"(?<! )\. ", found)
+
+
 def _mod97(found: str) -> bool:
     plain = found.replace(" ", "")
     return MIN_IBAN <= len(plain) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
@@ -168,8 +202,8 @@ def _checked(text: str, span: Span) -> bool:
     return span.kind == "iban" and _mod97(found)
 
 
-def _right(text: str, span: Span, base: set[Span]) -> bool:
-    """What a check says of a candidate."""
+def _right(text: str, span: Span, base: set[Span]) -> bool | None:
+    """What a check says of a candidate of the corpus; None if it says nothing, and the trees do not learn from it."""
     found = text[span.start : span.end]
     if span.kind in ("card", "iban"):
         return _checked(text, span)
@@ -177,7 +211,12 @@ def _right(text: str, span: Span, base: set[Span]) -> bool:
         # Named as one, and of a variety that words and numbers do not have.
         before = text[max(0, span.start - CONTEXT) : span.start].lower()
         return any(w in before for w in _CUES["secret"]) and entropy(found) > 3.0
-    return any(b.kind == span.kind and b.start < span.end and span.start < b.end for b in base) or span.kind in ("email", "ip")
+    if any(b.kind == span.kind and b.start < span.end and span.start < b.end for b in base):
+        return True
+    if not _well_formed(span.kind, found):
+        return False
+    # A number grouped as a phone number may be one without a word that says so.
+    return True if span.kind != "phone" or _announced(text, span) else None
 
 
 def entropy(found: str) -> float:
@@ -197,21 +236,46 @@ def _drawn_iban(rng: np.random.Generator) -> str:
     return plain if rng.random() < 0.5 else " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))
 
 
-def drawn(rng: np.random.Generator) -> list[tuple[str, Span]]:
-    """Examples written by rule: formats with right and wrong checks, after cues and after plain words.
-
-    They stand beside those of the corpus, where some kinds may not occur at all.
+def _drawn_phone(rng: np.random.Generator, right: bool) -> str:
+    """A number grouped as phone numbers are, or one of another length or grouping."""
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    lead = str(rng.integers(2, 10))
+    if right:
+        sep = str(rng.choice([" ", "-", "."]))
+        layouts = (
+            f"({lead}{d(2)}) {d(3)}-{d(4)}", f"{lead}{d(2)}{sep}{d(3)}{sep}{d(4)}", f"0{lead}{d(2)}{rng.choice([' ', '/', '-'])}{d(int(rng.integers(6, 9)))}",
+            f"0{lead}{d(1)} {d(4)} {d(4)}", f"0{lead}{d(3)} {d(6)}", f"0{lead} " + " ".join(d(2) for _ in range(4)), f"0{lead}{d(2)} {d(3)} {d(2)} {d(2)}",
+            f"(0{lead}{d(int(rng.integers(1, 4)))}) {d(int(rng.integers(6, 9)))}", f"00{lead}{d(1)} {d(3)} {d(int(rng.integers(4, 8)))}", f"{rng.integers(6, 10)}{d(2)} {d(3)} {d(3)}",
+            f"{lead}{d(2)}-{d(4)}", f"0{lead}{d(int(rng.integers(8, 10)))}", f"{lead}{d(9)}",
+        )
+    else:
+        layouts = (f"({d(2)}) {d(2)}-{d(2)}", f"({d(4)}) {d(4)} {d(4)} {d(4)} {d(4)}", f"00{lead} {d(2)} {d(2)}", f"({d(3)}) {d(2)}.{d(2)}", f"({d(2)}){d(4)}.{d(2)}.{d(2)}.{d(2)}")
+    return str(rng.choice(layouts))
+
+
+def drawn(rng: np.random.Generator) -> list[tuple[str, Span, bool]]:
+    """Examples written by rule, and whether they are right: formats with right and wrong checks, after cues and after plain words.
+
+    They stand beside those of the corpus, where some kinds may not occur at all. Phone numbers are right by how they
+    were written: with a bracketed or international area code, or after a word for a phone; without either, or
+    of odd length, they are wrong.
     """
     out = []
     alphabets = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
-    for k in range(1500):
+    for k in range(1800):
         kind = KINDS[k % len(KINDS)]
-        cue = str(rng.choice(_CUES[kind])) + str(rng.choice([" = \"", ": ", " ", "="])) if rng.random() < 0.5 else str(rng.choice(["and the ", "of ", "in ", "("]))
+        announced = rng.random() < 0.5
+        cue = str(rng.choice(_CUES[kind])) + str(rng.choice([" = \"", ": ", " ", "="])) if announced else str(rng.choice(["and the ", "of ", "in ", "("]))
         number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+        group = lambda n: "".join(rng.choice(list(alphabets[0]), n))
+        right = None
         if kind == "card":
             value = number(int(rng.integers(13, 20)))
         elif kind == "phone":
-            value = f"({number(3)}) {number(3)}-{number(4)}" if rng.random() < 0.5 else f"0049 {number(3)} {number(4)}"
+            fits = rng.random() < 0.75
+            value = _drawn_phone(rng, fits)
+            cue += str(rng.choice(["", "", "me at ", "is ", "number "])) if announced else ""
+            right = fits and (announced or bool(_BRACKETED.match(value)))
         elif kind == "secret":
             letters = alphabets[int(rng.integers(2))]
             value = "".join(rng.choice(list(letters), int(rng.integers(16, 64))))
@@ -220,11 +284,22 @@ def drawn(rng: np.random.Generator) -> list[tuple[str, Span]]:
         elif kind == "iban":
             value = _drawn_iban(rng)
         elif kind == "ip":
-            value = ":".join("".join(rng.choice(list(alphabets[0]), 4)) for _ in range(8))
+            # Fewer groups are hardware addresses and times; eight of two digits are longer hardware addresses.
+            right = rng.random() < 0.6
+            if right:
+                value = ":".join(group(int(rng.integers(1, 5))) for _ in range(7)) + ":" + group(4)
+            else:
+                value = ":".join(group(2) for _ in range(8 if rng.random() < 0.3 else 6)) if rng.random() < 0.6 else ":".join(number(2) for _ in range(5))
         else:
-            value = f"{number(2)}abc (at) mail.example"
+            right = rng.random() < 0.6
+            at, dot = str(rng.choice(["(at)", "[at]", " (at) ", " [at] "])), str(rng.choice([".", " . ", " (dot) ", "[dot]"]))
+            value = f"{number(2)}abc{at}mail{dot}example" if rng.random() < 0.5 else f"bob.smith{at}mail{dot}example{dot}org"
+            if not right:
+                value = str(rng.choice(["we met", "a rate", "stayed"])) + f" (at) {rng.choice(['noon', 'home', 'three'])}. {rng.choice(['Then', 'They', 'Nobody'])} went"
         text = cue + value + str(rng.choice(["\"", " ", ".", ", and"]))
-        out += [(text, span) for span in candidates(text)]
+        own = candidates(text)
+        base = set(base_spans(text))
+        out += [(text, s, bool(_right(text, s, base)) if right is None or s.kind != kind else right) for s in own]
     return out
 
 
@@ -347,16 +422,17 @@ def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> Trees:
                         key = hashlib.blake2b(f"{span.start}".encode() + text[span.start : span.end].encode(), digest_size=8).digest()
                         own[span.kind] = min(own.get(span.kind, (b"\xff" * 9, span)), (key, span))
                     base = set(base_spans(text)) if own else set()
-                    x += [features(text, span) for _, span in own.values()]
-                    y += [_right(text, span, base) for _, span in own.values()]
+                    known = [(span, right) for _, span in own.values() if (right := _right(text, span, base)) is not None]
+                    x += [features(text, span) for span, _ in known]
+                    y += [right for _, right in known]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_())], ["x", "y"])
 
     draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     picked = docs.where(draw < min(1.0, documents / max(1, rows))).select("text").mapInArrow(run, "x array<double>, y boolean")
     found = sorted((tuple(r.x), r.y) for r in picked.collect())
     examples = drawn(np.random.default_rng(1))
-    x = [list(v) for v, _ in found] + [features(text, span) for text, span in examples]
-    y = [right for _, right in found] + [_right(text, span, set(base_spans(text))) for text, span in examples]
+    x = [list(v) for v, _ in found] + [features(text, span) for text, span, _ in examples]
+    y = [right for _, right in found] + [right for _, _, right in examples]
     return train(np.array(x, float).reshape(-1, N_FEATURES), np.array(y, bool))
 
 

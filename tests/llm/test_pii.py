@@ -106,3 +106,24 @@ def test_card_checksum_separates_candidates(trees):
     wrong = [v[:-1] + str((int(v[-1]) + 1) % 10) for v in right]
     kinds = lambda texts: [[s.kind for s in spans] for _, spans in pii.find([f"visa card {v} ok" for v in texts], trees)]
     assert sum("card" in k for k in kinds(right)) >= 36 and not any("card" in k for k in kinds(wrong))
+
+
+PHONES = ["(212) 555-0101", "212-555-0101", "212.555.0101", "0171 2345678", "0171/2345678", "0049 170 1234567", "030 1234567", "01 23 45 67 89", "0171 234 56 78", "(030) 1234567", "2125550101", "07700 900123"]
+NO_PHONES = ["call on 2024-01-02 please", "call at 12.05.2023", "phone 12-34", "tel 1234567890123456789", "call 3 000 000 people", "the order 212-555-0101 of goods", "and the 0171 2345678 of them", "phone 0171 2345 6789 0123 4567"]
+
+
+def test_national_phones_after_cues(trees):
+    around = ["call me at {} today", "phone: {}.", "Tel. {} or", "my mobile is {}, thanks"]
+    texts = [a.format(v) for v in PHONES for a in around]
+    found = [[(s.kind, t[s.start : s.end]) for s in spans] for t, (_, spans) in zip(texts, pii.find(texts, trees))]
+    assert found == [[("phone", v)] for v in PHONES for _ in around]
+    assert not any(s.kind == "phone" for _, spans in pii.find(NO_PHONES, trees) for s in spans)
+
+
+def test_written_out_emails_and_eight_groups(trees):
+    kinds = lambda text: [(s.kind, text[s.start : s.end]) for s in pii.find([text], trees)[0][1]]
+    assert kinds("mail bob (at) mail.example.com today") == [("email", "bob (at) mail.example.com")]
+    assert kinds("write to bob [at] mail.example.org. Then wait") == [("email", "bob [at] mail.example.org")]
+    assert kinds("we met (at) noon. Then they went") == []
+    assert kinds("server 2001:db8:0:12:ab:0:8a2e:7334 up") == [("ip", "2001:db8:0:12:ab:0:8a2e:7334")]
+    assert kinds("host 00:1a:2b:3c:4d:5e up") == [] and kinds("login 12:30:45:10:20 up") == []
