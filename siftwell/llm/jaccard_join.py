@@ -250,12 +250,12 @@ def jaccard_join(docs: DataFrame, size: int = GRAM, percent: int = PERCENT) -> D
     return out.select("doc_id", "n_shingles", F.coalesce("__label", "doc_id").alias("component_id"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, size: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` that stand for their component, with all columns: one row each, that of the smallest doc_id.
 
-    Rows without n-grams stay. Of several rows with the smallest doc_id one stays, the one with the smallest hash.
+    `size` and `percent` are those of `jaccard_join`. Rows without n-grams stay. Of several rows with the smallest doc_id one stays, the one with the smallest hash.
     """
-    found = jaccard_join(docs).where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("__component"))
+    found = jaccard_join(docs, size, percent).where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("__component"))
     dropped = found.where("doc_id <> __component").select(F.col("doc_id").alias("__id"))
     kept = docs.join(dropped.hint("merge"), docs["doc_id"] == F.col("__id"), "left_anti")
     # The join has brought equal doc_ids together, so this sorts but moves nothing.

@@ -106,3 +106,17 @@ def test_representatives_keep_one_row_each(docs, no_docs):
     expected = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(ids) == sorted(i for i, c in expected.items() if i == c)
     assert join.representatives(no_docs).count() == 0 and join.jaccard_join(no_docs).count() == 0
+
+
+def test_representatives_at_five_words(spark):
+    """Near copies at five words and 80 % that three words and 90 % keep apart."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(120)]
+    near = [*base[:60], word(), word(), *base[62:90], word(), word(), *base[92:]]
+    rows = [(7, " ".join(base)), (3, " ".join(near)), (5, " ".join(word() for _ in range(80)))]
+    grams = [{tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for n in (3, 5) for _, t in rows[:2]]
+    assert len(grams[0] & grams[1]) / len(grams[0] | grams[1]) < 0.9 and len(grams[2] & grams[3]) / len(grams[2] | grams[3]) >= 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in join.representatives(df, 5, 80).collect()) == [3, 5]
+    assert sorted(r.doc_id for r in join.representatives(df).collect()) == [3, 5, 7]
