@@ -267,16 +267,31 @@ def flatten(df: DataFrame) -> DataFrame:
 def load_json(spark: SparkSession, path: str, multi_line: bool | None = None, schema: T.StructType | None = None) -> LoadedTable:
     """Records from files that hold one per line, a list of them, one object around such a list, or one record.
 
-    Each file is read as what it holds: a file that opens with a bracket, or in which most lines are not records by
-    themselves, or that is a single line, is one document; all others have a record per line, which splits across tasks
-    (`multi_line` decides for all files instead). In a document that is an object, the first usual key with a list
-    gives the records. Whatever is not a record is quarantined as it stands. Parsed rows are written once.
+    Each file is read as what it holds: a file whose whole text is exactly one JSON value is a document; all others have
+    a record per line, which splits across tasks (`multi_line` decides for all files instead). What lines tell decides
+    first, so only files that open and close like a document are read whole to see. In a document that is an object, the
+    first usual key with a list gives the records. Whatever is not a record is quarantined as it stands. Parsed rows are
+    written once.
     """
-    record = F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\{")
-    facts = _file_facts(spark, path, {"n": F.count(F.lit(1)), "records": F.count_if(record)})
-    document = F.ltrim("first").startswith("[") | (F.col("n") == 1) | (F.col("records") * 2 < F.col("n"))
-    whole = document if multi_line is None else F.lit(multi_line)
-    facts = staged(facts.select("file", whole.alias("whole")))
+    record = _one_value("value") & F.col("value").rlike(r"^\s*\{")
+    measures = {"n": F.count(F.lit(1)), "records": F.count_if(record), "last": F.max_by("value", "place")}
+    facts = _file_facts(spark, path, measures)
+    if multi_line is None:
+        start, end = F.regexp_extract("first", r"^[\s\x{FEFF}]*(.)", 1), F.regexp_extract("last", r"(.)\s*$", 1)
+        closes = ((start == "{") & (end == "}")) | ((start == "[") & (end == "]"))
+        # Two values on lines that follow one another are no part of one value; more than half of the lines hold such.
+        apart = (F.col("n") > 1) & (_one_value("first") | (F.col("records") * 2 > F.col("n") + 1))
+        facts = staged(facts.select("file", (closes & ~apart).alias("maybe")))
+        if not facts.where("maybe").isEmpty():
+            texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+            texts = texts.join(facts.where("maybe").select("file"), "file", "left_semi")
+            whole = texts.select("file", _one_value("value").alias("whole"))
+            facts = facts.join(whole, "file", "left").select("file", F.coalesce("whole", F.lit(False)).alias("whole"))
+        else:
+            facts = facts.select("file", F.lit(False).alias("whole"))
+    else:
+        facts = facts.select("file", F.lit(multi_line).alias("whole"))
+    facts = staged(facts)
     kinds = {r["whole"] for r in facts.select("whole").distinct().collect()}
     if not kinds:
         raise ValueError(f"{path} is empty")
@@ -317,6 +332,13 @@ def load_json(spark: SparkSession, path: str, multi_line: bool | None = None, sc
     return LoadedTable(data, bad, "json", path, tuple(notes))
 
 
+def _one_value(text: str) -> Column:
+    """Whether a text is exactly one JSON value; the parser alone would pass over what follows the first."""
+    mark = "\u2063end"
+    listed = F.try_parse_json(F.concat(F.lit("["), F.regexp_replace(text, r"^\x{FEFF}", ""), F.lit(f',"{mark}"]')))
+    return F.coalesce(F.try_variant_get(listed, "$[1]", "string") == mark, F.lit(False))
+
+
 def _unwrapped(documents: DataFrame) -> DataFrame:
     """(origin, value): the entries of each document as JSON text, and the key, list or object they come from."""
     keys = F.from_json("value", T.StructType([T.StructField(k, T.StringType()) for k in ENVELOPE_KEYS]))

@@ -176,3 +176,19 @@ def test_released_rows_are_gone(spark, put):
     loaded.release()
     with pytest.raises(Exception):
         spark.read.parquet(*files).count()
+
+
+def test_json_lines_among_bad_ones(spark, put):
+    """Good lines are rows however few they are and whatever the first line holds; only one whole value is a document."""
+    good = [f'{{"a":{i}}}' for i in range(40)]
+    few = load_table(spark, put("few.json", "".join(f"{x}\nbad\n" for x in good) + "bad\n" * 20))
+    assert sorted(rows(few.data)) == [(i,) for i in range(40)] and few.quarantined.count() == 60
+    for first in ("[INFO] start", "[1] start", "[1]", '{"a":', "{"):
+        for last in ("bad", "]", "}", '{"a":41}'):
+            loaded = load_table(spark, put(f"f{abs(hash((first, last)))}.json", "\n".join([first, "bad", "bad", *good[:2], "bad", last])))
+            expected = [(0,), (1,)] + [(41,)] * (last == '{"a":41}')
+            assert sorted(rows(loaded.data)) == expected and loaded.quarantined.count() == 7 - len(expected)
+    twice = load_table(spark, put("twice.json", '{"a":1} {"a":2}\n{"a":3}\n'))
+    assert rows(twice.data) == [(3,)] and [r[0] for r in twice.quarantined.collect()] == ['{"a":1} {"a":2}']
+    pretty = load_table(spark, put("pretty.json", '[\n{"a":1}\n,\n{"a":2}\n]\n'))
+    assert sorted(rows(pretty.data)) == [(1,), (2,)] and pretty.quarantined.count() == 0
