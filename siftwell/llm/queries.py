@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import bpe, chat, jaccard_join, language, mixing, neighbours, pii, quality_model, quality_rules, token_files
+from siftwell.llm import bpe, chat, collocations, jaccard_join, language, line_dedup, mixing, neighbours, pii, quality_model, quality_rules, runs, token_files
 from siftwell.llm.shared import ship, table
 
 
@@ -50,8 +50,27 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.report(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_jaccard_join, op3_chat, op4_pii, op5_language, op6_quality_model, op7_mixing, op8_token_files, op9_bpe, op10_neighbours)
-}
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
 
-ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.REPORT_SQL, "op3_chat": chat.REPORT_SQL}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_jaccard_join, op3_chat, op4_pii, op5_language, op6_quality_model, op7_mixing, op8_token_files, op9_bpe,
+        op10_neighbours, op11_runs, op12_line_dedup, op13_collocations,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.REPORT_SQL, "op3_chat": chat.REPORT_SQL, "op12_line_dedup": line_dedup.REPORT_SQL,
+    "op13_collocations": collocations.REPORT_SQL,
+}
