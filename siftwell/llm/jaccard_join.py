@@ -1,19 +1,18 @@
-"""N-gram Jaccard join: documents whose sets of word n-grams overlap, found by prefixes and verified in a trie.
+"""N-gram Jaccard join: documents whose sets of word n-grams overlap, found by prefixes and joined in tries.
 
 1. A first pass counts n-grams in a table of fixed size, by hash. The counts order all n-grams, rare ones first. Any
    order would be right; this one makes the n-grams that sets are joined on rare, so common passages join nothing.
 2. A second pass writes, per document, the size and digest of its set and the first n-grams in that order. Two sets
-   that reach the threshold share one of these. Documents with equal sets form a class with one representative.
-3. Representatives are joined on these n-grams and pairs are kept that can still reach the threshold, by their sizes
-   and by how much of their prefixes they share. First each n-gram links its members to the smallest of them only.
-   Once these links are verified and joined to components, pairs are left only where an n-gram's members lie in
-   different components; all of those are verified. So large groups of near copies cost as many pairs as members.
-4. Pairs are verified against whole sets, grouped by one partner and split into groups of bounded size. The other
-   partners of a group form a trie: sets in their global order lie sorted, with the depth each shares with the one
-   before. Overlaps with the partner are carried down the trie and shared by all sets below; a subtree is left as
-   soon as what remains of its sets cannot make up for what is missing.
-
-N-grams are known by a 64-bit hash of their words.
+   that reach the threshold share one of these. Documents with equal sets form a class.
+3. Classes that share such an n-gram and a band of sizes form a group, named after the smallest class in it, its head.
+   Groups with the same head are one: near copies share many n-grams and nearly all of these have the same head, so a
+   class is in few groups, and any two that can link meet in one. No pair is listed.
+4. A group's sets go to one task, those of a large group in blocks of bounded size to one task for each two blocks. There
+   they form a trie: sets in their global order lie sorted, with the depth each shares with the one before. Overlaps with
+   all other sets at once are carried down the trie and shared by the sets below; a subtree is left as soon as what
+   remains of its sets cannot make up for what is missing. Of the links found a task returns a forest.
+
+N-grams are known by a 64-bit hash of their words, sets by a 128-bit digest.
 """
 
 import hashlib
@@ -22,22 +21,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.batches import slices
+from siftwell.llm.bits import bits
 from siftwell.llm.components import components
 from siftwell.llm.shared import ship
 from siftwell.storage import staged
 
 GRAM, PERCENT = 3, 90
-COUNTER_BITS = 18
+COUNTER_BITS = 20
 KEPT_WORDS = 300_000
-# N-grams of partners that one task verifies against a set at a time.
-GROUP_GRAMS = 1 << 18
+# N-grams in a block of a group; a task holds two blocks.
+BLOCK_GRAMS = 1 << 20
 BLOCK = 64
 
-_MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 class _Words(dict):
@@ -92,99 +92,131 @@ def _counted(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _needed(n: Column, m: Column, percent: int) -> Column:
-    """The overlap two sets of these sizes must have."""
-    return F.ceil((n + m) * percent / F.lit(100.0 + percent) - 1e-9)
-
-
-def linked(query: np.ndarray, members: list[bytes], percent: int) -> list[bool]:
-    """Which members, globally ordered sets as bytes of their hashes, reach the threshold with `query`."""
-    lookup = np.sort(query)
-    order = sorted(range(len(members)), key=members.__getitem__)
-    out = [False] * len(members)
-    previous, overlaps = np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    for i in order:
-        tokens = np.frombuffer(members[i], np.uint64)
-        # Depth shared with the set before, as far as that one was followed.
-        top = min(len(tokens), len(previous), len(overlaps) - 1)
-        differ = np.flatnonzero(tokens[:top] != previous[:top])
-        depth = int(differ[0]) if len(differ) else top
-        overlaps = overlaps[: depth + 1]
-        need = -(-(len(tokens) + len(query)) * percent // (100 + percent))
-        while True:
-            have = int(overlaps[-1])
-            if have + min(len(tokens) - depth, len(query) - have) < need:
-                break
-            if depth == len(tokens):
-                out[i] = True
+def linked(sets: list[np.ndarray], own: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest over the sets whose trees are what links of `percent` hundredths or more connect.
+
+    Sets are in the global order. Two of them are compared if one is marked as own and if their blocks differ, or there
+    is only one block.
+    """
+    raw = [s.tobytes() for s in sets]
+    order = sorted(range(len(sets)), key=raw.__getitem__)
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    own, block = own[order], block[order]
+    all_pairs = len(set(block.tolist())) == 1
+    _, tokens, counts = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(len(order)), sizes)[np.argsort(tokens, kind="stable")]
+    starts, ends = np.cumsum(counts) - counts, np.cumsum(sizes)
+
+    def holding(some: np.ndarray) -> np.ndarray:
+        """How many of these n-grams each set has; those of one set only are left out."""
+        some = some[counts[some] > 1]
+        n = counts[some]
+        at = np.repeat(starts[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(holders[at], minlength=len(order))
+
+    tree = list(range(len(order)))
+
+    def root(x: int) -> int:
+        while tree[x] != x:
+            tree[x] = x = tree[tree[x]]
+        return x
+
+    # Overlaps with all sets after each block of the path that leads to the set before.
+    path, previous, out = [np.zeros(len(order), np.int64)], tokens[:0], []
+    for x, end in enumerate(ends.tolist()):
+        n = int(sizes[x])
+        mine = tokens[end - n : end]
+        top = min(n, len(previous), (len(path) - 1) * BLOCK)
+        differ = np.flatnonzero(mine[:top] != previous[:top])
+        del path[(int(differ[0]) if len(differ) else top) // BLOCK + 1 :]
+        previous = mine
+        others = np.flatnonzero((own[x + 1 :] | own[x]) & (all_pairs | (block[x + 1 :] != block[x]))) + x + 1
+        need = -(-(n + sizes[others]) * percent // (100 + percent))
+        while len(others):
+            depth = min((len(path) - 1) * BLOCK, n)
+            have = path[-1][others]
+            alive = have + np.minimum(n - depth, sizes[others] - have) >= need
+            others, need = others[alive], need[alive]
+            if depth == n:
                 break
-            block = tokens[depth : depth + BLOCK]
-            at = np.minimum(np.searchsorted(lookup, block), len(lookup) - 1)
-            overlaps = np.append(overlaps, have + np.cumsum(lookup[at] == block))
-            depth += len(block)
-        previous = tokens
+            if len(others):
+                path.append(path[-1] + holding(mine[depth : depth + BLOCK]))
+        for y in others.tolist():
+            a, b = root(x), root(y)
+            if a != b:
+                tree[b] = a
+                out.append((order[x], order[y]))
     return out
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b, n, m: partners and sizes of their sets) that reach the threshold, as a and b."""
-    pairs = staged(pairs)
-    if pairs.isEmpty():
-        return pairs.select("a", "b")
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def _groups(classes: DataFrame, percent: int) -> DataFrame:
+    """head, band, key, n and own: each class with a set beside which another may link; `own` if the band is its own."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)))
+    tokens = classes.select("key", "n", band.alias("band"), F.explode("prefix").alias("gram"))
+    shared = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("gram")
+    tokens = staged(tokens.join(shared.hint("merge"), "gram"))
+    # Sizes of linked sets differ by less than one band, so a set meets those of its own band and of the next.
+    placed = tokens.withColumns({"own": F.lit(True)}).union(tokens.withColumns({"band": F.col("band") + 1, "own": F.lit(False)}))
+    heads = placed.groupBy("gram", "band").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("members"), F.max("own").alias("any"))
+    heads = heads.where("members > 1 AND any").select("gram", "band", "head")
+    return placed.join(heads.hint("merge"), ["gram", "band"]).select("head", "band", "key", "n", "own").distinct()
+
+
+def _links(docs: DataFrame, rows: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
+    """a and b, keys of sets: links whose components are those of all links between different sets."""
+    known = rows.where("key is not null").groupBy("key", F.col("n_shingles").alias("n"), "prefix")
+    classes = staged(known.agg(F.min(F.struct("text_hash", "doc_id")).alias("text")))
+    members = staged(_groups(classes, percent))
+    ends = members.select("key").distinct().join(classes.select("key", "text.*").hint("merge"), "key")
+    marked = bits(ends.select("text_hash", F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "text_hash", "doc_id")
+    shared = docs.sparkSession.sparkContext.broadcast((counts, marked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, marked = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [_ordered(grams(t, size), shared.value).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.large_binary())], ["node", "grams"])
-
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes.hint("merge"), "node")
-    sets = staged(texts.mapInArrow(run, "node long, grams binary"))
-
-    load = pairs.groupBy("a").agg(F.ceil(F.sum("m") / GROUP_GRAMS).alias("groups"))
-    grouped = pairs.join(load.hint("merge"), "a").withColumns({"part": F.pmod(F.xxhash64("b"), F.col("groups"))}).select("a", "part", "b")
-    members = grouped.join(sets.hint("merge"), F.col("b") == F.col("node")).select("a", "part", "b", "grams")
-    queries = grouped.select("a", "part").distinct().join(sets.hint("merge"), F.col("a") == F.col("node"))
-    rows = members.union(queries.select("a", "part", F.lit(None).cast("long"), "grams"))
-
-    def verify(table: pa.Table) -> pa.Table:
-        b, sets = table.column("b").to_pylist(), table.column("grams").to_pylist()
-        members = [i for i, node in enumerate(b) if node is not None]
-        found = set()
-        for q in (i for i, node in enumerate(b) if node is None):
-            ok = linked(np.frombuffer(sets[q], np.uint64), [sets[i] for i in members], percent)
-            found |= {b[i] for i, yes in zip(members, ok) if yes}
-        a = table.column("a")[0].as_py()
-        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(sorted(found), pa.int64())})
-
-    return staged(rows.groupBy("a", "part").applyInArrow(verify, "a long, b long"))
-
-
-def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, n, i, b, m, j, one row per shared prefix n-gram with its places) those that can reach the threshold."""
-    joined = pairs.groupBy("a", "n", "b", "m").agg(
-        F.count(F.lit(1)).alias("shared"), F.min("i").alias("i"), F.min("j").alias("j")
-    )
-    need = _needed(F.col("n"), F.col("m"), percent)
-    # N-grams after one of the prefixes: all that can be shared besides.
-    after = F.greatest(F.ceil(F.col("n") * percent / 100.0 - 1e-9), F.ceil(F.col("m") * percent / 100.0 - 1e-9)) - 1
-    rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    return joined.where((F.col("shared") + after >= need) & (rest >= need)).select("a", "b", "n", "m").distinct()
+            ids = pa.compute.fill_null(batch.column("doc_id"), 0).to_numpy()
+            wanted = marked.hit(batch.column("text_hash").to_numpy(), ids)
+            for part in slices(batch.filter(pa.array(wanted)), "text"):
+                sets = [_ordered(grams(t, size), counts) for t in part.column("text").to_pylist()]
+                keys = [hashlib.blake2b(np.sort(s).tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.tobytes() for s in sets], pa.large_binary())], ["key", "grams"])
+
+    sets = docs.mapInArrow(run, "key binary, grams binary").dropDuplicates(["key"])
+    load = members.groupBy("head", "band").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("blocks"))
+    dealt = members.join(load.hint("merge"), ["head", "band"]).withColumns({"block": F.pmod(F.xxhash64("key"), F.col("blocks"))})
+    dealt = dealt.withColumns({"other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    dealt = dealt.select("key", "head", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own")
+    task = ["head", "band", "i", "j"]
+    whole = dealt.join(sets.hint("merge"), "key").repartition(*task).sortWithinPartitions(*task)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, out = None, [], []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*task, "key", "own", "block", "grams")]
+            for *here, key, own, block, raw in zip(*columns):
+                if here != group:
+                    out += _forest(held, percent)
+                    group, held = here, []
+                held.append((key, own, block, raw))
+        out += _forest(held, percent)
+        a, b = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
+    return staged(whole.mapInArrow(join, "a binary, b binary"))
 
-def jaccard_join(docs: DataFrame, size: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text and whatever else).
 
-    Two documents link when their sets of `size`-word n-grams (ASCII letters without case) have a Jaccard similarity of
-    `percent` hundredths or more; component_id is the smallest doc_id reachable by links, the document itself included.
-    Null and empty texts have no n-grams and link with nothing. Rows with equal doc_id count as one document. Rows
-    with a null doc_id get the component of the rows with the same set, or null if there are none. An empty table gives
-    an empty one; other columns play no part.
-    """
+def _forest(held: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
+    if len(held) < 2:
+        return []
+    keys, own, block, raw = zip(*held)
+    found = linked([np.frombuffer(r, np.uint64) for r in raw], np.array(own), np.array(block), percent)
+    return [(keys[x], keys[y]) for x, y in found]
+
+
+def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of `docs` as doc_id, text_hash, n_shingles and key of their set; and key and label of the sets that link."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     counts = _counted(docs, size)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -201,63 +233,61 @@ def jaccard_join(docs: DataFrame, size: int = GRAM, percent: int = PERCENT) -> D
                 offsets = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
                 prefixes = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(first), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), prefixes],
-                    ["doc_id", "n_shingles", "key", "prefix"],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), prefixes],
+                    ["doc_id", "text_hash", "n_shingles", "key", "prefix"],
                 )
 
-    rows = staged(docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, prefix array<long>"))
-    classes = rows.where("key is not null").groupBy("key", "n_shingles", "prefix").agg(F.min("doc_id").alias("node"))
-    classes = staged(classes.where("node is not null"))
-    tokens = classes.select("node", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("i", "gram"))
+    rows = staged(docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, key binary, prefix array<long>"))
+    labels = staged(components(_links(docs, rows, counts, size, percent)))
+    return rows.drop("prefix"), labels.select(F.col("node").alias("key"), "label")
 
-    # First links: within a band of sizes, each n-gram's members to the smallest of them.
-    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)))
-    banded = tokens.withColumns({"band": band})
-    heads = banded.groupBy("gram", "band").agg(F.min(F.struct("n", "node", "i")).alias("head"), F.count(F.lit(1)).alias("members"))
-    heads = staged(heads.where("members > 1").select("gram", "band", "head"))
-    stars = banded.join(heads.hint("merge"), ["gram", "band"]).where("node <> head.node")
-    stars = stars.selectExpr("head.node AS a", "head.n AS n", "head.i AS i", "node AS b", "n AS m", "i AS j")
-    first = _verified(_possible(stars, percent), classes, docs, counts, size, percent)
-
-    # The others: wherever an n-gram's members are not all in one component yet.
-    labels = staged(components(first))
-    labelled = tokens.join(labels.hint("merge"), "node", "left").select(
-        "gram", "node", "n", "i", F.coalesce("label", "node").alias("label")
-    )
-    groups = labelled.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("members"))
-    main = groups.groupBy("gram").agg(F.max(F.struct("members", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    open_grams = staged(main.where("labels > 1").select("gram", F.col("main.label").alias("main")))
-    left = staged(labelled.join(open_grams.hint("merge"), "gram"))
-    apart = left.where("label <> main").selectExpr("gram", "node AS a", "n", "i", "label AS label_a")
-    others = left.selectExpr("gram AS gram_b", "node AS b", "n AS m", "i AS j", "label AS label_b", "main AS main_b")
-    # A pair of two that both lie apart from the main component is met twice; once is enough.
-    once = (F.col("label_b") == F.col("main_b")) | (F.col("a") < F.col("b"))
-    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    met = apart.join(others.hint("merge"), (F.col("gram") == F.col("gram_b")) & (F.col("label_a") != F.col("label_b")) & once & near)
-    ends = met.select(
-        F.least("a", "b").alias("a"), F.expr("if(a < b, n, m)").alias("n"), F.expr("if(a < b, i, j)").alias("i"),
-        F.greatest("a", "b").alias("b"), F.expr("if(a < b, m, n)").alias("m"), F.expr("if(a < b, j, i)").alias("j"),
-    )
-    second = _verified(_possible(ends, percent), classes, docs, counts, size, percent)
-
-    # Rows that share a doc_id hold their classes together.
-    same = rows.where("key is not null").join(classes.select("key", "node").hint("merge"), "key").where("doc_id <> node")
-    held = same.join(classes.select(F.col("node").alias("other")).distinct().hint("merge"), F.col("doc_id") == F.col("other"))
-    held = held.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    final = staged(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second).union(held)))
-    known = classes.select("key", "node").join(final.hint("merge"), "node", "left").select("key", F.coalesce("label", "node").alias("__label"))
-    out = rows.select("doc_id", "n_shingles", "key").join(known.hint("merge"), "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("__label", "doc_id").alias("component_id"))
+
+def jaccard_join(docs: DataFrame, size: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text and whatever else).
+
+    Two documents link when their sets of `size`-word n-grams (ASCII letters without case) have a Jaccard similarity of
+    `percent` hundredths or more; component_id is the smallest doc_id reachable by links, the document itself included.
+    Null and empty texts have no n-grams and link with nothing. Rows with equal doc_id count as one document. Rows
+    with a null doc_id link like others; their component_id is null if it has no row with a doc_id. An empty table gives
+    an empty one; other columns play no part.
+    """
+    rows, labels = _labelled(docs, size, percent)
+    sets = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
+    sets = staged(sets.join(labels.hint("merge"), "key", "left").select("key", "least", F.coalesce("label", "key").alias("label")))
+    # Rows that share a doc_id hold their components together.
+    several = rows.where("key is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    several = several.where("doc_id is not null AND a <> b").select("doc_id", "a")
+    held = rows.select("doc_id", "key").join(several.hint("merge"), "doc_id").select("a", F.col("key").alias("b")).distinct()
+    ends = sets.select("key", "label")
+    held = held.join(ends.select(F.col("key").alias("a"), F.col("label").alias("la")).hint("merge"), "a")
+    held = held.join(ends.select(F.col("key").alias("b"), F.col("label").alias("lb")).hint("merge"), "b")
+    merged = components(held.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    sets = sets.join(merged.select(F.col("node").alias("label"), F.col("label").alias("wider")).hint("merge"), "label", "left")
+    sets = staged(sets.select("key", "least", F.coalesce("wider", "label").alias("label")))
+    smallest = sets.groupBy("label").agg(F.min("least").alias("component"))
+    known = sets.select("key", "label").join(smallest.hint("merge"), "label").select("key", "component")
+    out = rows.join(known.hint("merge"), "key", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, size: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` that stand for their component, with all columns: one row each, that of the smallest doc_id.
+    """The rows of `docs` that stand for their component, with all columns: one row each.
 
-    `size` and `percent` are those of `jaccard_join`. Rows without n-grams stay. Of several rows with the smallest doc_id one stays, the one with the smallest hash.
+    `size` and `percent` are those of `jaccard_join`, but every row counts as a document of its own, whatever its
+    doc_id. Of a component the row with the smallest doc_id stays; null comes after all others, and among equal ones the
+    smallest hash of the text decides. Rows without n-grams stay.
     """
-    found = jaccard_join(docs, size, percent).where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("__component"))
-    dropped = found.where("doc_id <> __component").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(dropped.hint("merge"), docs["doc_id"] == F.col("__id"), "left_anti")
-    # The join has brought equal doc_ids together, so this sorts but moves nothing.
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumns({"__copy": copy}).where("__copy = 1 OR doc_id IS NULL").select(*[kept[c] for c in docs.columns])
+    rows, labels = _labelled(docs, size, percent)
+    rows = rows.where("key is not null").join(labels.hint("merge"), "key", "left").select("doc_id", "text_hash", F.coalesce("label", "key").alias("label"))
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    ranked = rows.join(first.hint("merge"), "label").select("doc_id", "text_hash", F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash").eqNullSafe(F.col("first")).alias("stays"))
+    # Rows that agree in doc_id and hash of the text have one set, and one answer.
+    decided = ranked.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"))
+    key = [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")]
+    # The columns travel as one, so none of their names can clash.
+    named = docs.select(F.struct(*docs.columns).alias("row"), *key, F.xxhash64("text").alias("hash"))
+    decided = decided.select(*key, F.col("text_hash").alias("hash"), "stays")
+    kept = named.join(decided.hint("merge"), ["none", "id", "hash"], "left").where("stays is null OR stays")
+    # The join has brought equal rows together, so this sorts but moves nothing.
+    copy = F.row_number().over(Window.partitionBy("none", "id", "hash").orderBy("hash"))
+    return kept.withColumns({"copy": copy}).where("copy = 1 OR stays is null").select("row.*")

@@ -72,18 +72,66 @@ def test_chains_and_groups(spark):
     assert len({r.component_id for r in out}) < len(rows) - 60
 
 
-def test_trie_agrees_with_sets():
+def connected(n, pairs):
+    tree = list(range(n))
+    for a, b in pairs:
+        old, new = tree[a], tree[b]
+        tree = [new if t == old else t for t in tree]
+    return {frozenset(i for i in range(n) if tree[i] == t) for t in tree}
+
+
+def test_tries_agree_with_sets():
     rng = np.random.default_rng(4)
     for percent in (50, 80, 90, 100):
-        query = rng.choice(400, 200, replace=False).astype(np.uint64)
-        members = []
-        for _ in range(80):
-            keep = query[rng.random(200) < rng.uniform(0.7, 1)]
-            more = rng.choice(np.arange(400, 500), rng.integers(0, 40), replace=False).astype(np.uint64)
-            members.append(np.sort(np.concatenate([keep, more])))
-        found = join.linked(np.sort(query), [m.tobytes() for m in members], percent)
-        overlap = [len(np.intersect1d(m, query)) for m in members]
-        assert found == [100 * o >= percent * (len(m) + len(query) - o) for m, o in zip(members, overlap)]
+        for blocks in (1, 2):
+            base, sets = rng.choice(400, 200, replace=False).astype(np.uint64), []
+            for _ in range(60):
+                if rng.random() < 0.1:
+                    base = rng.choice(400, rng.integers(1, 300), replace=False).astype(np.uint64)
+                more = rng.choice(np.arange(400, 500), rng.integers(0, 12), replace=False).astype(np.uint64)
+                sets.append(np.sort(np.concatenate([base[rng.random(len(base)) < rng.uniform(0.85, 1)], more])))
+            sets = [s for s in [*sets, sets[0]] if len(s)]
+            own, block = rng.random(len(sets)) < 0.7, rng.integers(0, blocks, len(sets))
+            overlap = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i)}
+            links = [
+                (i, j) for (i, j), o in overlap.items()
+                if (own[i] or own[j]) and (len(set(block)) == 1 or block[i] != block[j]) and 100 * o >= percent * (len(sets[i]) + len(sets[j]) - o)
+            ]
+            found = join.linked(sets, own, block, percent)
+            assert set(found) <= set(links) | {(j, i) for i, j in links}
+            assert connected(len(sets), found) == connected(len(sets), links) and len(found) < len(sets)
+
+
+def copies(rng, n, words, changed):
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, out = [word() for _ in range(words)], []
+    for _ in range(n):
+        copy = [*base]
+        for i in rng.sample(range(words), changed):
+            copy[i] = word()
+        out.append(" ".join(copy))
+    return out
+
+
+def test_copies_just_below_the_threshold(spark, monkeypatch):
+    """Copies that differ from one another by about a tenth of their n-grams; small blocks make several tasks of the group."""
+    monkeypatch.setattr(join, "BLOCK_GRAMS", 2_000)
+    df = spark.createDataFrame(list(enumerate(copies(random.Random(6), 150, 100, 2))), "doc_id long, text string").repartition(4)
+    out = check(df)
+    assert 1 < len({r.component_id for r in out}) <= 150
+
+
+def test_rows_grow_with_members(spark):
+    """Two thousand copies below the threshold, none of which links: few rows each are moved, however many pairs there are."""
+    df = spark.createDataFrame(list(enumerate(copies(random.Random(7), 2_000, 60, 3))), "doc_id long, text string").repartition(4)
+    rows, labels = join._labelled(df, 3, 90)
+    keyed = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    counts = join._counted(keyed, 3)
+    prefixes = {r[0]: join._ordered(join.grams(r[1], 3), counts) for r in df.collect()}
+    first = [(str(i).encode(), len(g), g[: len(g) - -(-len(g) * 90 // 100) + 1].view(np.int64).tolist()) for i, g in prefixes.items()]
+    members = join._groups(spark.createDataFrame(first, "key binary, n long, prefix array<long>"), 90)
+    assert members.count() <= 12 * 2_000
+    assert rows.count() == 2_000
 
 
 def test_components(spark):
@@ -108,6 +156,19 @@ def test_representatives_keep_one_row_each(docs, no_docs):
     assert join.representatives(no_docs).count() == 0 and join.jaccard_join(no_docs).count() == 0
 
 
+def test_representatives_of_repeated_and_missing_ids(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word() for _ in range(50)) for _ in range(6)]
+    near = " ".join([*texts[3].split()[:-1], "end"])
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (None, near), (9, texts[3]), (None, texts[4])]
+    rows += [(5, texts[5]), (5, texts[5]), (6, None), (6, None), (None, ""), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(map(tuple, join.representatives(df).collect()), key=str)
+    alone = [(6, None), (6, None), (None, ""), (None, " ")]
+    assert kept == sorted([(1, texts[0]), (1, texts[1]), (None, texts[2]), (9, texts[3]), (None, texts[4]), (5, texts[5]), *alone], key=str)
+
+
 def test_representatives_at_five_words(spark):
     """Near copies at five words and 80 % that three words and 90 % keep apart."""
     rng = random.Random(8)

@@ -3,6 +3,7 @@
 import hashlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -49,6 +50,18 @@ def test_stages_in_order(spark, sf_dir):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_awkward_corpus(spark, docs):
+    """Null, empty and very long texts, repeated and missing ids, copies, and columns with names that stages use themselves."""
+    clash = {c: F.lit(i) for i, c in enumerate(("kept", "key", "label", "spans", "size", "taken", "n_tokens", "__copy", "gaps"))}
+    corpus = docs.withColumns(clash)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, corpus = corpus, staged(stage(spark, corpus, ""))
+        assert corpus.columns == [*docs.columns, *clash]
+        assert {r.doc_id for r in corpus.collect()} <= {r.doc_id for r in before.collect()}
+    encoded = staged(corpus_pipeline.STAGES[-1][1](spark, corpus, ""))
+    assert encoded.count() == corpus.count() and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(encoded.columns)
+
+
 def test_empty_corpus(spark, no_docs):
     docs = no_docs
     for _, stage in corpus_pipeline.STAGES:
