@@ -160,7 +160,7 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     hash, twice. Equal rows are told apart by their number only, so they share what the mix takes of them all.
     """
     digest = F.xxhash64("text")
-    mixture = mix(docs.withColumns({"__digest": digest}), seed=seed, keys=("__digest",))
+    mixture = mix(docs.select("doc_id", "text", "source", digest.alias("__digest")), seed=seed, keys=("__digest",))
     ids = ("__id", "__source", "__digest")
     shares = mixture.rows.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "__digest").agg(
         (F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("__share")
@@ -168,10 +168,12 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     times = F.floor(F.col("__share") + _uniform(F.lit(seed + 1), F.col("__id"), F.col("__source"), F.col("__digest"))).cast("int")
     shares = shares.select(*ids, times.alias("__times")).where("__times > 0")
     match = (
-        F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (digest == F.col("__digest"))
+        F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__digest"))
     )
-    out = docs.join(shares, match).withColumns({"__copy": F.explode(F.sequence(F.lit(1), F.col("__times")))})
-    return out.select(*[docs[c] for c in docs.columns])
+    # The columns travel as one, so none of their names can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", digest.alias("__text"))
+    out = rows.join(shares, match).withColumns({"__copy": F.explode(F.sequence(F.lit(1), F.col("__times")))})
+    return out.select("__row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
