@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from siftwell.llm.batches import slices, with_columns
 from siftwell.llm.shared import ship
-from siftwell.llm.training import Adam, fold, sampled, shuffled, windows
+from siftwell.llm.training import Adam, excerpt, fold, sampled, shuffled, windows
+from siftwell.storage import staged
 
 CHUNK, WIDTH, STRIDE, PAD = 512, 8, 2, 256
 STEP = CHUNK - WIDTH
@@ -24,6 +25,8 @@ EMBED, FILTERS, HIDDEN = 8, 32, 16
 # Training: documents per label, chunks seen of each in a round, rounds.
 SAMPLE_PER_LABEL = 1_200
 SEEN, ROUNDS, BATCH, RATE = 4, 14, 64, 3e-3
+# Characters of a sampled text that are trained on, and sampled ids that are broadcast.
+EXCERPT, MOST_BROADCAST = 1 << 15, 100_000
 # Chunks that are scored together.
 TOGETHER = 128
 
@@ -178,13 +181,18 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 3) -> W
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Weights:
     """Train on about `per_label` documents of each label outside the held-out fold.
 
-    The sample is bounded, so it is collected; label shares come from all labels. Nulls in text or label are left out.
+    The sample is bounded, in texts and in what is taken of each, so it is collected; label shares come from all labels.
+    Nulls in text or label are left out; of rows with equal doc_id one is taken.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), 4) != 2))
     known = known.select("doc_id", F.col("quality").cast("int").alias("label")).distinct()
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    picked = sampled(known, "label", per_label)
-    rows = docs.select("doc_id", "text").where("text is not null").join(picked, "doc_id").orderBy("doc_id", "text", "label").collect()
+    picked = staged(sampled(known, "label", per_label))
+    # The ids are as many as the sample, whatever the corpus; one text of each is taken, and of a long one an excerpt.
+    near = F.broadcast(picked) if picked.count() <= MOST_BROADCAST else picked.hint("merge")
+    texts = docs.where("text is not null").select("doc_id", excerpt(F.col("text"), EXCERPT).alias("text")).join(near, "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = texts.orderBy("doc_id", "text", "label").collect()
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     return train([r.text for r in rows], [r.label for r in rows], share)
 
@@ -192,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
 def score(docs: DataFrame, weights: Weights, text: str = "text", column: str = "score") -> DataFrame:
     """`docs` with the probability that its label is 1; a column of that name is replaced.
 
-    Null counts as an empty text, which gets a score like any other.
+    Null counts as an empty text, which gets a score like any other; repeated rows get equal scores, an empty table none.
+    The length, one feature of many, counts up to eight chunks; the chunks of longer texts are all looked at.
     """
     ship(docs.sparkSession)
 

@@ -26,6 +26,14 @@ def sampled(keys: DataFrame, label: str, per_label: int) -> DataFrame:
     return keys.where(draw < F.try_element_at(chance, F.col(label)))
 
 
+def excerpt(text: Column, most: int, stretches: int = 16) -> Column:
+    """The text or, where it has more than `most` characters, evenly spaced stretches of it with so many together."""
+    length, size = F.char_length(text), most // stretches
+    step = (length - size) / float(stretches - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(stretches - 1)), lambda k: F.substring(text, (F.lit(1) + F.floor(k * step)).cast("int"), F.lit(size)))
+    return F.when(length <= most, text).otherwise(F.array_join(cut, ""))
+
+
 class Adam:
     """Steps for a dict of arrays."""
 
