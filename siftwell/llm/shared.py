@@ -29,6 +29,13 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the file system that Spark resolves it to, for readers and writers that are not Spark's."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, through the shared folder.
 

@@ -15,6 +15,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.batches import slices
-from siftwell.llm.shared import fresh_folder, ship
+from siftwell.llm.shared import fresh_folder, qualified, ship
 from siftwell.storage import staged
 
 FRAME_BYTES = 1 << 20
@@ -45,12 +46,16 @@ LINE_WORDS = 500
 
 ID = np.dtype("<u4")
 
+# Hadoop's names of file systems that pyarrow has under others.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasb": "abfs", "wasbs": "abfs"}
+
 
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, word by word.
 
     Nothing such a tokenizer does to a text reaches over ASCII white space, so the ids of a text are those of its
-    words in turn, and each distinct word goes through the tokenizer once as long as it is kept.
+    words in turn, and each distinct word goes through the tokenizer once as long as it is kept. Ids are kept and given as
+    integers of the width that the vocabulary needs.
     """
 
     def __init__(self, path: str):
@@ -66,13 +71,15 @@ class WordEncoder:
         self.cores: dict[bytes, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         mark = self.tokenizer.model.end_of_word_suffix or ""
+        self.kind = np.dtype("<u2") if max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else ID
         self.ends = np.array([bool(mark) and (self.tokenizer.id_to_token(i) or "").endswith(mark) for i in range(size)])
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each UTF-8 text as bytes; none for null."""
         if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-            self.cores.clear()
+            # Words that came early are the common ones.
+            self.words = dict(islice(self.words.items(), KEPT_WORDS // 2))
+            self.cores = dict(islice(self.cores.items(), KEPT_WORDS // 2))
         split = [t.split() if t else [] for t in texts]
         new = list(set().union(*split) - self.words.keys())
         parts = list(map(_core, new))
@@ -93,16 +100,16 @@ class WordEncoder:
         others = [w for w in words if not (w.isalpha() and len(w) <= KEPT_WORD_BYTES)]
         lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
         for line, found in zip(lines, self.tokenizer.encode_batch_fast(list(map(" ".join, lines)), add_special_tokens=False)):
-            ids = np.array(found.ids, ID)
+            ids = np.array(found.ids, self.kind)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(line):
                 others += line
                 continue
-            raw, size = ids.tobytes(), ID.itemsize
+            raw, size = ids.tobytes(), self.kind.itemsize
             bounds = [0, *(ends * size).tolist()]
             self.cores.update((w.encode(), raw[i:j]) for w, i, j in zip(line, bounds, bounds[1:]))
         encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
-        self.cores.update((w.encode(), np.array(e.ids, ID).tobytes()) for w, e in zip(others, encoded))
+        self.cores.update((w.encode(), np.array(e.ids, self.kind).tobytes()) for w, e in zip(others, encoded))
 
 
 _CLOSING = b".,;:!?()*#$%&"
@@ -125,12 +132,20 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a qualified path by the name that pyarrow knows it under, and the path in it."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pa.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pa.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
 class _Writer:
     """Writes one file; `close` returns its row of the manifest."""
 
     def __init__(self, folder: str, part: int):
         self.part, self.path = part, f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.zst"
-        system, path = pa.fs.FileSystem.from_uri(self.path) if ":" in self.path else (pa.fs.LocalFileSystem(), self.path)
+        system, path = _open(self.path)
         system.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = system.open_output_stream(path, compression=None)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL)
@@ -168,7 +183,7 @@ class TokenFile:
     """Reads a file by its seek table."""
 
     def __init__(self, path: str):
-        system, inner = pa.fs.FileSystem.from_uri(path) if ":" in path else (pa.fs.LocalFileSystem(), path)
+        system, inner = _open(path)
         self.file = system.open_input_file(inner)
         end = self.file.size()
         n, _, magic = struct.unpack("<IBI", self._at(end - 9, 9))
@@ -228,7 +243,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, documents_per_f
     """
     spark = docs.sparkSession
     ship(spark)
-    folder = folder or fresh_folder(spark, "tokens")
+    folder = qualified(spark, folder or fresh_folder(spark, "tokens"))
     rows = docs.select(F.count(F.lit(1)).alias("n")).first().n
     files = max(1, min(MOST_FILES, -(-rows // documents_per_file)))
     cuts = [i / files for i in range(1, files)]
@@ -241,45 +256,35 @@ def write(docs: DataFrame, path: str, folder: str | None = None, documents_per_f
         for batch in batches:
             for part in slices(batch, "text"):
                 keys = part.column("doc_id").to_pylist()
-                ids = word_encoder(path).encode(part.column("text").cast(pa.binary()).to_pylist())
+                ids = pa.array(word_encoder(path).encode(part.column("text").cast(pa.binary()).to_pylist()), pa.binary())
                 place = [len(bounds) + 1 if k is None else int(p) for k, p in zip(keys, np.searchsorted(bounds, [k or 0 for k in keys]))]
-                # Narrow ids where they fit halve what is moved.
-                narrow = [np.frombuffer(i, ID).astype("<u2").tobytes() if _fits(i) else None for i in ids]
-                wide = [None if n is not None else i for n, i in zip(narrow, ids)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(place, pa.int32()), pa.array(keys, pa.int64()), pa.array(narrow, pa.binary()), pa.array(wide, pa.binary())],
-                    ["part", "doc_id", "narrow", "wide"],
-                )
+                columns = [pa.array(place, pa.int32()), pa.array(keys, pa.int64()), ids]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "ids"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, rows = None, []
-        end = np.array([END_ID], ID).tobytes()
+        kind, end = word_encoder(path).kind, np.array([END_ID], ID).tobytes()
         for batch in batches:
-            for part, key, narrow, wide in zip(*[batch.column(c).to_pylist() for c in ("part", "doc_id", "narrow", "wide")]):
+            for part, key, ids in zip(*[batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")]):
                 if writer is None or writer.part != part:
                     if writer is not None:
                         rows.append(writer.close())
                     writer = _Writer(folder, part)
-                ids = wide if narrow is None else np.frombuffer(narrow, "<u2").astype(ID).tobytes()
-                writer.add(key, ids + end)
+                writer.add(key, np.frombuffer(ids, kind).astype(ID, copy=False).tobytes() + end)
         if writer is not None:
             rows.append(writer.close())
         columns = list(zip(*rows)) or [(), (), (), ()]
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "path", "n_docs", "n_tokens"])
 
-    encoded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "part int, doc_id long, narrow binary, wide binary")
-    ordered = encoded.repartition(files, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "narrow", "wide")
+    encoded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "part int, doc_id long, ids binary")
+    # Ids of the ranges, and one for rows without a doc_id.
+    ordered = encoded.repartitionById(len(bounds) + 2, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
     manifest = staged(ordered.mapInArrow(store, "part int, path string, n_docs long, n_tokens long"))
     # One row per file.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).cast("long")
-    return TokenFiles(manifest.withColumns({"start": start}), files)
-
-
-def _fits(ids: bytes) -> bool:
-    found = np.frombuffer(ids, ID)
-    return not len(found) or int(found.max()) < 1 << 16
+    return TokenFiles(manifest.withColumns({"start": start}), len(bounds) + 2)
 
 
 def read(files: TokenFiles) -> DataFrame:
@@ -303,7 +308,7 @@ def read(files: TokenFiles) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.manifest.repartition(files.readers, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.manifest.repartitionById(files.readers, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(files: TokenFiles, wanted: list[int]) -> DataFrame:
@@ -322,4 +327,4 @@ def lookup(files: TokenFiles, wanted: list[int]) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids"])
 
-    return files.manifest.repartition(files.readers, "part").mapInArrow(run, "doc_id long, ids array<long>")
+    return files.manifest.repartitionById(files.readers, "part").mapInArrow(run, "doc_id long, ids array<long>")
