@@ -32,6 +32,8 @@ SCALE = 1_000_000
 OPEN, WIDER = 2, 8
 # Words that a task collects before it combines their phrases, and words it keeps hashed.
 TOGETHER, KEPT_WORDS = 1 << 22, 300_000
+# Rows of a table of languages that are broadcast.
+MOST_LANGUAGES = 100_000
 
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SEPARATED = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
@@ -62,11 +64,11 @@ def _hashes(lang: str) -> _Words:
 
 def _tokens(text: str) -> list[bytes]:
     """Words in lower case and a break wherever a piece ends."""
-    return [w for w in text.encode().lower().translate(_SEPARATED).replace(_BREAK, b" \n ").split(b" ") if w] + [_BREAK]
+    return [*filter(None, text.encode().lower().translate(_SEPARATED).replace(_BREAK, b" \n ").split(b" ")), _BREAK]
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, dict[int, bytes]]]:
-    """Languages with hashes of words, many texts at a time, and the words behind the hashes."""
+def _gathered(batches: Iterator[pa.RecordBatch], named: bool = False) -> Iterator[tuple[str, np.ndarray, dict[int, bytes]]]:
+    """Languages with hashes of words, many texts at a time, and, if asked for, the words behind the hashes."""
     held: dict[str, list[np.ndarray]] = {}
     names: dict[str, dict[int, bytes]] = {}
     total = 0
@@ -76,13 +78,14 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarr
                 if not text:
                     continue
                 found, known = _tokens(text), _hashes(lang)
-                held.setdefault(lang, []).append(np.array([known[w] for w in found], np.uint64))
-                names.setdefault(lang, {}).update((known[w], w) for w in set(found))
+                held.setdefault(lang, []).append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+                if named:
+                    names.setdefault(lang, {}).update((known[w], w) for w in set(found))
                 total += len(found)
             if total > TOGETHER:
-                yield from ((k, np.concatenate(v), names[k]) for k, v in held.items())
+                yield from ((k, np.concatenate(v), names.get(k, {})) for k, v in held.items())
                 held, names, total = {}, {}, 0
-    yield from ((k, np.concatenate(v), names[k]) for k, v in held.items())
+    yield from ((k, np.concatenate(v), names.get(k, {})) for k, v in held.items())
 
 
 def _combined(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -104,7 +107,7 @@ def _words(docs: DataFrame) -> DataFrame:
     """lang, h, word and f of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, x, names in _gathered(batches):
+        for lang, x, names in _gathered(batches, named=True):
             h, n = np.unique(x[x != 0], return_counts=True)
             langs = pa.array([lang] * len(h), pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -162,9 +165,14 @@ def _thresholds(pairs: DataFrame, langs: DataFrame, place: int) -> DataFrame:
     return langs.join(at, "lang", "left").select("lang", F.coalesce("t", F.lit(0)).cast("long").alias("t"))
 
 
+def _beside(langs: DataFrame) -> DataFrame:
+    """A written table with one row per language, to be broadcast where it is counted to be small, as languages are."""
+    return F.broadcast(langs) if langs.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES else langs.hint("merge")
+
+
 def _survivors(docs: DataFrame, words: DataFrame, pairs: DataFrame, thresholds: DataFrame, least: int, share: int) -> DataFrame:
     """All phrases that reach their language's threshold and that no longer one displaces."""
-    reach = pairs.join(thresholds.hint("merge"), "lang")
+    reach = pairs.join(_beside(thresholds), "lang")
     opened = staged(reach.select(
         "lang", "h1", "h2", "f", "f1", "f2", "score", "t",
         (F.col("f") * SCALE >= F.col("t") * F.col("f1")).alias("begins"), (F.col("f") * SCALE >= F.col("t") * F.col("f2")).alias("ends"),
@@ -228,7 +236,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, share: int
     spelled = spelled.groupBy("hs").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda w: w["word"]), " ").alias("phrase"))
     best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = out.join(spelled.hint("merge"), "hs").withColumns({"rank": F.row_number().over(best).cast("long")}).where(F.col("rank") <= top)
-    return ranked.join(F.broadcast(sizes), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(_beside(sizes), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 REPORT_SQL = r"""
