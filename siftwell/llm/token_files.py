@@ -134,9 +134,9 @@ def word_encoder(path: str) -> WordEncoder:
 
 def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a qualified path by the name that pyarrow knows it under, and the path in it."""
-    scheme, _, rest = uri.partition(":")
-    if scheme == "file":
-        return pa.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme == "file":
+        return pa.fs.LocalFileSystem(), "/" + (rest or scheme).lstrip("/")
     return pa.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
