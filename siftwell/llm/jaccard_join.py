@@ -11,6 +11,8 @@
    they form a trie: sets in their global order lie sorted, with the depth each shares with the one before. Overlaps with
    all other sets at once are carried down the trie and shared by the sets below; a subtree is left as soon as what
    remains of its sets cannot make up for what is missing. Of the links found a task returns a forest.
+   This is done twice: first with the beginnings of the sets only, which must share enough of themselves already, then
+   with whole sets, but only those that are still together.
 
 N-grams are known by a 64-bit hash of their words, sets by a 128-bit digest.
 """
@@ -36,6 +38,8 @@ KEPT_WORDS = 300_000
 # N-grams in a block of a group; a task holds two blocks.
 BLOCK_GRAMS = 1 << 20
 BLOCK = 64
+# Of a set's n-grams, in hundredths, how many more than those joined on are kept for the first tries.
+MORE = 5
 
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
@@ -92,16 +96,17 @@ def _counted(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def linked(sets: list[np.ndarray], own: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], whole: np.ndarray, own: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A forest over the sets whose trees are what links of `percent` hundredths or more connect.
 
-    Sets are in the global order. Two of them are compared if one is marked as own and if their blocks differ, or there
-    is only one block.
+    Sets are in the global order. Of sets given by their beginning only, smaller than their `whole` size, those are
+    connected that can still link. Two are compared if one is marked as own and if their blocks differ, or there is only
+    one block.
     """
     raw = [s.tobytes() for s in sets]
     order = sorted(range(len(sets)), key=raw.__getitem__)
     sizes = np.array([len(sets[i]) for i in order], np.int64)
-    own, block = own[order], block[order]
+    own, block, whole = own[order], block[order], whole[order]
     all_pairs = len(set(block.tolist())) == 1
     _, tokens, counts = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
     holders = np.repeat(np.arange(len(order)), sizes)[np.argsort(tokens, kind="stable")]
@@ -131,7 +136,9 @@ def linked(sets: list[np.ndarray], own: np.ndarray, block: np.ndarray, percent:
         del path[(int(differ[0]) if len(differ) else top) // BLOCK + 1 :]
         previous = mine
         others = np.flatnonzero((own[x + 1 :] | own[x]) & (all_pairs | (block[x + 1 :] != block[x]))) + x + 1
-        need = -(-(n + sizes[others]) * percent // (100 + percent))
+        # The overlap of whole sets, less what one of them may have after its beginning.
+        need = -(-(whole[x] + whole[others]) * percent // (100 + percent))
+        need = np.maximum(1, need + np.minimum(n - whole[x], sizes[others] - whole[others]))
         while len(others):
             depth = min((len(path) - 1) * BLOCK, n)
             have = path[-1][others]
@@ -152,7 +159,8 @@ def linked(sets: list[np.ndarray], own: np.ndarray, block: np.ndarray, percent:
 def _groups(classes: DataFrame, percent: int) -> DataFrame:
     """head, band, key, n and own: each class with a set beside which another may link; `own` if the band is its own."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)))
-    tokens = classes.select("key", "n", band.alias("band"), F.explode("prefix").alias("gram"))
+    joined = F.expr(f"slice(prefix, 1, CAST(n - (n * {percent} + 99) div 100 + 1 AS int))")
+    tokens = classes.select("key", "n", band.alias("band"), F.explode(joined).alias("gram"))
     shared = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("gram")
     tokens = staged(tokens.join(shared.hint("merge"), "gram"))
     # Sizes of linked sets differ by less than one band, so a set meets those of its own band and of the next.
@@ -167,7 +175,24 @@ def _links(docs: DataFrame, rows: DataFrame, counts: np.ndarray, size: int, perc
     known = rows.where("key is not null").groupBy("key", F.col("n_shingles").alias("n"), "prefix")
     classes = staged(known.agg(F.min(F.struct("text_hash", "doc_id")).alias("text")))
     members = staged(_groups(classes, percent))
-    ends = members.select("key").distinct().join(classes.select("key", "text.*").hint("merge"), "key")
+    load = members.groupBy("head", "band").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("blocks"))
+    dealt = members.join(load.hint("merge"), ["head", "band"]).withColumns({"block": F.pmod(F.xxhash64("key"), F.col("blocks"))})
+    dealt = dealt.withColumns({"other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    dealt = dealt.select("key", "n", "head", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own")
+    task = ["head", "band", "i", "j"]
+    begun = dealt.join(classes.select("key", F.col("prefix").alias("grams")).hint("merge"), "key").repartition(*task).sortWithinPartitions(*task)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["root", *task, "key", "n", "own", "block"]
+        for held in _tasks(batches, task):
+            root = _roots(_forest(held, percent))
+            rows = [(root[i], *held[i][:-1]) for i in sorted(root)]
+            if rows:
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], columns)
+
+    met = staged(begun.mapInArrow(meet, "root long, head binary, band long, i long, j long, key binary, n long, own boolean, block long"))
+    ends = met.select("key").distinct().join(classes.select("key", "text.*").hint("merge"), "key")
     marked = bits(ends.select("text_hash", F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "text_hash", "doc_id")
     shared = docs.sparkSession.sparkContext.broadcast((counts, marked))
 
@@ -179,38 +204,61 @@ def _links(docs: DataFrame, rows: DataFrame, counts: np.ndarray, size: int, perc
             for part in slices(batch.filter(pa.array(wanted)), "text"):
                 sets = [_ordered(grams(t, size), counts) for t in part.column("text").to_pylist()]
                 keys = [hashlib.blake2b(np.sort(s).tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.tobytes() for s in sets], pa.large_binary())], ["key", "grams"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "grams"]
+                )
 
-    sets = docs.mapInArrow(run, "key binary, grams binary").dropDuplicates(["key"])
-    load = members.groupBy("head", "band").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("blocks"))
-    dealt = members.join(load.hint("merge"), ["head", "band"]).withColumns({"block": F.pmod(F.xxhash64("key"), F.col("blocks"))})
-    dealt = dealt.withColumns({"other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
-    dealt = dealt.select("key", "head", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own")
-    task = ["head", "band", "i", "j"]
-    whole = dealt.join(sets.hint("merge"), "key").repartition(*task).sortWithinPartitions(*task)
+    sets = docs.mapInArrow(run, "key binary, grams array<long>").dropDuplicates(["key"])
+    part = ["root", *task]
+    whole = met.join(sets.hint("merge"), "key").repartition(*part).sortWithinPartitions(*part)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, out = None, [], []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*task, "key", "own", "block", "grams")]
-            for *here, key, own, block, raw in zip(*columns):
-                if here != group:
-                    out += _forest(held, percent)
-                    group, held = here, []
-                held.append((key, own, block, raw))
-        out += _forest(held, percent)
-        a, b = zip(*out) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        for held in _tasks(batches, part):
+            key = len(part)
+            found = [(held[x][key], held[y][key]) for x, y in _forest(held, percent)]
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return staged(whole.mapInArrow(join, "a binary, b binary"))
 
 
-def _forest(held: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
-    if len(held) < 2:
-        return []
-    keys, own, block, raw = zip(*held)
-    found = linked([np.frombuffer(r, np.uint64) for r in raw], np.array(own), np.array(block), percent)
-    return [(keys[x], keys[y]) for x, y in found]
+def _roots(forest: list[tuple[int, int]]) -> dict[int, int]:
+    """Of each number that a forest connects with another, one that stands for its tree."""
+    near: dict[int, list[int]] = {}
+    for x, y in forest:
+        near.setdefault(x, []).append(y)
+        near.setdefault(y, []).append(x)
+    out: dict[int, int] = {}
+    for start in near:
+        waiting = [start] if start not in out else []
+        while waiting:
+            x = waiting.pop()
+            if x not in out:
+                out[x] = start
+                waiting += near[x]
+    return out
+
+
+def _tasks(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in the columns `by`, each row as those columns, key, n, own, block and grams."""
+    group, held = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in (*by, "key", "n", "own", "block")]
+        lists = batch.column("grams")
+        values, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        for k, row in enumerate(zip(*columns)):
+            if row[: len(by)] != group:
+                if len(held) > 1:
+                    yield held
+                group, held = row[: len(by)], []
+            held.append((*row, values[offsets[k] : offsets[k + 1]].copy()))
+    if len(held) > 1:
+        yield held
+
+
+def _forest(held: list[tuple], percent: int) -> list[tuple[int, int]]:
+    n, own, block, sets = zip(*(row[-4:] for row in held))
+    return linked(list(sets), np.array(n), np.array(own), np.array(block), percent)
 
 
 def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -227,7 +275,7 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
                 for text in part.column("text").to_pylist():
                     found = grams(text, size)
                     n = len(found)
-                    first = _ordered(found, shared.value)[: n - -(-n * percent // 100) + 1].view(np.int64)
+                    first = _ordered(found, shared.value)[: n - -(-n * percent // 100) + 1 + n * MORE // 100].view(np.int64)
                     rows.append((n, hashlib.blake2b(found.tobytes(), digest_size=16).digest() if n else None, first))
                 n, keys, first = zip(*rows)
                 offsets = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
