@@ -162,11 +162,15 @@ def replace_by_lookup(
     return joined.select(*[fixed[c].alias(c) if c in fixed else quoted(c) for c in df.columns])
 
 
+def outside_any(df: DataFrame, fences: Fences) -> Column:
+    """Whether a row lies outside one of the fences; without a value it does not."""
+    outside = [F.coalesce(is_outside(as_number(df, name), fence), F.lit(False)) for name, fence in fences.items()]
+    return reduce(Column.__or__, outside, F.lit(False))
+
+
 def drop_outliers(df: DataFrame, fences: Fences) -> DataFrame:
     """Rows outside a fence removed; rows without a value there are kept."""
-    for name, fence in fences.items():
-        df = df.where(~F.coalesce(is_outside(as_number(df, name), fence), F.lit(False)))
-    return df
+    return df.where(~outside_any(df, fences)) if fences else df
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:

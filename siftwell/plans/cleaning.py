@@ -7,7 +7,7 @@ log with the outcome of every action.
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property, reduce
 from itertools import chain
 
 from pyspark.errors import PySparkException
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.functions import quoted
 from siftwell.operators.columns import kind_of, nan_to_null, text_columns
 from siftwell.operators.detectors import (
     ACTION_COLUMNS,
@@ -41,11 +42,13 @@ from siftwell.operators.transforms import (
     impute_mode,
     medians,
     most_frequent,
+    outside_any,
     standardize_variants,
     standardize_states,
     variant_examples,
     variant_table,
 )
+from siftwell.plans.audit import dropped_copies, dropped_rows, no_rows, noted, shown, tracked, untracked
 from siftwell.storage import release, staged
 
 ACTION_SCHEMA = T.StructType(
@@ -72,6 +75,9 @@ class CleaningResult:
     data: DataFrame
     log: DataFrame
     before: DataFrame
+    #: `data` with what was changed in each row, and the rows that were dropped; only of an audited application.
+    changes: DataFrame | None = None
+    dropped: DataFrame | None = None
 
     @property
     def applied(self) -> DataFrame:
@@ -203,13 +209,17 @@ def approved_ids(plan: CleaningPlan, approved: str | Iterable[str]) -> set[str]:
     return {r["action_id"] for r in actions.select("action_id").collect()}
 
 
-def apply_cleaning(df: DataFrame, plan: CleaningPlan, approved: str | Iterable[str], **search) -> CleaningResult:
+def apply_cleaning(df: DataFrame, plan: CleaningPlan, approved: str | Iterable[str], audit: bool = False, **search) -> CleaningResult:
     """Apply the approved actions of a plan made for `df`.
 
     Statistics used as fills and fences are taken from the table as it stands at that step, not from
     the plan. Spellings are consolidated as found in `df` itself.
+
+    With `audit` the result also has `changes`, the cleaned table with an array of (column, old, new, action) in each row,
+    and `dropped`, every row that an action dropped, as JSON with the number of copies dropped.
     """
     df = nan_to_null(df)
+    gone: list[DataFrame] = []
     actions = sorted(plan.actions.collect(), key=lambda a: a["sequence"])
     ids = approved_ids(plan, approved)
     chosen = [a for a in actions if a["action_id"] in ids]
@@ -217,15 +227,17 @@ def apply_cleaning(df: DataFrame, plan: CleaningPlan, approved: str | Iterable[s
     failures: dict[str, str] = {a["action_id"]: "[action not executed]" for a in chosen}
     working = df
 
-    def attempt(action: Row, step: Callable[[DataFrame], DataFrame]) -> None:
+    def attempt(action: Row, step: Callable[[DataFrame], DataFrame], drops: Callable[[DataFrame], DataFrame] | None = None) -> None:
         nonlocal working
         column = action["column"]
         if column is not None and column not in working.columns:
             failures[action["action_id"]] = f"[FAILED TO APPLY: column {column!r} not found]"
             return
         try:
-            working = step(working)
-            working.schema  # noqa: B018 - forces analysis, so a step that cannot work fails here
+            after = noted(working, column, action["action"], step) if audit and not drops else step(working)
+            after.schema  # noqa: B018 - forces analysis, so a step that cannot work fails here
+            gone.extend([drops(working)] if audit and drops else [])
+            working = after
             failures.pop(action["action_id"], None)
         except (PySparkException, ValueError, KeyError) as error:
             reason = str(error).splitlines()[0]
@@ -233,7 +245,9 @@ def apply_cleaning(df: DataFrame, plan: CleaningPlan, approved: str | Iterable[s
 
     for action in by_class["dropped_rows"]:
         row_count = plan.summary.first()["row_count"]
-        attempt(action, lambda d: drop_duplicate_rows(d, row_count))
+        attempt(action, lambda d: drop_duplicate_rows(d, row_count), lambda d, a=action: dropped_copies(d, a))
+    if audit:
+        working = tracked(working)
     for action in by_class["coerced_type"]:
         attempt(action, lambda d, c=action["column"]: coerce_numbers(d, [c]))
 
@@ -268,12 +282,18 @@ def apply_cleaning(df: DataFrame, plan: CleaningPlan, approved: str | Iterable[s
     for action in by_class["flagged_not_dropped"]:
         c = action["column"]
         if action["method"] == "iqr":
-            attempt(action, lambda d, c=c: drop_outliers(d, iqr_fences(d, [c], minimum=1, flat=True, **search)))
+            fences = cache(lambda c=c: iqr_fences(working, [c], minimum=1, flat=True, **search))
+            outside = lambda d, a=action, f=fences: dropped_rows(d, a, outside_any(d, f()))
+            attempt(action, lambda d, f=fences: drop_outliers(d, f()), outside)
         else:
-            attempt(action, lambda d, c=c: drop_missing(d, [c]))
+            attempt(action, lambda d, c=c: drop_missing(d, [c]), lambda d, c=c, a=action: dropped_rows(d, a, quoted(c).isNull()))
 
     log = [_outcome(a, a["action_id"] in ids, failures.get(a["action_id"])) for a in actions]
-    return CleaningResult(working, fixed(df.sparkSession, log, ACTION_SCHEMA), plan.summary)
+    outcome = fixed(df.sparkSession, log, ACTION_SCHEMA)
+    if not audit:
+        return CleaningResult(working, outcome, plan.summary)
+    dropped = reduce(DataFrame.unionByName, gone, no_rows(df))
+    return CleaningResult(untracked(working), outcome, plan.summary, shown(working), dropped)
 
 
 def _readable(df: DataFrame, column: str) -> bool:

@@ -29,6 +29,8 @@ FORMATS = {"csv": "csv", "txt": "csv", "tsv": "tsv", "json": "json", "jsonl": "j
 COMPRESSION = ("gz", "bz2", "zst", "lz4", "snappy", "deflate")
 CORRUPT, SURPLUS, FILE = "_corrupt_record", "_surplus_fields", "_source_file"
 ROW_SAMPLE = 5
+# Beyond this Spark does not parse a document as one value, so it could not be told whether a file is one.
+MOST_DOCUMENT_BYTES = 126 << 20
 
 
 @dataclass(frozen=True)
@@ -274,14 +276,17 @@ def load_json(spark: SparkSession, path: str, multi_line: bool | None = None, sc
     written once.
     """
     record = _one_value("value") & F.col("value").rlike(r"^\s*\{")
-    measures = {"n": F.count(F.lit(1)), "records": F.count_if(record), "last": F.max_by("value", "place")}
+    measures = {"n": F.count(F.lit(1)), "records": F.count_if(record), "last": F.max_by("value", "place"), "bytes": F.sum(F.octet_length("value"))}
     facts = _file_facts(spark, path, measures)
     if multi_line is None:
         start, end = F.regexp_extract("first", r"^[\s\x{FEFF}]*(.)", 1), F.regexp_extract("last", r"(.)\s*$", 1)
         closes = ((start == "{") & (end == "}")) | ((start == "[") & (end == "]"))
         # Two values on lines that follow one another are no part of one value; more than half of the lines hold such.
         apart = (F.col("n") > 1) & (_one_value("first") | (F.col("records") * 2 > F.col("n") + 1))
-        facts = staged(facts.select("file", (closes & ~apart).alias("maybe")))
+        facts = staged(facts.select("file", (closes & ~apart).alias("maybe"), "bytes"))
+        large = facts.where(F.col("maybe") & (F.col("bytes") > MOST_DOCUMENT_BYTES)).select("file").first()
+        if large:
+            raise ValueError(f"{large['file']} looks like one JSON document of more than {MOST_DOCUMENT_BYTES >> 20} MiB; split it, or pass multi_line")
         if not facts.where("maybe").isEmpty():
             texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
             texts = texts.join(facts.where("maybe").select("file"), "file", "left_semi")
@@ -348,7 +353,9 @@ def _unwrapped(documents: DataFrame) -> DataFrame:
     chosen = F.when(is_list, F.struct(F.lit("list").alias("origin"), F.col("value").alias("list"))).when(valid, F.coalesce(*lists))
     split = documents.withColumns({"keys": keys}).select("value", chosen.alias("chosen"))
     entries = F.when(F.col("chosen").isNotNull(), F.from_json("chosen.list", T.ArrayType(T.StringType()))).otherwise(F.array("value"))
-    return split.select(F.coalesce("chosen.origin", F.lit("object")).alias("origin"), F.explode(entries).alias("value"))
+    # The document ends here: only its origin goes along with each entry.
+    listed = split.select(F.coalesce("chosen.origin", F.lit("object")).alias("origin"), entries.alias("entries"))
+    return listed.select("origin", F.explode("entries").alias("value"))
 
 
 def _from_texts(spark: SparkSession, values: DataFrame, schema: T.StructType | None) -> DataFrame:

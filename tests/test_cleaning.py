@@ -228,3 +228,29 @@ def test_not_a_number_is_filled(spark):
     plan = propose_cleaning(df)
     assert [(a["column"], a["method"], a["count"]) for a in plan.actions.collect()] == [("v", "median", 1)]
     assert apply_cleaning(df, plan, "safe").data.where("v = 10.0").count() == 2
+
+
+def test_audit_accounts_for_every_row_and_value(spark):
+    rows = [(i, None if i % 10 == 3 else f"{i},000" if i % 2 else str(i), " Yes" if i % 5 == 0 else "Yes", "x") for i in range(40)]
+    rows += [rows[4], rows[4], rows[7]]
+    df = spark.createDataFrame(rows, "id long, amount string, flag string, changes string")
+    plan = propose_cleaning(df)
+    result = apply_cleaning(df, plan, "all", audit=True)
+    assert result.changes.columns == [*result.data.columns, "changes_7"]
+    assert result.changes.drop("changes_7").exceptAll(result.data).count() == 0
+    found = {r.id: [tuple(c) for c in r.changes_7] for r in result.changes.select("id", "changes_7").collect()}
+    assert found[1] == [("amount", "1,000", "1000.0", "coerced_type")]
+    assert found[2] == [] and found[5][1] == ("flag", " Yes", "Yes", "standardized")
+    assert [c[0::3] for c in found[3]] == [("amount", "imputed")] and found[3][0][1] is None
+    copies = {r.row: r.copies for r in result.dropped.where("action = 'dropped_rows'").collect()}
+    assert sorted(copies.values()) == [1, 2] and all('"changes":"x"' in row for row in copies)
+    kept = result.data.count()
+    assert kept + sum(r.copies for r in result.dropped.collect()) == df.count()
+
+
+def test_audit_of_nothing_and_of_failures(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, t string").limit(0)
+    result = apply_cleaning(df, propose_cleaning(df), "all", audit=True)
+    assert result.changes.count() == 0 and result.dropped.count() == 0
+    plain = apply_cleaning(df, propose_cleaning(df), "all")
+    assert plain.changes is None and plain.dropped is None

@@ -2,6 +2,7 @@ import pytest
 
 from siftwell import ingestion_report, load_table, write_cleaning, write_quarantine
 from siftwell import apply_cleaning, propose_cleaning
+from siftwell.sources import readers
 from siftwell.sources.readers import detect_format, nan_to_null, tidy_names
 
 
@@ -192,3 +193,20 @@ def test_json_lines_among_bad_ones(spark, put):
     assert rows(twice.data) == [(3,)] and [r[0] for r in twice.quarantined.collect()] == ['{"a":1} {"a":2}']
     pretty = load_table(spark, put("pretty.json", '[\n{"a":1}\n,\n{"a":2}\n]\n'))
     assert sorted(rows(pretty.data)) == [(1,), (2,)] and pretty.quarantined.count() == 0
+
+
+def test_a_document_is_not_carried_beside_its_records(spark, tmp_path):
+    """When each record came with the whole document, a few megabytes took minutes."""
+    records = ",".join(f'{{"a": {i}, "b": {{"c": "x{i}"}}}}' for i in range(60_000))
+    (tmp_path / "large.json").write_text(f'{{"meta": 1, "data": [{records}]}}')
+    loaded = load_table(spark, str(tmp_path / "large.json"))
+    assert loaded.data.count() == 60_000 and loaded.data.columns == ["a", "b.c"]
+
+
+def test_a_document_too_large_to_tell_is_named(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "MOST_DOCUMENT_BYTES", 20)
+    (tmp_path / "d.json").write_text('[{"a": 1}, {"a": 2}, {"a": 3}]')
+    with pytest.raises(ValueError, match="d.json"):
+        load_table(spark, str(tmp_path / "d.json"))
+    (tmp_path / "l.json").write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
+    assert load_table(spark, str(tmp_path / "l.json")).data.count() == 3

@@ -503,6 +503,18 @@ ORACLES: dict[str, str] = {
     "drop_sparse_nulls": f"WITH {DIRTY} SELECT o_orderkey, sparse_id FROM dirty WHERE sparse_id IS NOT NULL",
     "apply_safe_plan": f"WITH {CLEANED} {CLEANED_DATA.format('safe')}",
     "apply_full_plan": f"WITH {CLEANED} {CLEANED_DATA.format('every')}",
+    "row_audit": f"""WITH {CLEANED}, pairs AS (SELECT d AS d, s AS s FROM dedup d JOIN safe s USING (o_orderkey))
+{union([
+    "SELECT d.o_orderkey AS o_orderkey, 'revenue' AS \"column\", 'coerced_type' AS action, d.revenue AS old, CAST(NULL AS VARCHAR) AS new_text, round(s.revenue, 4) AS new_number FROM pairs WHERE contains(d.revenue, ',')",
+    *[f"SELECT d.o_orderkey, '{c}', 'imputed', NULL, NULL, round(s.{c}, 4) FROM pairs WHERE d.{c} IS NULL" for c in ("revenue", "amount")],
+    "SELECT d.o_orderkey, 'status', 'imputed', NULL, s.status, NULL FROM pairs WHERE d.status IS NULL",
+    *[f"SELECT d.o_orderkey, '{c}', 'standardized', d.{c}, s.{c}, NULL FROM pairs WHERE d.{c} <> s.{c}" for c in ("priority", "state")],
+])}""",
+    "rows_dropped": f"""WITH {CLEANED}
+SELECT 'dropped_rows' AS action, CAST(NULL AS VARCHAR) AS "column", o_orderkey, count(*) - 1 AS copies FROM dirty GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'flagged_not_dropped', 'sparse_id', o_orderkey, 1 FROM safe WHERE sparse_id IS NULL
+UNION ALL SELECT 'flagged_not_dropped', 'amount', o_orderkey, 1 FROM filled WHERE o_orderkey NOT IN (SELECT o_orderkey FROM every)""",
+    "json_large_document": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders",
     "apply_nothing": DIRTY_SQL,
     "cleaning_log": f"{PLAN} SELECT sequence, action, \"column\", method, count, CASE severity WHEN 'safe' THEN 'approved' ELSE 'rejected' END AS status FROM plan",
     "cleaning_summary": f"WITH {SUMMARY} SELECT * FROM summary",

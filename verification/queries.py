@@ -320,6 +320,26 @@ def apply_full_plan(spark, sf_dir):
     return rounded(_cleaned(spark, sf_dir, "all").data)
 
 
+@query
+def row_audit(spark, sf_dir):
+    df = dirty_orders(spark, sf_dir)
+    changes = apply_cleaning(df, propose_cleaning(df), "safe", audit=True).changes
+    rows = changes.select("o_orderkey", F.explode("changes").alias("c")).select("o_orderkey", "c.*")
+    number = F.col("column").isin("revenue", "amount")
+    return rows.select(
+        "o_orderkey", "column", "action", "old", F.when(~number, F.col("new")).alias("new_text"),
+        F.when(number, F.round(F.col("new").try_cast("double"), 4)).alias("new_number"),
+    )
+
+
+@query
+def rows_dropped(spark, sf_dir):
+    df = dirty_orders(spark, sf_dir)
+    dropped = apply_cleaning(df, propose_cleaning(df), "all", audit=True).dropped
+    key = F.get_json_object("row", "$.o_orderkey").cast("bigint").alias("o_orderkey")
+    return dropped.select("action", "column", key, "copies")
+
+
 @query
 def apply_nothing(spark, sf_dir):
     return _cleaned(spark, sf_dir, "none").data
@@ -580,6 +600,16 @@ def json_load(spark, sf_dir):
     return load_json(spark, path, multi_line=False).data
 
 
+@query
+def json_large_document(spark, sf_dir):
+    """The whole of orders as one JSON document of one line, loaded with default options."""
+    path = fresh_path(spark)
+    record = F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority")
+    document = table(spark, sf_dir, "orders").agg(F.to_json(F.struct(F.collect_list(record).alias("data"))).alias("value"))
+    document.write.text(path)
+    return load_json(spark, path).data
+
+
 @query
 def json_unwrap(spark, sf_dir):
     path = fresh_path(spark)
