@@ -41,7 +41,7 @@ SKIPPABLE_DIRECTORY, SKIPPABLE_TABLE, TABLE_MAGIC, CHECKSUMS = 0x184D2A50, 0x184
 
 # Words up to this many bytes are kept with their ids, so many per worker at most.
 KEPT_WORD_BYTES = 64
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 LINE_WORDS = 500
 
 ID = np.dtype("<u4")
