@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from siftwell.functions import parse_number, quoted
 from siftwell.operators.columns import nan_to_null, text_columns
 from siftwell.operators.local import fixed
+from siftwell.sources import documents
 from siftwell.storage import release, staged
 
 # Cell texts that mean "missing".
@@ -29,8 +30,10 @@ FORMATS = {"csv": "csv", "txt": "csv", "tsv": "tsv", "json": "json", "jsonl": "j
 COMPRESSION = ("gz", "bz2", "zst", "lz4", "snappy", "deflate")
 CORRUPT, SURPLUS, FILE = "_corrupt_record", "_surplus_fields", "_source_file"
 ROW_SAMPLE = 5
-# Beyond this Spark does not parse a document as one value, so it could not be told whether a file is one.
-MOST_DOCUMENT_BYTES = 126 << 20
+# Beyond this Spark does not parse a text as one value: the limit for one record, and for what is around a list of them.
+MOST_VALUE_BYTES = 126 << 20
+# Documents of up to this size are parsed whole by one task, larger ones are cut into their entries by many.
+WHOLE_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -266,7 +269,13 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*leaves(df.schema, None, ""))
 
 
-def load_json(spark: SparkSession, path: str, multi_line: bool | None = None, schema: T.StructType | None = None) -> LoadedTable:
+def load_json(
+    spark: SparkSession,
+    path: str,
+    multi_line: bool | None = None,
+    schema: T.StructType | None = None,
+    whole_bytes: int = WHOLE_BYTES,
+) -> LoadedTable:
     """Records from files that hold one per line, a list of them, one object around such a list, or one record.
 
     Each file is read as what it holds: a file whose whole text is exactly one JSON value is a document; all others have
@@ -274,54 +283,53 @@ def load_json(spark: SparkSession, path: str, multi_line: bool | None = None, sc
     first, so only files that open and close like a document are read whole to see. In a document that is an object, the
     first usual key with a list gives the records. Whatever is not a record is quarantined as it stands. Parsed rows are
     written once.
+
+    Documents of more than `whole_bytes` are cut into their entries by many tasks, with the same result. One entry, and
+    all there is around the list, can each be of 126 MiB; a document that is one larger record is refused by name.
     """
-    record = _one_value("value") & F.col("value").rlike(r"^\s*\{")
-    measures = {"n": F.count(F.lit(1)), "records": F.count_if(record), "last": F.max_by("value", "place"), "bytes": F.sum(F.octet_length("value"))}
-    facts = _file_facts(spark, path, measures)
-    if multi_line is None:
-        start, end = F.regexp_extract("first", r"^[\s\x{FEFF}]*(.)", 1), F.regexp_extract("last", r"(.)\s*$", 1)
-        closes = ((start == "{") & (end == "}")) | ((start == "[") & (end == "]"))
-        # Two values on lines that follow one another are no part of one value; more than half of the lines hold such.
-        apart = (F.col("n") > 1) & (_one_value("first") | (F.col("records") * 2 > F.col("n") + 1))
-        facts = staged(facts.select("file", (closes & ~apart).alias("maybe"), "bytes"))
-        large = facts.where(F.col("maybe") & (F.col("bytes") > MOST_DOCUMENT_BYTES)).select("file").first()
-        if large:
-            raise ValueError(f"{large['file']} looks like one JSON document of more than {MOST_DOCUMENT_BYTES >> 20} MiB; split it, or pass multi_line")
-        if not facts.where("maybe").isEmpty():
-            texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-            texts = texts.join(facts.where("maybe").select("file"), "file", "left_semi")
-            whole = texts.select("file", _one_value("value").alias("whole"))
-            facts = facts.join(whole, "file", "left").select("file", F.coalesce("whole", F.lit(False)).alias("whole"))
-        else:
-            facts = facts.select("file", F.lit(False).alias("whole"))
+    facts = _json_facts(spark, path, multi_line, whole_bytes)
+    parts, large = [], facts.where("maybe AND bytes > " + str(whole_bytes))
+    verdict = facts.select("file", "maybe")
+    if not large.isEmpty():
+        cut, entries = _cut(spark, path, large, multi_line)
+        verdict = facts.join(cut, "file", "left").select("file", F.coalesce("whole", "maybe").alias("maybe"), "whole")
+        parts.append(entries)
     else:
-        facts = facts.select("file", F.lit(multi_line).alias("whole"))
-    facts = staged(facts)
-    kinds = {r["whole"] for r in facts.select("whole").distinct().collect()}
+        verdict = verdict.withColumn("whole", F.lit(None).cast("boolean"))
+    # Kinds: documents cut above, documents to read whole, lines.
+    if multi_line is None and not verdict.where("maybe AND whole IS NULL").isEmpty():
+        verdict = staged(verdict)
+        texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+        texts = texts.join(verdict.where("maybe AND whole IS NULL").select("file"), "file", "left_semi")
+        small = texts.select("file", _one_value("value").alias("one"))
+        verdict = verdict.join(small, "file", "left").withColumn("maybe", F.coalesce("one", "maybe")).drop("one")
+    kind = F.when(F.col("whole"), "cut").when(F.col("maybe"), "whole").otherwise("lines")
+    facts = staged(verdict.select("file", kind.alias("kind")))
+    kinds = {r["kind"] for r in facts.select("kind").distinct().collect()}
     if not kinds:
         raise ValueError(f"{path} is empty")
 
-    def read(documents: bool) -> DataFrame:
-        lines = spark.read.text(path, wholetext=documents).where(F.length(F.trim("value")) > 0)
+    def read(kind: str) -> DataFrame:
+        lines = spark.read.text(path, wholetext=kind == "whole").where(F.length(F.trim("value")) > 0)
         lines = lines.select("value", F.col("_metadata.file_path").alias("file"))
         if len(kinds) > 1:
-            lines = lines.join(facts.where(F.col("whole") == documents).select("file"), "file", "left_semi")
+            lines = lines.join(facts.where(F.col("kind") == kind).select("file"), "file", "left_semi")
         return lines.drop("file")
 
-    parts = []
-    if False in kinds:
-        parts.append(read(False).select(F.lit("lines").alias("origin"), "value"))
-    if True in kinds:
-        parts.append(_unwrapped(read(True)))
-    values = staged(reduce(DataFrame.union, parts))
-    good = values.where(record)
-    raw = _from_texts(spark, good, schema)
+    if "lines" in kinds:
+        parts.append(read("lines").select(F.lit("lines").alias("origin"), "value"))
+    if "whole" in kinds:
+        parts.append(_unwrapped(read("whole")))
+    # Each value is tested once, here.
+    record = F.coalesce(_one_value("value") & F.col("value").rlike(r"^\s*\{"), F.lit(False))
+    values = staged(reduce(DataFrame.union, parts).withColumn("good", record))
+    raw = _from_texts(spark, values.where("good"), schema)
     flat = nan_to_null(flatten(raw.drop(CORRUPT) if CORRUPT in raw.columns else raw))
     names, name_notes = tidy_names(flat.columns)
     data = flat.toDF(*names)
-    bad = values.where(~F.coalesce(record, F.lit(False))).select(F.col("value").alias("record"))
+    bad = values.where("NOT good").select(F.col("value").alias("record"))
 
-    found = {(r["origin"], r["good"]): r["count"] for r in values.groupBy("origin", F.coalesce(record, F.lit(False)).alias("good")).count().collect()}
+    found = {(r["origin"], r["good"]): r["count"] for r in values.groupBy("origin", "good").count().collect()}
     notes = [f"Top-level JSON was an object; used the '{k}' list field." for k in ENVELOPE_KEYS if (k, True) in found or (k, False) in found]
     for key in ENVELOPE_KEYS:
         if (key, False) in found and (key, True) not in found:
@@ -337,6 +345,52 @@ def load_json(spark: SparkSession, path: str, multi_line: bool | None = None, sc
     return LoadedTable(data, bad, "json", path, tuple(notes))
 
 
+def _json_facts(spark: SparkSession, path: str, multi_line: bool | None, whole_bytes: int) -> DataFrame:
+    """One row per file: whether it may be one document, its bytes, and the depth of records in such a document.
+
+    Only marks of lines are kept and compared, never whole lines. A longer line than `whole_bytes` is not tested here.
+    """
+    space = F.lit(" \t\r\n")
+    single = F.when(F.octet_length("value") <= whole_bytes, _one_value("value")).otherwise(False)
+    start, end = F.regexp_extract(F.substr("value", F.lit(1), F.lit(1000)), r"^[\s\x{FEFF}]*(.)", 1), F.right(F.rtrim("value", space), F.lit(1))
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        start.alias("start"), end.alias("end"), F.octet_length("value").alias("bytes"),
+        *([single.alias("single")] if multi_line is None else []),
+    )
+    ends = [F.min_by("start", "place").alias("start"), F.max_by("end", "place").alias("end"), F.sum("bytes").alias("bytes")]
+    if multi_line is None:
+        records = F.count_if(F.col("single") & (F.col("start") == "{"))
+        ends += [F.count(F.lit(1)).alias("n"), records.alias("records"), F.min_by("single", "place").alias("first")]
+    facts = lines.groupBy("file").agg(*ends)
+    maybe = F.lit(multi_line)
+    if multi_line is None:
+        closes = ((F.col("start") == "{") & (F.col("end") == "}")) | ((F.col("start") == "[") & (F.col("end") == "]"))
+        # Two values on lines that follow one another are no part of one value; more than half of the lines hold such.
+        maybe = closes & ~((F.col("n") > 1) & (F.col("first") | (F.col("records") * 2 > F.col("n") + 1)))
+    return staged(facts.select("file", maybe.alias("maybe"), "bytes", F.when(F.col("start") == "[", 1).otherwise(2).alias("level")))
+
+
+def _cut(spark: SparkSession, path: str, large: DataFrame, multi_line: bool | None) -> tuple[DataFrame, DataFrame]:
+    """(file, whole): true for files cut here, null for those to read whole, false for lines; and the entries cut."""
+    pieces = documents.pieces_of(spark, path, large.select("file", "level"))
+    places = documents.placed(pieces)
+    lists = documents.chosen_lists(pieces, places, ENVELOPE_KEYS)
+    verdict, entries = documents.entries_of(pieces, places, lists.where("key IS NOT NULL"), _one_value)
+    known = large.join(lists.select("file", F.col("key").isNotNull().alias("listed")), "file", "left").join(verdict, "file", "left")
+    too_large = known.where((~F.col("listed") & (F.col("bytes") > MOST_VALUE_BYTES)) | (F.col("frame_bytes") > MOST_VALUE_BYTES)).first()
+    if too_large:
+        raise ValueError(f"{too_large['file']} looks like one JSON record of more than {MOST_VALUE_BYTES >> 20} MiB; split it, or pass multi_line")
+    whole = F.when(F.col("listed").isNull(), False).when(F.col("listed"), F.coalesce("whole", F.lit(False)))
+    if multi_line:
+        whole = F.when(whole, True)
+    verdict = staged(known.select("file", whole.alias("whole")))
+    entries = entries.join(verdict.where("whole").select("file"), "file", "left_semi")
+    return verdict, entries.select("origin", "value")
+
+
 def _one_value(text: str) -> Column:
     """Whether a text is exactly one JSON value; the parser alone would pass over what follows the first."""
     mark = "\u2063end"
@@ -351,7 +405,7 @@ def _unwrapped(documents: DataFrame) -> DataFrame:
     valid = F.try_parse_json("value").isNotNull()
     is_list = valid & F.ltrim("value").startswith("[")
     chosen = F.when(is_list, F.struct(F.lit("list").alias("origin"), F.col("value").alias("list"))).when(valid, F.coalesce(*lists))
-    split = documents.withColumns({"keys": keys}).select("value", chosen.alias("chosen"))
+    split = documents.withColumn("value", F.regexp_replace("value", r"^\x{FEFF}", "")).withColumns({"keys": keys}).select("value", chosen.alias("chosen"))
     entries = F.when(F.col("chosen").isNotNull(), F.from_json("chosen.list", T.ArrayType(T.StringType()))).otherwise(F.array("value"))
     # The document ends here: only its origin goes along with each entry.
     listed = split.select(F.coalesce("chosen.origin", F.lit("object")).alias("origin"), entries.alias("entries"))

@@ -1,8 +1,11 @@
+import uuid
+
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell import ingestion_report, load_table, write_cleaning, write_quarantine
 from siftwell import apply_cleaning, propose_cleaning
-from siftwell.sources import readers
+from siftwell.sources import documents, readers
 from siftwell.sources.readers import detect_format, nan_to_null, tidy_names
 
 
@@ -203,10 +206,75 @@ def test_a_document_is_not_carried_beside_its_records(spark, tmp_path):
     assert loaded.data.count() == 60_000 and loaded.data.columns == ["a", "b.c"]
 
 
-def test_a_document_too_large_to_tell_is_named(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(readers, "MOST_DOCUMENT_BYTES", 20)
-    (tmp_path / "d.json").write_text('[{"a": 1}, {"a": 2}, {"a": 3}]')
+DOCUMENTS = {
+    "list": '[{"a": 1}, {"a": 2}\n, {"a": 3}]\n',
+    "mixed": '[10, {"a": {"b": 1}}, null, "x}y", [{"a": 9}], {"a": {"b": 2}}, 7]',
+    "empty": "[]", "empty_object": "{}", "scalars": "[1, 2]", "blank": "[ \n ]", "empties": "[{}, {}]",
+    "envelope": '{"meta": {"n": {"x": 1}}, "data": [{"a": 1, "t": [1, {"u": []}]}, {"a": 2}], "more": [{"z": 1}]}',
+    "order": '{"items": [{"a": 1}], "rows": [{"a": 2}, {"a": 3}], "x": {"records": [{"a": 4}]}}',
+    "strings": '[{"a": "}{][\\\\"}, {"a": "\\"}, {"}, {"a": "é😀}", "b": "{\\"data\\": ["}, {"a": "x\\\\\\"}"}]',
+    "keys": '{"da}ta": [{"a": 1}], "not": "data", "data" : [{"a": "😀}"}, {"a": "y"}], "end": "}"}',
+    "no_list": '{"a": 1, "data": {"b": [{"c": 1}]}}',
+    "null_list": '{"records": null, "data": [{"a": 1}]}',
+    "bom": '\ufeff[{"a": 1}, {"a": 2}]', "pretty": '{\n "data": [\n  {"a": 1},\n  {"a": 2}\n ]\n}\n',
+    "lines": '{"data": [{"a": 1}]}\n{"data": [{"a": 2}]}\n', "two": '{"data": [{"a": 1}]} {"data": [{"a": 2}]}',
+    "comma": '[{"a": 1},\n]', "twice": '[{"a": 1},, {"a": 2}]', "missing": '[{"a": 1} {"a": 2}]', "first": '[, {"a": 1}]',
+    "wrong": '[{"a": [1}], {"a": 2}]', "open": '{"data": [{"a": 1}, {"a": 2}}', "long": '[{"a": 1}]]', "tail": '{"data": [{"a": 1}]} x}',
+    "bad_frame": '{"meta": nope, "data": [{"a": 1}, {"a": 2}]}', "bad_entry": '[{"a": 1}, {a: 2}]', "close": '[{"a": 1}, {"a": 2}',
+}
+
+
+def test_documents_in_pieces_are_what_whole_ones_are(spark, put, monkeypatch):
+    """All shapes cut into entries, in splits of four bytes and in one, against the same files parsed whole."""
+
+    def outcome(names, **options):
+        folder = uuid.uuid4().hex
+        for name in names:
+            path = put(f"{folder}/{name}.json", DOCUMENTS[name])
+        loaded = load_table(spark, path.rpartition("/")[0], "json", **options)
+        return rows(loaded.data.select(F.to_json(F.struct("*")))), sorted(str(r[0]) for r in loaded.quarantined.collect()), loaded.notes
+
+    whole = outcome(DOCUMENTS)
+    assert len(whole[0]) > 20 and len(whole[1]) > 10
+    assert outcome(DOCUMENTS, whole_bytes=0) == whole
+    pieces_of = documents.pieces_of
+
+    def small_splits(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+        spark.conf.set("spark.sql.files.openCostInBytes", "16")
+        try:
+            return pieces_of(*args)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+    monkeypatch.setattr(documents, "pieces_of", small_splits)
+    assert outcome(DOCUMENTS, whole_bytes=0) == whole
+
+
+def test_a_large_document_is_read_by_many_tasks(spark, tmp_path):
+    records = ",".join(f'{{"a": {i}, "b": {{"c": "x{i}"}}}}' for i in range(60_000))
+    (tmp_path / "large.json").write_text(f'{{"meta": 1, "data": [{records}]}}')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        files = spark.createDataFrame([(f"file:{tmp_path}/large.json", 2)], "file string, level int")
+        pieces = documents.pieces_of(spark, str(tmp_path / "large.json"), files)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert pieces.select("block").distinct().count() > 8
+    loaded = load_table(spark, str(tmp_path / "large.json"), whole_bytes=1 << 20)
+    assert loaded.data.agg(F.count("*"), F.sum("a"), F.countDistinct("`b.c`")).first() == (60_000, 60_000 * 59_999 // 2, 60_000)
+
+
+def test_one_record_too_large_is_named(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "MOST_VALUE_BYTES", 20)
+    (tmp_path / "d.json").write_text('{"a": 1, "b": 2, "c": {"d": 3}}')
     with pytest.raises(ValueError, match="d.json"):
-        load_table(spark, str(tmp_path / "d.json"))
+        load_table(spark, str(tmp_path / "d.json"), whole_bytes=10)
+    (tmp_path / "f.json").write_text('{"data": [{"a": 1}], "other": [1, 2, 3, 4, 5]}')
+    with pytest.raises(ValueError, match="f.json"):
+        load_table(spark, str(tmp_path / "f.json"), whole_bytes=10)
     (tmp_path / "l.json").write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
-    assert load_table(spark, str(tmp_path / "l.json")).data.count() == 3
+    assert load_table(spark, str(tmp_path / "l.json"), whole_bytes=10).data.count() == 3
+    (tmp_path / "m.json").write_text('[{"a": 1}, {"a": 2}, {"a": 3}]')
+    assert load_table(spark, str(tmp_path / "m.json"), whole_bytes=10).data.count() == 3
