@@ -515,6 +515,7 @@ SELECT 'dropped_rows' AS action, CAST(NULL AS VARCHAR) AS "column", o_orderkey,
 UNION ALL SELECT 'flagged_not_dropped', 'sparse_id', o_orderkey, 1 FROM safe WHERE sparse_id IS NULL
 UNION ALL SELECT 'flagged_not_dropped', 'amount', o_orderkey, 1 FROM filled WHERE o_orderkey NOT IN (SELECT o_orderkey FROM every)""",
     "json_large_document": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders",
+    "json_document_in_pieces": "SELECT * REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate) FROM lineitem",
     "apply_nothing": DIRTY_SQL,
     "cleaning_log": f"{PLAN} SELECT sequence, action, \"column\", method, count, CASE severity WHEN 'safe' THEN 'approved' ELSE 'rejected' END AS status FROM plan",
     "cleaning_summary": f"WITH {SUMMARY} SELECT * FROM summary",

@@ -610,6 +610,17 @@ def json_large_document(spark, sf_dir):
     return load_json(spark, path).data
 
 
+@query
+def json_document_in_pieces(spark, sf_dir):
+    """The whole of lineitem, all columns, as one JSON document that is cut into records by many tasks."""
+    path = fresh_path(spark)
+    lines = table(spark, sf_dir, "lineitem").select(F.lit(1).alias("part"), F.concat(F.lit(","), F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd", "timestampNTZFormat": "yyyy-MM-dd"})).alias("value"))
+    # Every record follows a comma, so a null stands before the first.
+    ends = spark.range(2).select((F.col("id") * 2).cast("int").alias("part"), F.when(F.col("id") == 0, '{"meta":{"n":[1]},"data":[null').otherwise(']}').alias("value"))
+    lines.union(ends).coalesce(1).sortWithinPartitions("part").select("value").write.text(path)
+    return load_json(spark, path, whole_bytes=1 << 20).data
+
+
 @query
 def json_unwrap(spark, sf_dir):
     path = fresh_path(spark)
