@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from siftwell.functions import parse_number, quoted
 from siftwell.operators.columns import nan_to_null, text_columns
 from siftwell.operators.local import fixed
-from siftwell.sources import documents
+from siftwell.sources import delimited, documents
 from siftwell.storage import release, staged
 
 # Cell texts that mean "missing".
@@ -151,8 +151,9 @@ def load_delimited(
 
     A first pass measures the files: header, encoding, and whether quotes stay open at the end of a line. Files that
     agree are parsed together, each in its own encoding, and columns meet by name whatever their order. Records may
-    go on over several lines; only files with quotes open at a line's end are kept from being split for it
-    (`multi_line` decides for all files instead). Everything is parsed as text once and written to the shared
+    go on over several lines: files with quotes open at a line's end (or all or none, by `multi_line`) are split like
+    others, and their lines put together to records before they are parsed. Only where lines end in carriage returns alone, or the
+    encoding given has other bytes for line breaks, is such a file one task. Everything is parsed as text once and written to the shared
     folder; `typed` then measures which columns hold only numbers or booleans and casts those. Rows with more fields
     than their header are quarantined, shorter ones are padded with nulls.
     """
@@ -171,10 +172,14 @@ def load_delimited(
         broken = kind["open"] if multi_line is None else multi_line
         names, own_notes = tidy_names(_heading(spark, kind["file"], sep, charset, broken))
         name_notes += [n for n in own_notes if n not in name_notes]
-        rows = _parsed(spark, path, sep, charset, broken, names)
-        if len(kinds) > 1:
-            alike = facts.where((F.col("heading") == kind["heading"]) & (F.col("latin") == kind["latin"]) & (F.col("open") == kind["open"]))
-            rows = rows.join(alike.select(F.col("file").alias(FILE)), FILE, "left_semi")
+        alike = facts.where((F.col("heading") == kind["heading"]) & (F.col("latin") == kind["latin"]) & (F.col("open") == kind["open"]))
+        if broken and charset.upper() in delimited.SPLITTABLE and _ends_in_newlines(spark, kind["file"]):
+            lines = delimited.lines_of(spark, path, alike.select("file"), sep, charset.upper())
+            rows = _parsed_records(delimited.without_headings(delimited.records_of(lines)), sep, names)
+        else:
+            rows = _parsed(spark, path, sep, charset, broken, names)
+            if len(kinds) > 1:
+                rows = rows.join(alike.select(F.col("file").alias(FILE)), FILE, "left_semi")
         parts.append(rows.drop(FILE))
     names = parts[0].drop(CORRUPT, SURPLUS).columns
     if any(set(p.columns) != set(parts[0].columns) or p.columns != parts[0].columns for p in parts):
@@ -214,16 +219,38 @@ def _heading(spark: SparkSession, file: str, sep: str, charset: str, broken: boo
 
 def _parsed(spark: SparkSession, path: str, sep: str, charset: str, broken: bool, names: list[str]) -> DataFrame:
     """All columns as text, the raw record of rows that do not fit, whether they hold too many fields, and their file."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
-    reader = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    reader = spark.read.schema(_text_schema(names)).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
     rows = reader.options(**_layout(sep, charset, broken)).csv(path)
-    surplus = F.coalesce(F.col(CORRUPT).isNotNull() & (_field_count(F.col(CORRUPT), sep) > len(names)), F.lit(False))
-    return rows.select(*map(quoted, names), CORRUPT, surplus.alias(SURPLUS), F.col("_metadata.file_path").alias(FILE))
+    return rows.select(*map(quoted, names), CORRUPT, _surplus(sep, names), F.col("_metadata.file_path").alias(FILE))
+
+
+def _parsed_records(records: DataFrame, sep: str, names: list[str]) -> DataFrame:
+    """What `_parsed` gives, from one row per record."""
+    options = dict(sep=sep, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, maxCharsPerColumn="-1")
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*names, CORRUPT])
+    rows = records.select(F.col("file").alias(FILE), F.from_csv("record", schema, options).alias("__row"))
+    rows = rows.select(*[F.col("__row")[c].alias(c) for c in [*names, CORRUPT]], FILE)
+    return rows.select(*map(quoted, names), CORRUPT, _surplus(sep, names), FILE)
+
+
+def _ends_in_newlines(spark: SparkSession, file: str) -> bool:
+    """Whether the first line of a file has no carriage return but at its end."""
+    first = spark.read.text(file, lineSep="\n").first()
+    return first is not None and "\r" not in first.value.removesuffix("\r")
+
+
+def _text_schema(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+
+
+def _surplus(sep: str, names: Sequence[str]) -> Column:
+    record = F.col(CORRUPT)
+    return F.coalesce(record.isNotNull() & (_field_count(record, sep) > len(names)), F.lit(False)).alias(SURPLUS)
 
 
 def _field_count(record: Column, sep: str) -> Column:
     """Fields in a raw record: separators outside quotes, plus one."""
-    unquoted = F.regexp_replace(record, r'"([^"]|"")*"', "q")
+    unquoted = F.regexp_replace(record, delimited.QUOTED, "q")
     return F.length(unquoted) - F.length(F.translate(unquoted, sep, "")) + 1
 
 

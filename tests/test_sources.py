@@ -1,3 +1,4 @@
+import random
 import uuid
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwell import ingestion_report, load_table, write_cleaning, write_quarantine
 from siftwell import apply_cleaning, propose_cleaning
-from siftwell.sources import documents, readers
+from siftwell.sources import delimited, documents, readers
 from siftwell.sources.readers import detect_format, nan_to_null, tidy_names
 
 
@@ -278,3 +279,52 @@ def test_one_record_too_large_is_named(spark, tmp_path, monkeypatch):
     assert load_table(spark, str(tmp_path / "l.json"), whole_bytes=10).data.count() == 3
     (tmp_path / "m.json").write_text('[{"a": 1}, {"a": 2}, {"a": 3}]')
     assert load_table(spark, str(tmp_path / "m.json"), whole_bytes=10).data.count() == 3
+
+
+def awkward_records(newline: str) -> str:
+    """Quotes within fields, line breaks, separators and doubled quotes within quotes, rows too long or too short."""
+    rng = random.Random(5)
+    bits = ["a", '"', ",", "\n", "x y", "é", '""', "\t", " ", "q"]
+    lines = ['k,v,"w\nw"']
+    for i in range(300):
+        value = "".join(rng.choice(bits) for _ in range(rng.randrange(12))).replace('"', '""')
+        lines.append(
+            (f'{i},5" pipe,x"y', f'{i},"{value}",z', f'{i},"{value}","{value[::-1]}"', f"{i},s,t,u" if i % 3 else f"{i},only")[i % 4]
+        )
+        lines += [""] * (i % 50 == 0)
+    return "\n".join(lines).replace("\n", newline) + newline
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+@pytest.mark.parametrize("charset", ["utf-8", "latin-1"])
+def test_records_cut_by_splits_are_what_whole_files_give(spark, put, monkeypatch, newline, charset):
+    path = put("awkward.csv", awkward_records(newline).encode(charset))
+    monkeypatch.setattr(delimited, "SPLITTABLE", ())
+    whole = load_table(spark, path)
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        assert spark.read.text(path, lineSep="\n").rdd.getNumPartitions() > 10
+        cut = load_table(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(str, cut.data.collect())) == sorted(map(str, whole.data.collect()))
+    assert sorted(map(str, cut.quarantined.collect())) == sorted(map(str, whole.quarantined.collect()))
+    assert cut.notes == whole.notes and cut.data.dtypes == whole.data.dtypes
+
+
+def test_a_record_over_many_splits_and_files_of_several_kinds(spark, put, tmp_path):
+    long = "\n".join(f'line {i}, "{"x" * 100}"' for i in range(1000))
+    text = 'a,b\n1,"' + long.replace('"', '""') + '"\n2,"p\nq"\n3,\n'
+    put("kinds/one.csv", text)
+    put("kinds/two.csv", 'b,a\n"r\ns",4\n')
+    put("kinds/three.csv", "a,b\n5,plain\n")
+    put("kinds/four.csv", b'a,b\r6,"t\ru"\r')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        loaded = load_table(spark, str(tmp_path / "kinds"), "csv")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    found = {r.a: r.b for r in loaded.data.collect()}
+    assert found.pop(6) in ("t\nu", "t\ru")
+    assert found == {1: long, 2: "p\nq", 3: None, 4: "r\ns", 5: "plain"}
