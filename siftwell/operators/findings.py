@@ -14,7 +14,6 @@ from siftwell.operators.columns import nan_to_null, numeric_columns
 from siftwell.operators.local import collected, fixed, together
 from siftwell.operators.statistics import (
     LEVEL_LIMIT,
-    TextRoles,
     categorical_columns,
     correlation_t,
     describe,
@@ -89,6 +88,51 @@ def caveat(columns: Column, lineage: Lineage) -> Column:
     return F.nullif(F.concat_ws("; ", F.lit(removed).cast("string"), modified), F.lit(""))
 
 
+@dataclass(frozen=True)
+class _Planned:
+    """The tests that a table gives rise to, in their order."""
+
+    date: str | None
+    trends: list[str]
+    pairs: list[tuple[str, str]]
+    categories: list[str]
+    measures: list[str]
+
+    def listed(self) -> list[tuple[str, str, str]]:
+        """(kind, x, y) of each test."""
+        trends = [("trend", self.date, y) for y in self.trends]
+        return trends + [("pair", x, y) for x, y in self.pairs] + [("group", x, y) for x, y in product(self.categories, self.measures)]
+
+    def capped(self, max_trends: int | None, max_pairs: int | None, max_categories: int | None, max_measures: int | None) -> "_Planned":
+        return _Planned(
+            self.date, self.trends[:max_trends], self.pairs[:max_pairs], self.categories[:max_categories], self.measures[:max_measures]
+        )
+
+
+def _planned(df: DataFrame, max_levels: int) -> _Planned:
+    numbers = numeric_columns(df)
+    if not numbers:
+        return _Planned(None, [], [], [], [])
+    roles = text_roles(df, max_levels)
+    levels = categorical_columns(df, max_levels, roles).collect()
+    categories = [r["column"] for r in sorted(levels, key=lambda r: r["position"])]
+    return _Planned(roles.date, numbers if roles.date else [], list(combinations(numbers, 2)), categories, numbers)
+
+
+def omitted_tests(
+    df: DataFrame,
+    max_trends: int | None = None,
+    max_pairs: int | None = None,
+    max_categories: int | None = None,
+    max_measures: int | None = None,
+    max_levels: int = LEVEL_LIMIT,
+) -> DataFrame:
+    """(kind, x, y): the tests that these caps leave out of `test_statistics`; none without a cap."""
+    every = _planned(nan_to_null(df), max_levels)
+    made = set(every.capped(max_trends, max_pairs, max_categories, max_measures).listed())
+    return fixed(df.sparkSession, [t for t in every.listed() if t not in made], "kind string, x string, y string")
+
+
 def test_statistics(
     df: DataFrame,
     max_trends: int | None = None,
@@ -101,16 +145,11 @@ def test_statistics(
     """One row per eligible test, significant or not: trends, then pairs, then group differences.
 
     Every numeric column, pair and category is tested unless an argument says how many of the first ones to take. A
-    category is a text column of up to `max_levels` values.
+    category is a text column of up to `max_levels` values. `omitted_tests` lists what caps leave out.
     """
     df = nan_to_null(df)
-    numbers = numeric_columns(df)
-    roles = text_roles(df, max_levels) if numbers else TextRoles(None, ())
-    date = roles.date
-    trends = numbers[:max_trends] if date else []
-    pairs = list(combinations(numbers, 2))[:max_pairs]
-    levels = categorical_columns(df, max_levels, roles).collect()
-    categories = [r["column"] for r in sorted(levels, key=lambda r: r["position"])][:max_categories] if numbers else []
+    plan = _planned(df, max_levels).capped(max_trends, max_pairs, max_categories, max_measures)
+    date, trends, pairs, categories, measures = plan.date, plan.trends, plan.pairs, plan.categories, plan.measures
     tests = fixed(df.sparkSession, [], TEST_SCHEMA).drop("p")
 
     if trends or pairs:
@@ -124,8 +163,7 @@ def test_statistics(
             (F.col("n") - 2).cast("double").alias("df1"),
         )
         tests = tests.unionByName(linear, allowMissingColumns=True)
-    if categories:
-        measures = numbers[:max_measures]
+    if categories and measures:
         order = {pair: len(trends) + len(pairs) + 1000 + i for i, pair in enumerate(product(categories, measures))}
         place = F.get(
             F.array(*[F.lit(i) for i in order.values()]),

@@ -4,12 +4,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
+from itertools import combinations
+from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import moment_literal, parse_date, quoted, whole_days
 from siftwell.operators.columns import nan_to_null, numeric_columns, temporal_columns, text_columns
+from siftwell.operators.gram import SUMS, pair_sums
 from siftwell.operators.local import fixed
 from siftwell.operators.quantiles import Span, quantiles
 from siftwell.operators.values import stacked
@@ -19,6 +22,10 @@ DATE_SHARE = 0.9
 MIN_GROUP_ROWS = 3
 # Spark generates code for aggregates of up to a hundred columns.
 AGGREGATE_WIDTH = 96
+# Share of a sum of squares that rounding may leave of a difference that is none.
+ROUNDING = 1e-12
+# Columns whose products one task holds at a time: some 50 bytes for each two of them.
+GRAM_COLUMNS = 1_024
 
 DESCRIPTION_SCHEMA = (
     "column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
@@ -196,7 +203,8 @@ def pair_table(
     Columns: sequence, kind, x, y, n, r, slope, intercept, low_x, high_x, first, last. One scan finds the
     centres; a second one takes plain sums of the centred values, which is accurate and stays within
     generated code. Sums are shared between tests; tables with gaps need sums of their own for each
-    pair, and are scanned again when one aggregate would get too wide. No rows are shuffled.
+    pair. Where one aggregate would get too wide, the pairs' sums come from products of matrices instead, in one scan for
+    up to GRAM_COLUMNS columns; low and high are null for those. No rows of the table are shuffled.
     """
     measures = list(dict.fromkeys([*trends, *[c for pair in pairs for c in pair]]))
     middle = centres(df, measures, date, trends)
@@ -218,25 +226,35 @@ def pair_table(
         gaps = middle[y].gaps or middle[date].gaps
         key = f"days from {middle[y].start}"
         tests.append(_Test("trend", date, y, key, days, centred(y), half_span, middle[y].mean, gaps, first, last))
-    for x, y in pairs:
-        if middle[x].mean is not None and middle[y].mean is not None:
-            gaps = middle[x].gaps or middle[y].gaps
-            values = (centred(x), centred(y), middle[x].mean, middle[y].mean)
-            tests.append(_Test("pair", x, y, x, *values, gaps, nothing, nothing))
-    if not tests:
+    known = [(x, y) for x, y in pairs if middle[x].mean is not None and middle[y].mean is not None]
+    width = 5 * len({c for pair in known for c in pair}) + sum(11 if middle[x].gaps or middle[y].gaps else 1 for x, y in known)
+    wide = {}
+    for k, (x, y) in enumerate(known, len(tests)):
+        # Columns that hold infinities have no centre to be products of.
+        if width > AGGREGATE_WIDTH and isfinite(middle[x].mean) and isfinite(middle[y].mean):
+            wide[k] = (x, y)
+            continue
+        gaps = middle[x].gaps or middle[y].gaps
+        values = (centred(x), centred(y), middle[x].mean, middle[y].mean)
+        tests.append(_Test("pair", x, y, x, *values, gaps, nothing, nothing))
+    if not tests and not wide:
         return fixed(df.sparkSession, [], PAIR_SCHEMA)
-    sums = reduce(DataFrame.union, [_summed(df, batch) for batch in _batches(tests)])
+    places = [k for k in range(len(tests) + len(wide)) if k not in wide]
+    parts = [_summed(df, batch) for batch in _batches(list(zip(places, tests)))]
+    if wide:
+        parts.append(_multiplied(df, wide, {c: middle[c].mean for pair in wide.values() for c in pair}))
+    sums = reduce(DataFrame.unionByName, parts)
     return sums.where(F.col("n") > 0).select(*_regression())
 
 
 Sums = dict[str, tuple[str, Column]]
 
 
-def _batches(tests: Sequence[_Test]) -> list[list[tuple[int, _Test, Sums]]]:
+def _batches(tests: Sequence[tuple[int, _Test]]) -> list[list[tuple[int, _Test, Sums]]]:
     """Numbered tests with their sums, grouped so that each group needs a bounded number of distinct sums."""
     batches: list[list[tuple[int, _Test, Sums]]] = []
     keys: set[str] = set()
-    for i, test in enumerate(tests):
+    for i, test in tests:
         sums = test.sums()
         needed = {key for key, _ in sums.values()}
         if not batches or len(keys | needed) > AGGREGATE_WIDTH:
@@ -263,13 +281,53 @@ def _summed(df: DataFrame, batch: Sequence[tuple[int, _Test, Sums]]) -> DataFram
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
+def _multiplied(df: DataFrame, pairs: dict[int, tuple[str, str]], middle: dict[str, float]) -> DataFrame:
+    """The rows of `_summed` for numbered pairs of columns with finite means, from products of matrices."""
+    place = {c: k for k, c in enumerate(middle)}
+    values = {c: _double(c) - F.lit(mean) for c, mean in middle.items()}
+    half = GRAM_COLUMNS // 2
+    blocks = [range(k, min(k + half, len(values))) for k in range(0, len(values), half)]
+    columns, parts = list(values.values()), []
+    # Two blocks of columns at a time; all pairs within a block come with the first scan that reads it.
+    for a, b in list(combinations(range(len(blocks)), 2)) or [(0, 0)]:
+        here = [*blocks[a], *(blocks[b] if b != a else ())]
+        sums = pair_sums(df, [columns[k] for k in here])
+        if len(blocks) > 2:
+            number = F.array(*map(F.lit, here))
+            sums = sums.withColumns({"i": F.get(number, "i"), "j": F.get(number, "j")})
+            within = lambda c, k: F.col(c).between(blocks[k].start, blocks[k].stop - 1)
+            own = (within("i", a) & (within("j", b) | (F.lit(b == a + 1) & within("j", a))))
+            last = F.lit(a == len(blocks) - 2) & within("i", b) & within("j", b)
+            sums = sums.where(own | last)
+        parts.append(sums)
+    wanted = [
+        (k, "pair", x, y, middle[x], middle[y], min(place[x], place[y]), max(place[x], place[y]), place[x] > place[y])
+        for k, (x, y) in pairs.items()
+    ]
+    labels = "sequence int, kind string, x string, y string, x0 double, y0 double, i int, j int, swapped boolean"
+    # As many rows as there are tests.
+    found = reduce(DataFrame.union, parts).join(fixed(df.sparkSession, wanted, labels), ["i", "j"])
+
+    def side(name: str) -> Column:
+        other = name.translate(str.maketrans("xy", "yx")) if name != "sum_xy" else name
+        return F.when(F.col("swapped"), F.col(other)).otherwise(F.col(name)).alias(name)
+
+    nothing = F.lit(None).cast("double")
+    return found.select(
+        "sequence", "kind", "x", "y", "x0", "y0", "n", *[side(c) for c in SUMS[1:]],
+        *[nothing.alias(c) for c in ("low_x", "high_x", "low_y", "high_y", "first", "last")],
+    )
+
+
 def _regression() -> list[Column]:
     """The columns of the pair table from sums of centred values."""
     n = F.col("n")
     sxx = F.col("sum_xx") - F.col("sum_x") * F.col("sum_x") / n
     syy = F.col("sum_yy") - F.col("sum_y") * F.col("sum_y") / n
     sxy = F.col("sum_xy") - F.col("sum_x") * F.col("sum_y") / n
-    x_varies, y_varies = (F.col("low_x") < F.col("high_x")) & (sxx > 0), (F.col("low_y") < F.col("high_y")) & (syy > 0)
+    # Without limits, what cancellation leaves of a constant is told from variation by its size.
+    x_varies = F.coalesce((F.col("low_x") < F.col("high_x")) & (sxx > 0), sxx > ROUNDING * F.col("sum_xx"))
+    y_varies = F.coalesce((F.col("low_y") < F.col("high_y")) & (syy > 0), syy > ROUNDING * F.col("sum_yy"))
     slope = F.when(x_varies, F.try_divide(sxy, sxx))
     r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy))))
     level = F.col("sum_y") / n + F.col("y0")

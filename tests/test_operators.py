@@ -1,7 +1,10 @@
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.operators import statistics
 from siftwell.operators.charts import chart_data, route_charts, trendline
 from siftwell.operators.columns import numeric_columns, text_columns
 from siftwell.operators.duplicates import drop_duplicate_rows, duplicate_count
@@ -266,3 +269,27 @@ def test_dates_do_not_depend_on_the_session_zone(spark):
         assert tables[0] == tables[1] and tables[0][0]["first"] == 0 and tables[0][0]["last"] == 78
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_products_of_many_columns_are_what_sums_of_each_pair_are(spark, monkeypatch):
+    c = 13
+    columns = [
+        F.when(F.col("id") % (i + 2) > 0, (F.sin(F.col("id") * (i + 1)) * 10 + i * 1000).cast("double")).alias(f"c{i}") for i in range(c - 3)
+    ]
+    odd = [F.lit(7.1).alias("same"), F.lit(None).cast("double").alias("none"), F.when(F.col("id") == 3, 1.0).alias("one")]
+    df = spark.range(500).select(*columns, *odd)
+    pairs = [(x, y) if i % 3 else (y, x) for i, (x, y) in enumerate(combinations(df.columns, 2))]
+
+    def found(width, held):
+        monkeypatch.setattr(statistics, "AGGREGATE_WIDTH", width)
+        monkeypatch.setattr(statistics, "GRAM_COLUMNS", held)
+        table = statistics.pair_table(df, pairs)
+        return {r.sequence: r for r in table.select("sequence", "x", "y", "n", "r", "slope", "intercept").collect()}
+
+    plain = found(10_000, 1024)
+    for held in (1024, 8, 14):
+        wide = found(20, held)
+        assert wide.keys() == plain.keys() and len(plain) > 60
+        for key, row in plain.items():
+            assert wide[key][:4] == row[:4]
+            assert list(wide[key][4:]) == [v if v is None else pytest.approx(v, rel=1e-7, abs=1e-9) for v in row[4:]]

@@ -319,14 +319,15 @@ areas AS (
 valued AS (SELECT t.*, greatest(0.0, 1 - area) AS p FROM tests t JOIN areas USING (sequence))"""
 
 
-def tests(source: str, date: str | None, date_name: str | None, numbers, categories) -> str:
-    pairs = list(combinations(numbers, 2))[:15]
+def tests(source: str, date: str | None, date_name: str | None, numbers, categories, capped: bool = True) -> str:
+    max_trends, max_pairs, max_measures = (6, 15, 5) if capped else (None, None, None)
+    pairs = list(combinations(numbers, 2))[:max_pairs]
     linear = []
     if date:
-        linear.append(trends(source, date, numbers[:6]).replace("{date_name}", date_name))
+        linear.append(trends(source, date, numbers[:max_trends]).replace("{date_name}", date_name))
     if pairs:
-        linear.append(pairs_sql(source, pairs, len(numbers[:6]) if date else 0))
-    grouped = moments(source, categories, numbers[:5]) if categories else None
+        linear.append(pairs_sql(source, pairs, len(numbers[:max_trends]) if date else 0))
+    grouped = moments(source, categories, numbers[:max_measures]) if categories else None
     parts = [
         """SELECT sequence, kind, x, y, n, 't' AS statistic, r * sqrt((n - 2) / (1 - r * r)) AS stat, (n - 2)::DOUBLE AS df1,
         CAST(NULL AS DOUBLE) AS df2, r, slope, first, last, CAST(NULL AS BIGINT) AS groups,
@@ -348,7 +349,7 @@ RELATED = "(p < 0.05 AND abs(r) >= 0.3)"
 CHANGE = "round((last - first) / abs(nullif(first, 0)) * 100, 1)"
 
 
-def findings(duplicates: str = "0", touched: str = "[]") -> str:
+def findings(duplicates: str = "0", touched: str = "[]", limit: int | None = 6) -> str:
     """CTE `findings` from `valued`: texts, confidence and rank."""
     return f"""described AS (
   SELECT *,
@@ -377,7 +378,7 @@ noted AS (SELECT *, nullif(concat_ws('; ',
   ), '') AS caveat FROM described),
 findings AS (SELECT CAST(row_number() OVER (ORDER BY CASE confidence WHEN 'high' THEN 1 ELSE 2 END, p_value, sequence) AS INTEGER) AS rank,
     summary, statistical_support, recommended_chart, confidence, related_columns, effect_size, p_value, caveat FROM noted
-  QUALIFY rank <= 6)"""
+  {f"QUALIFY rank <= {limit}" if limit else ""})"""
 
 
 EVENT_NUMBERS = ["event_id", "user_id", "value"]
@@ -385,6 +386,22 @@ EVENT_TESTS = tests("events", "ts", "ts", EVENT_NUMBERS, ["event_type"])
 EVENT_FINDINGS = f"WITH {EVENT_TESTS}, {findings()}"
 LINEITEM_NUMBERS = [c for c, kind in LINEITEM_COLUMNS if kind in ("integer", "float")]
 LINEITEM_FINDINGS = f"WITH {tests('lineitem', 'l_shipdate', 'l_shipdate', LINEITEM_NUMBERS, ['l_returnflag', 'l_linestatus'])}, {findings()}"
+EVENT_TESTS_ALL = tests("events", "ts", "ts", EVENT_NUMBERS, ["event_type"], capped=False)
+LINEITEM_TESTS_ALL = tests("lineitem", "l_shipdate", "l_shipdate", LINEITEM_NUMBERS, ["l_returnflag", "l_linestatus"], capped=False)
+LINEITEM_TESTS_LISTED = [
+    *[("trend", "l_shipdate", y) for y in LINEITEM_NUMBERS[6:]],
+    *[("pair", x, y) for x, y in list(combinations(LINEITEM_NUMBERS, 2))[15:]],
+    *[("group", x, y) for x in ("l_returnflag", "l_linestatus") for y in LINEITEM_NUMBERS[5:]],
+]
+WIDE_BASES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+WIDE_COLUMNS = 208
+
+
+def wide(name: int) -> str:
+    """A derived column with gaps: one of four measures plus a share of another, for rows its number does not leave out."""
+    a, b = WIDE_BASES[name % 4], WIDE_BASES[(name // 4) % 4]
+    return f"CASE WHEN (l_orderkey + l_linenumber * 3) % {name + 5} > 1 THEN {a} + {b} * {name % 7} END"
+
 
 SAFE_NUMBERS = ["o_orderkey", "revenue", "amount", "sparse_id"]
 SAFE_TOUCHED = "['revenue', 'amount', 'status', 'priority', 'state']"
@@ -539,6 +556,16 @@ UNION ALL SELECT 'flagged_not_dropped', 'amount', o_orderkey, 1 FROM filled WHER
     "anova_f": f"WITH moments AS ({moments('events', ['event_type'], ['user_id', 'value'])}), {COMPARED} SELECT measure, test, groups, n, round(stat, 5) AS stat, round(df1, 5) AS df1, round(df2, 5) AS df2 FROM compared",
     "extreme_groups": f"WITH moments AS ({moments('lineitem', ['l_returnflag'], ['l_quantity', 'l_extendedprice', 'l_tax'])}), {COMPARED} SELECT measure, highest, lowest FROM compared",
     "p_values": f"WITH {EVENT_TESTS} SELECT kind, x, y, round(p, 6) AS p FROM valued",
+    "p_values_all": f"WITH {EVENT_TESTS_ALL} SELECT kind, x, y, n, statistic, round(stat, 4) + 0 AS stat, round(p, 6) AS p FROM valued",
+    "p_values_all_lineitem": f"WITH {LINEITEM_TESTS_ALL} SELECT kind, x, y, n, statistic, round(p, 6) AS p FROM valued",
+    "ranked_findings_all": f"WITH {EVENT_TESTS_ALL}, {findings(limit=None)} SELECT * FROM findings",
+    "ranked_findings_all_lineitem": f"WITH {LINEITEM_TESTS_ALL}, {findings(limit=None)} SELECT * FROM findings",
+    "findings_omitted": union(f"SELECT '{k}' AS kind, '{x}' AS x, '{y}' AS y" for k, x, y in LINEITEM_TESTS_LISTED),
+    "pearson_wide": f"""WITH wide AS (SELECT [{', '.join(f"CAST({wide(i)} AS DOUBLE)" for i in range(WIDE_COLUMNS))}] AS w FROM lineitem),
+      numbers AS (SELECT CAST(range AS INTEGER) AS k FROM range({WIDE_COLUMNS})),
+      pairs AS (SELECT a.k AS i, b.k AS j FROM numbers a JOIN numbers b ON a.k < b.k)
+      SELECT 'w' || i AS x, 'w' || j AS y, regr_count(w[j + 1], w[i + 1])::BIGINT AS n, round(corr(w[j + 1], w[i + 1]), 5) + 0 AS r,
+        round(regr_slope(w[j + 1], w[i + 1]), 3) + 0 AS slope FROM wide, pairs GROUP BY i, j""",
     "ranked_findings": f"{EVENT_FINDINGS} SELECT * FROM findings",
     "ranked_findings_lineitem": f"{LINEITEM_FINDINGS} SELECT * FROM findings",
     "findings_after_cleaning": f"{SAFE_FINDINGS} SELECT * FROM findings",

@@ -2,6 +2,7 @@
 
 import uuid
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from siftwell.functions import (
 )
 from siftwell.operators import charts, detectors, duplicates, facts, outliers, profile, quality, report, statistics
 from siftwell.operators import transforms, values
-from siftwell.operators.findings import Lineage, analyze, caveat, findings_of, test_statistics
+from siftwell.operators.findings import Lineage, analyze, caveat, findings_of, omitted_tests, test_statistics
 from siftwell.operators.quantiles import quantiles
 from siftwell.plans.cleaning import apply_cleaning, measured, propose_cleaning, with_examples
 from siftwell.storage import shared_folder
@@ -30,6 +31,8 @@ QUERIES: dict[str, Query] = {}
 
 ACTION = ("action", "column", "reason", "count", "method", "severity", "rows_affected")
 CAPS = {"max_trends": 6, "max_pairs": 15, "max_categories": 5, "max_measures": 5}
+WIDE_BASES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+WIDE_COLUMNS = 208
 LINEITEM_PAIRS = [
     ("l_quantity", "l_extendedprice"),
     ("l_quantity", "l_discount"),
@@ -43,6 +46,12 @@ def query(function: Query) -> Query:
     return function
 
 
+def wide_column(number: int) -> str:
+    """A derived measure with gaps, each of its own."""
+    first, second = WIDE_BASES[number % 4], WIDE_BASES[number // 4 % 4]
+    return f"CASE WHEN (l_orderkey + l_linenumber * 3) % {number + 5} > 1 THEN {first} + {second} * {number % 7} END"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -443,6 +452,26 @@ def p_values(spark, sf_dir):
     return rounded(test_statistics(table(spark, sf_dir, "events"), **CAPS).select("kind", "x", "y", "p"))
 
 
+@query
+def p_values_all(spark, sf_dir):
+    """Every test of events, none left out."""
+    tests = test_statistics(table(spark, sf_dir, "events")).select("kind", "x", "y", "n", "statistic", F.round("stat", 4).alias("stat"), "p")
+    return rounded(tests)
+
+
+@query
+def p_values_all_lineitem(spark, sf_dir):
+    return rounded(test_statistics(table(spark, sf_dir, "lineitem")).select("kind", "x", "y", "n", "statistic", "p"))
+
+
+@query
+def pearson_wide(spark, sf_dir):
+    """All pairs of over 200 derived columns with gaps."""
+    wide = table(spark, sf_dir, "lineitem").selectExpr(*[f"CAST({wide_column(i)} AS DOUBLE) AS w{i}" for i in range(WIDE_COLUMNS)])
+    pairs = statistics.pair_table(wide, list(combinations(wide.columns, 2)))
+    return pairs.select("x", "y", "n", F.round("r", 5).alias("r"), F.round("slope", 3).alias("slope"))
+
+
 def _shown(findings: DataFrame) -> DataFrame:
     return findings.withColumn("related_columns", F.array_join("related_columns", "|")).drop("finding_id")
 
@@ -457,6 +486,23 @@ def ranked_findings_lineitem(spark, sf_dir):
     return _shown(findings_of(table(spark, sf_dir, "lineitem"), limit=6, **CAPS))
 
 
+@query
+def ranked_findings_all(spark, sf_dir):
+    """Every finding, without caps or a limit."""
+    return _shown(findings_of(table(spark, sf_dir, "events")))
+
+
+@query
+def ranked_findings_all_lineitem(spark, sf_dir):
+    return _shown(findings_of(table(spark, sf_dir, "lineitem")))
+
+
+@query
+def findings_omitted(spark, sf_dir):
+    """What the caps of the capped queries leave out."""
+    return omitted_tests(table(spark, sf_dir, "lineitem"), **CAPS)
+
+
 @query
 def findings_after_cleaning(spark, sf_dir):
     cleaned = _cleaned(spark, sf_dir, "safe")
