@@ -2,77 +2,153 @@
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Tuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.storage import staged
 
 SPLIT = ("file", "block")
-NARROW = (*SPLIT, "id", "level", "marks", "outside", "inside")
 
 
 def pieces_of(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     """The texts between closing braces of `files` (file, level), in the order of (block, id) within each file.
 
     Files are split as lines of text are, so a piece is as long as the text between two braces, whatever the length
-    of the document. `marks` counts the quotes of a piece; `outside` and `inside` tell, for a piece that starts outside
-    or inside a string, by how much the depth of nesting changes up to and with the brace after it, and how far lists
-    that were open before can close in it.
+    of the document. Each split is walked through twice: the first time tells by how much its quotes and its nesting go
+    on, for a split that starts outside or inside a string; then sums over earlier splits tell how each starts.
+
+    `quoted` tells whether a piece starts inside a string, `depth` and `after` the nesting before it and with the brace
+    after it, `edge` whether a list of the level below may open or close in it. `ends` marks pieces whose brace ends an
+    entry, `entry` counts those before in the split, and an `alone` piece is an entry of its own.
     """
-    pieces = spark.read.text(path, lineSep="}").select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
-        "value",
-    )
-    pieces = pieces.join(F.broadcast(files), "file")
-    plain = F.regexp_replace("value", r"(?s)\\.", "")
-    pieces = pieces.withColumn("marks", F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit(""))))
-    return staged(pieces.withColumns({"outside": _nesting(plain, False), "inside": _nesting(plain, True)}))
-
-
-def _nesting(plain: Column, inside: bool) -> Column:
-    """struct(change, closes) of a piece without escapes that starts inside a string or outside one."""
-    bare = F.regexp_replace(plain, r'^[^"]*("|$)', "") if inside else plain
-    # What is left of a string that goes on beyond the piece is removed up to its end.
-    bare = F.regexp_replace(F.regexp_replace(bare, r'"[^"]*("|$)', ""), r"[^\[\]{]", "")
-    # Lists that open and close within the piece say nothing about those that were open before.
-    bare = F.replace(F.replace(bare, F.lit("[]"), F.lit("")), F.lit("[]"), F.lit(""))
-    closes = F.length(bare) - F.length(F.replace(bare, F.lit("]"), F.lit("")))
-    goes_on = (F.col("marks") % 2 == 1) != F.lit(inside)
-    brace = F.when(goes_on, 0).otherwise(1)
-    return F.struct((F.length(bare) - 2 * closes - brace).alias("change"), closes.alias("closes"))
-
-
-def _with_sum_before(pieces: DataFrame, name: str, measure: Column) -> DataFrame:
-    """`name`: the sum of a measure over all earlier pieces of the file: within the split, plus the splits before."""
-    pieces = pieces.withColumn("__m", measure)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = pieces.groupBy(*SPLIT).agg(F.sum("__m").alias("__sum"))
-    splits = splits.select(*SPLIT, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__earlier"))
-    within = Window.partitionBy(*SPLIT).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("__within", F.coalesce(F.sum("__m").over(within), F.lit(0)))
-    # One row for each split of a file.
-    return pieces.join(splits, list(SPLIT)).withColumn(name, F.col("__within") + F.col("__earlier")).drop("__m", "__within", "__earlier")
+
+    def walked(known: DataFrame) -> DataFrame:
+        pieces = spark.read.text(path, lineSep="}").select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("id"),
+            "value",
+        )
+        # One row for each split of a file.
+        pieces = pieces.join(F.broadcast(known), [c for c in SPLIT if c in known.columns])
+        pieces = pieces.withColumn("w", _walk()("value", F.xxhash64("file"), "block", "level", "started", "start"))
+        return pieces.select(*SPLIT, "id", "level", "value", "w.*")
+
+    unknown = files.select("file", "level", F.lit(0).alias("started"), F.lit(0).cast("long").alias("start"))
+    sums = walked(unknown).groupBy(*SPLIT, "level").agg(*[F.sum(c).alias(c) for c in ("marks", "outside", "inside")])
+    sums = staged(sums)
+    sums = sums.withColumn("started", (_sum_before("marks") % 2).cast("int"))
+    sums = sums.withColumn("start", _sum_before(F.when(F.col("started") == 1, F.col("inside")).otherwise(F.col("outside"))))
+    return staged(walked(sums.select(*SPLIT, "level", "started", "start")).drop("marks", "outside", "inside"))
+
+
+def _sum_before(measure) -> Column:
+    """The sum of a measure of splits over all earlier ones of the file."""
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(measure).over(earlier), F.lit(0)).cast("long")
+
+
+def _walk():
+    """An Arrow UDF that goes through the pieces of each split in their order; it travels with the plan.
+
+    Of a piece it gives what `pieces_of` tells, its quotes as `marks`, and the change of depth where the split starts
+    `outside` a string or `inside` one.
+    """
+    special = np.zeros(256, bool)
+    special[[ord(c) for c in '"\\[]{']] = True
+
+    def measure(data: np.ndarray, bounds: np.ndarray) -> tuple:
+        """Quotes of each piece, and (change, closes) for pieces that start outside a string and for those that start inside."""
+        at = np.flatnonzero(special[data])
+        kind, bounds = data[at], np.searchsorted(at, bounds)
+        slash = kind == ord("\\")
+        if slash.any():
+            # What follows an odd number of backslashes in the same piece is escaped.
+            order = np.arange(len(at))
+            linked = np.zeros(len(at), bool)
+            linked[1:] = slash[:-1] & (at[1:] == at[:-1] + 1)
+            linked[bounds[bounds < len(at)]] = False
+            run = np.maximum.accumulate(np.where(slash & ~linked, order, 0))
+            kept = ~slash
+            kept[1:] &= ~(linked[1:] & ((order[1:] - run[:-1]) % 2 == 1))
+            kind, bounds = kind[kept], np.concatenate([[0], np.cumsum(kept)])[bounds]
+        quotes = np.concatenate([[0], np.cumsum(kind == ord('"'))])
+        marks = quotes[bounds[1:]] - quotes[bounds[:-1]]
+        quoted = (quotes[:-1] - np.repeat(quotes[bounds[:-1]], np.diff(bounds))) % 2
+        steps = np.where(kind == ord('"'), 0, np.where(kind == ord("]"), -1, 1))
+        sides = []
+        for inside in (0, 1):
+            sums = np.concatenate([[0], np.cumsum(np.where(quoted == inside, steps, 0))])
+            change, start = sums[bounds[1:]] - sums[bounds[:-1]], sums[bounds[:-1]]
+            # Lists that open and close within the piece say nothing about those that were open before.
+            lowest = np.minimum.reduceat(np.append(sums[1:], 0), bounds[:-1]) if len(marks) else start
+            closes = np.where(np.diff(bounds) > 0, np.maximum(start - lowest, 0), 0)
+            brace = (marks % 2 == 1) == bool(inside)
+            sides.append((change - brace, closes))
+        return marks, *sides
+
+    def texts_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = values.cast(pa.large_binary())
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        held = texts.buffers()[2]
+        data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+        return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+    @F.arrow_udf("marks long, outside long, inside long, quoted boolean, depth long, after long, edge boolean, ends boolean, entry long, alone boolean")
+    def walk(batches: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        names = ("marks", "outside", "inside", "quoted", "depth", "after", "edge", "ends", "entry", "alone")
+        held, last, ended = {}, None, False
+        for values, *columns in batches:
+            file, block, level, started, start = [c.to_numpy(zero_copy_only=False) for c in columns]
+            n = len(file)
+            if not n:
+                yield pa.StructArray.from_arrays([pa.array([], pa.bool_() if c in ("quoted", "edge", "ends", "alone") else pa.int64()) for c in names], names)
+                continue
+            fresh = np.ones(n, bool)
+            fresh[1:] = (file[1:] != file[:-1]) | (block[1:] != block[:-1])
+            fresh[0] = last != (file[0], block[0])
+            last = (file[-1], block[-1])
+            first, known = np.maximum.accumulate(np.where(fresh, np.arange(n), 0)), np.maximum.accumulate(fresh)
+
+            def before(name: str, measured: np.ndarray) -> np.ndarray:
+                sums = np.cumsum(measured) - measured
+                sums = np.where(known, sums - sums[first], sums + held.get(name, 0))
+                held[name] = sums[-1] + measured[-1]
+                return sums
+
+            marks, outside, inside = measure(*texts_of(values))
+            odd, within = marks % 2 == 1, before("marks", marks) % 2 == 1
+            quoted = within != (started == 1)
+            change, closes = np.where(quoted, inside, outside)
+            depth = start + before("depth", change)
+            after = depth + change
+            ends = (quoted == odd) & (after == level)
+            previous = np.append(ended, ends[:-1]) & ~fresh
+            ended = ends[-1]
+            columns = (
+                marks, np.where(within, inside[0], outside[0]), np.where(within, outside[0], inside[0]), quoted, depth, after,
+                depth - closes < level, ends, before("entry", ends.astype(np.int64)), ends & previous,
+            )
+            yield pa.StructArray.from_arrays([pa.array(c, pa.bool_() if c.dtype == bool else pa.int64()) for c in columns], names)
+
+    return walk
 
 
 def placed(pieces: DataFrame) -> DataFrame:
-    """Each piece, without its text, with the `depth` it starts and ends at, and the `entry` it belongs to.
+    """The pieces, each with the number of its `entry` in the file.
 
     An entry ends with a brace that brings the depth back to the level of the file: 1 in a list, 2 in a list within an
-    object. `edge` tells pieces in which a list of the level below may open or close.
+    object.
     """
-    known = _with_sum_before(pieces.select(*NARROW), "quotes", F.col("marks"))
-    own = F.when(F.col("quotes") % 2 == 1, F.col("inside")).otherwise(F.col("outside"))
-    known = known.select(*SPLIT, "id", "level", (F.col("quotes") % 2 == 1).alias("quoted"), (F.col("marks") % 2 == 1).alias("odd"), own.alias("own"))
-    known = _with_sum_before(known, "depth", F.col("own.change")).withColumn("after", F.col("depth") + F.col("own.change"))
-    ends = (F.col("quoted") == F.col("odd")) & (F.col("after") == F.col("level"))
-    known = _with_sum_before(known, "entry", ends.cast("int"))
-    edge = F.col("depth") - F.col("own.closes") < F.col("level")
-    return staged(known.select(*SPLIT, "id", "level", "quoted", "depth", "after", "entry", edge.alias("edge")))
+    splits = staged(pieces.groupBy(*SPLIT).agg(F.count_if("ends").alias("own")))
+    splits = splits.select(*SPLIT, _sum_before("own").alias("__earlier"))
+    return pieces.join(F.broadcast(splits), list(SPLIT)).withColumn("entry", F.col("entry") + F.col("__earlier")).drop("__earlier")
 
 
 def _list_finder():
@@ -113,7 +189,7 @@ def _list_finder():
     return find
 
 
-def chosen_lists(pieces: DataFrame, places: DataFrame, keys: Sequence[str]) -> DataFrame:
+def chosen_lists(places: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row for each file that may be one value: the key of its list of entries, where it opens and where it closes.
 
     The key is null where there is no such list. Files in which nesting ends early or never hold no single value and
@@ -126,8 +202,7 @@ def chosen_lists(pieces: DataFrame, places: DataFrame, keys: Sequence[str]) -> D
     )
     # The brace after the last piece is counted, whether it is there or not: its end is at -1 where it is not.
     one = one.where((F.col("ended") <= 2) & F.col("final").isin(0, -1)).select("file", (F.col("final") == 0).alias("braced"))
-    edges = places.where("edge").select(*SPLIT, "id", "level", "quoted", "depth").join(pieces.select(*SPLIT, "id", "value"), [*SPLIT, "id"])
-    events = edges.select("file", here, F.explode(_list_finder()("value", "quoted", "depth", "level")).alias("e"))
+    events = places.where("edge").select("file", here, F.explode(_list_finder()("value", "quoted", "depth", "level")).alias("e"))
     events = staged(events.select("file", "place", "e.key", "e.at"))
     rank = F.array_position(F.array(*map(F.lit, ("list", *keys))), F.col("key"))
     opens = events.where(rank > 0).groupBy("file").agg(F.max_by(F.struct("key", F.col("place").alias("from"), F.col("at").alias("start")), F.struct(-rank, "place", "at")).alias("o"))
@@ -137,9 +212,10 @@ def chosen_lists(pieces: DataFrame, places: DataFrame, keys: Sequence[str]) -> D
     return staged(one.join(opens.join(closes, "file"), "file", "left"))
 
 
-def _with_texts(pieces: DataFrame, places: DataFrame, lists: DataFrame) -> DataFrame:
+def _with_texts(places: DataFrame, lists: DataFrame) -> DataFrame:
     """Pieces of files with a chosen list; `text` is what of a piece is within the list, `frame` what is not."""
-    rows = places.select(*SPLIT, "id", "entry").join(lists, "file").join(pieces.select(*SPLIT, "id", "value"), [*SPLIT, "id"])
+    # One row for each file cut.
+    rows = places.select(*SPLIT, "id", "entry", "alone", "value").join(F.broadcast(lists), "file")
     place = F.struct("block", "id")
     rows = rows.withColumn("place", place)
     first, last = F.col("place") == F.col("from"), F.col("place") == F.col("to")
@@ -153,18 +229,21 @@ def _with_texts(pieces: DataFrame, places: DataFrame, lists: DataFrame) -> DataF
     return rows.withColumns({"text": text, "frame": F.concat(before, after)})
 
 
-def entries_of(pieces: DataFrame, places: DataFrame, lists: DataFrame, is_value) -> tuple[DataFrame, DataFrame]:
+def entries_of(places: DataFrame, lists: DataFrame, is_value) -> tuple[DataFrame, DataFrame]:
     """(file, whole, frame_bytes) and (file, origin, value): whether a file is exactly one JSON value, and the entries of its list.
 
     `is_value` makes the test for one value out of a column's name. A file is one value if what frames its list is one
     and each entry is one. Entries without braces of their own go with the next one that has some.
     """
-    rows = _with_texts(pieces, places, lists)
+    rows = _with_texts(places, lists)
     own = F.sort_array(F.collect_list(F.struct("place", "text")))
-    parts = rows.where("text IS NOT NULL").groupBy("file", "entry").agg(
-        F.first("key").alias("origin"), own.alias("parts"), F.max(F.col("place") == F.col("from")).alias("opens"), F.max(F.col("place") == F.col("to")).alias("closes")
-    )
-    joined = parts.withColumn("joined", F.trim(F.array_join("parts.text", ""), F.lit(" \t\r\n")))
+    opens, closes = F.col("place") == F.col("from"), F.col("place") == F.col("to")
+    texts = rows.where("text IS NOT NULL")
+    parts = texts.where("NOT alone").groupBy("file", "entry").agg(F.first("key").alias("origin"), own.alias("parts"), F.max(opens).alias("opens"), F.max(closes).alias("closes"))
+    parts = parts.select("file", "origin", F.array_join("parts.text", "").alias("text"), "opens", "closes")
+    # Most entries are one piece, which need not move.
+    parts = parts.union(texts.where("alone").select("file", F.col("key").alias("origin"), "text", opens, closes))
+    joined = parts.withColumn("joined", F.trim("text", F.lit(" \t\r\n")))
     # Each run of entries but the first starts with the comma that parts it from those before.
     parted = F.col("joined").startswith(",")
     body = F.when(F.col("opens"), F.col("joined")).when(parted, F.substr("joined", F.lit(2)))

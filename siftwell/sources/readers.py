@@ -32,6 +32,8 @@ CORRUPT, SURPLUS, FILE = "_corrupt_record", "_surplus_fields", "_source_file"
 ROW_SAMPLE = 5
 # Beyond this Spark does not parse a text as one value: the limit for one record, and for what is around a list of them.
 MOST_VALUE_BYTES = 126 << 20
+# Longer texts between closing braces are passed over where documents are told from lines.
+LONGEST_PIECE = MOST_VALUE_BYTES
 # Documents of up to this size are parsed whole by one task, larger ones are cut into their entries by many.
 WHOLE_BYTES = 16 << 20
 
@@ -306,15 +308,15 @@ def load_json(
     """Records from files that hold one per line, a list of them, one object around such a list, or one record.
 
     Each file is read as what it holds: a file whose whole text is exactly one JSON value is a document; all others have
-    a record per line, which splits across tasks (`multi_line` decides for all files instead). What lines tell decides
-    first, so only files that open and close like a document are read whole to see. In a document that is an object, the
+    a record per line, which splits across tasks (`multi_line` decides for all files instead). What stands around line
+    breaks decides first, so only files that open like a document and go on like one are read whole to see. In a document that is an object, the
     first usual key with a list gives the records. Whatever is not a record is quarantined as it stands. Parsed rows are
     written once.
 
     Documents of more than `whole_bytes` are cut into their entries by many tasks, with the same result. One entry, and
     all there is around the list, can each be of 126 MiB; a document that is one larger record is refused by name.
     """
-    facts = _json_facts(spark, path, multi_line, whole_bytes)
+    facts = _json_facts(spark, path, multi_line)
     parts, large = [], facts.where("maybe AND bytes > " + str(whole_bytes))
     verdict = facts.select("file", "maybe")
     if not large.isEmpty():
@@ -372,40 +374,52 @@ def load_json(
     return LoadedTable(data, bad, "json", path, tuple(notes))
 
 
-def _json_facts(spark: SparkSession, path: str, multi_line: bool | None, whole_bytes: int) -> DataFrame:
+def _json_facts(spark: SparkSession, path: str, multi_line: bool | None) -> DataFrame:
     """One row per file: whether it may be one document, its bytes, and the depth of records in such a document.
 
-    Only marks of lines are kept and compared, never whole lines. A longer line than `whole_bytes` is not tested here.
+    Files are read in pieces that end with closing braces, so no line is held as a whole however long it is. Pieces beyond
+    what Spark parses are passed over; a file of nothing else holds lines.
     """
-    space = F.lit(" \t\r\n")
-    single = F.when(F.octet_length("value") <= whole_bytes, _one_value("value")).otherwise(False)
-    start, end = F.regexp_extract(F.substr("value", F.lit(1), F.lit(1000)), r"^[\s\x{FEFF}]*(.)", 1), F.right(F.rtrim("value", space), F.lit(1))
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    lines = lines.select(
+    reader = spark.read.option("mapreduce.input.linerecordreader.line.maxlength", LONGEST_PIECE)
+    pieces = reader.text(path, lineSep="}").select(
         F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
-        start.alias("start"), end.alias("end"), F.octet_length("value").alias("bytes"),
-        *([single.alias("single")] if multi_line is None else []),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+        (F.octet_length("value") + 1).cast("long").alias("bytes"),
+        F.ascii(F.ltrim("value", F.lit(" \t\r\n\ufeff"))).alias("start"),
+        (F.ltrim("value", F.lit(" \r\n")) != "").alias("some"),
+        # A string holds no line break, so what follows a brace and a line break is a comma or closes something, or all is not one value.
+        F.col("value").rlike(r"^[\]\s]*\n[\]\s]*[^,\]\s]").alias("parted"),
+    )
+    # Numbers only, so that rows are summed up where they are read.
+    splits = pieces.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("bytes").alias("bytes"),
+        F.max("some").alias("some"),
+        F.min_by("start", F.when(F.col("start") != 0, F.col("id"))).alias("start"),
+        (F.count_if("parted") - F.when((F.col("block") == 0) & (F.min("id") == F.min(F.when(F.col("parted"), F.col("id")))), 1).otherwise(0)).alias("parted"),
+    )
+    facts = splits.groupBy("file").agg(
+        F.sum("n").alias("n"),
+        F.sum("bytes").alias("bytes"),
+        F.max("some").alias("some"),
+        F.min_by("start", F.when(F.col("start").isNotNull(), F.col("block"))).alias("start"),
+        F.sum("parted").alias("parted"),
     )
-    ends = [F.min_by("start", "place").alias("start"), F.max_by("end", "place").alias("end"), F.sum("bytes").alias("bytes")]
-    if multi_line is None:
-        records = F.count_if(F.col("single") & (F.col("start") == "{"))
-        ends += [F.count(F.lit(1)).alias("n"), records.alias("records"), F.min_by("single", "place").alias("first")]
-    facts = lines.groupBy("file").agg(*ends)
-    maybe = F.lit(multi_line)
-    if multi_line is None:
-        closes = ((F.col("start") == "{") & (F.col("end") == "}")) | ((F.col("start") == "[") & (F.col("end") == "]"))
-        # Two values on lines that follow one another are no part of one value; more than half of the lines hold such.
-        maybe = closes & ~((F.col("n") > 1) & (F.col("first") | (F.col("records") * 2 > F.col("n") + 1)))
-    return staged(facts.select("file", maybe.alias("maybe"), "bytes", F.when(F.col("start") == "[", 1).otherwise(2).alias("level")))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length").where("length > 0")
+    facts = files.join(facts, "file", "left")
+    some = F.col("n").isNull() | F.col("some") | (F.col("n") > 1) | (F.col("bytes") == F.col("length"))
+    listed, keyed = F.col("start") == ord("["), F.col("start") == ord("{")
+    maybe = F.coalesce((listed | keyed) & (F.col("parted") == 0), F.lit(False)) if multi_line is None else F.lit(multi_line)
+    facts = facts.where(some).select("file", maybe.alias("maybe"), F.coalesce("bytes", "length").alias("bytes"), F.when(listed, 1).otherwise(2).alias("level"))
+    return staged(facts)
 
 
 def _cut(spark: SparkSession, path: str, large: DataFrame, multi_line: bool | None) -> tuple[DataFrame, DataFrame]:
     """(file, whole): true for files cut here, null for those to read whole, false for lines; and the entries cut."""
-    pieces = documents.pieces_of(spark, path, large.select("file", "level"))
-    places = documents.placed(pieces)
-    lists = documents.chosen_lists(pieces, places, ENVELOPE_KEYS)
-    verdict, entries = documents.entries_of(pieces, places, lists.where("key IS NOT NULL"), _one_value)
+    places = documents.placed(documents.pieces_of(spark, path, large.select("file", "level")))
+    lists = documents.chosen_lists(places, ENVELOPE_KEYS)
+    verdict, entries = documents.entries_of(places, lists.where("key IS NOT NULL"), _one_value)
     known = large.join(lists.select("file", F.col("key").isNotNull().alias("listed")), "file", "left").join(verdict, "file", "left")
     too_large = known.where((~F.col("listed") & (F.col("bytes") > MOST_VALUE_BYTES)) | (F.col("frame_bytes") > MOST_VALUE_BYTES)).first()
     if too_large:

@@ -1,13 +1,16 @@
+import json
 import random
 import uuid
 
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from siftwell import ingestion_report, load_table, write_cleaning, write_quarantine
 from siftwell import apply_cleaning, propose_cleaning
 from siftwell.sources import delimited, documents, readers
 from siftwell.sources.readers import detect_format, nan_to_null, tidy_names
+from verification.queries import _write_document
 
 
 @pytest.fixture
@@ -267,6 +270,29 @@ def test_a_large_document_is_read_by_many_tasks(spark, tmp_path):
     assert loaded.data.agg(F.count("*"), F.sum("a"), F.countDistinct("`b.c`")).first() == (60_000, 60_000 * 59_999 // 2, 60_000)
 
 
+def test_a_long_line_is_never_held_whole(spark, tmp_path, monkeypatch):
+    """A document of one line is read in pieces only, also where files are told apart."""
+    records = ",".join(f'{{"a": {i}}}' for i in range(5_000))
+    (tmp_path / "line.json").write_text(f'{{"meta": 1, "data": [{records}]}}')
+    text = DataFrameReader.text
+
+    def in_pieces(self, paths, wholetext=False, lineSep=None):
+        assert lineSep == "}" and not wholetext
+        return text(self, paths, lineSep=lineSep)
+
+    monkeypatch.setattr(DataFrameReader, "text", in_pieces)
+    assert load_table(spark, str(tmp_path / "line.json"), whole_bytes=1 << 10).data.agg(F.count("*"), F.sum("a")).first() == (5_000, 2_500 * 4_999)
+
+
+def test_a_large_document_is_written_in_runs(spark, tmp_path):
+    """One file and one value, also of no records, without all records in one row."""
+    for n in (0, 1, 30_000):
+        records = spark.range(0, n, 1, 3).select(F.to_json(F.struct("id")).alias("value"))
+        _write_document(records, str(tmp_path / str(n)), '{"data":[', "]}", "", " ")
+        (file,) = (tmp_path / str(n)).glob("part-*")
+        assert sorted(r["id"] for r in json.loads(file.read_text())["data"]) == list(range(n)) and "\n" not in file.read_text()
+
+
 def test_one_record_too_large_is_named(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(readers, "MOST_VALUE_BYTES", 20)
     (tmp_path / "d.json").write_text('{"a": 1, "b": 2, "c": {"d": 3}}')

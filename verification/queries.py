@@ -4,6 +4,7 @@ import uuid
 from collections.abc import Callable
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -646,13 +647,36 @@ def json_load(spark, sf_dir):
     return load_json(spark, path, multi_line=False).data
 
 
+def _write_document(records: DataFrame, path: str, head: str, tail: str, first: str, sep: str):
+    """One file with one JSON document of all `records` (value): rendered and joined to runs by many tasks, written as a stream by one.
+
+    `first` stands before the first record, a comma before the others, `sep` between lines.
+    """
+
+    def runs(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"value": [f"{sep},".join(batch.column(0).to_pylist())]})
+
+    def framed(batches):
+        yield pa.RecordBatch.from_pydict({"value": [head]})
+        before = first
+        for batch in batches:
+            for run in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": [before + run]})
+                before = ","
+        yield pa.RecordBatch.from_pydict({"value": [tail]})
+
+    joined = records.select("value").mapInArrow(runs, "value string").repartition(1)
+    joined.mapInArrow(framed, "value string").write.text(path, lineSep=sep)
+
+
 @query
 def json_large_document(spark, sf_dir):
     """The whole of orders as one JSON document of one line, loaded with default options."""
     path = fresh_path(spark)
     record = F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority")
-    document = table(spark, sf_dir, "orders").agg(F.to_json(F.struct(F.collect_list(record).alias("data"))).alias("value"))
-    document.write.text(path)
+    _write_document(table(spark, sf_dir, "orders").select(F.to_json(record).alias("value")), path, '{"data":[', "]}", "", " ")
     return load_json(spark, path).data
 
 
@@ -660,10 +684,9 @@ def json_large_document(spark, sf_dir):
 def json_document_in_pieces(spark, sf_dir):
     """The whole of lineitem, all columns, as one JSON document that is cut into records by many tasks."""
     path = fresh_path(spark)
-    lines = table(spark, sf_dir, "lineitem").select(F.lit(1).alias("part"), F.concat(F.lit(","), F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd", "timestampNTZFormat": "yyyy-MM-dd"})).alias("value"))
-    # Every record follows a comma, so a null stands before the first.
-    ends = spark.range(2).select((F.col("id") * 2).cast("int").alias("part"), F.when(F.col("id") == 0, '{"meta":{"n":[1]},"data":[null').otherwise(']}').alias("value"))
-    lines.union(ends).coalesce(1).sortWithinPartitions("part").select("value").write.text(path)
+    record = F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd", "timestampNTZFormat": "yyyy-MM-dd"})
+    # A null stands before the first record.
+    _write_document(table(spark, sf_dir, "lineitem").select(record.alias("value")), path, '{"meta":{"n":[1]},"data":[null', "]}", ",", "\n")
     return load_json(spark, path, whole_bytes=1 << 20).data
 
 
