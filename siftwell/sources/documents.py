@@ -3,6 +3,8 @@
 import json
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 from typing import Tuple
 
 import numpy as np
@@ -223,7 +225,8 @@ def _with_texts(places: DataFrame, lists: DataFrame) -> DataFrame:
     start = F.when(first, F.col("start")).otherwise(0)
     stop = F.when(last, F.col("stop")).otherwise(F.length("value"))
     brace = F.lit("}")
-    text = F.when(within, F.concat(F.substr("value", start + 1, stop - start), F.when(last, "").otherwise(brace)))
+    cut = F.concat(F.substr("value", start + 1, stop - start), F.when(last, "").otherwise(brace))
+    text = F.when(within, F.when(first | last, cut).otherwise(F.concat("value", brace)))
     before = F.when(F.col("place") < F.col("from"), F.concat("value", brace)).when(first, F.substr("value", F.lit(1), F.col("start"))).otherwise("")
     after = F.when(F.col("place") > F.col("to"), F.concat("value", brace)).when(last, F.concat(F.substr("value", F.col("stop") + 1), brace)).otherwise("")
     return rows.withColumns({"text": text, "frame": F.concat(before, after)})
@@ -243,12 +246,14 @@ def entries_of(places: DataFrame, lists: DataFrame, is_value) -> tuple[DataFrame
     parts = parts.select("file", "origin", F.array_join("parts.text", "").alias("text"), "opens", "closes")
     # Most entries are one piece, which need not move.
     parts = parts.union(texts.where("alone").select("file", F.col("key").alias("origin"), "text", opens, closes))
-    joined = parts.withColumn("joined", F.trim("text", F.lit(" \t\r\n")))
+    # Looking at the ends is much cheaper than trimming.
+    spaced = reduce(or_, [F.col("text").startswith(c) | F.col("text").endswith(c) for c in " \t\r\n"])
+    joined = parts.withColumn("joined", F.when(spaced, F.trim("text", F.lit(" \t\r\n"))).otherwise(F.col("text")))
     # Each run of entries but the first starts with the comma that parts it from those before.
     parted = F.col("joined").startswith(",")
     body = F.when(F.col("opens"), F.col("joined")).when(parted, F.substr("joined", F.lit(2)))
     listed = joined.withColumn("listed", F.concat(F.lit("["), body, F.lit("]")))
-    blank = F.trim(body, F.lit(" \t\r\n")) == ""
+    blank = F.ltrim(body, F.lit(" \t\r\n")) == ""
     nothing = (F.col("joined") == "") & F.col("closes")
     sound = nothing | (~blank & F.try_parse_json("listed").isNotNull())
     entries = F.when(F.col("joined") != "", F.from_json("listed", "array<string>"))

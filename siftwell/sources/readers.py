@@ -435,7 +435,8 @@ def _cut(spark: SparkSession, path: str, large: DataFrame, multi_line: bool | No
 def _one_value(text: str) -> Column:
     """Whether a text is exactly one JSON value; the parser alone would pass over what follows the first."""
     mark = "\u2063end"
-    listed = F.try_parse_json(F.concat(F.lit("["), F.regexp_replace(text, r"^\x{FEFF}", ""), F.lit(f',"{mark}"]')))
+    bare = F.when(F.col(text).startswith("\ufeff"), F.regexp_replace(text, r"^\x{FEFF}", "")).otherwise(F.col(text))
+    listed = F.try_parse_json(F.concat(F.lit("["), bare, F.lit(f',"{mark}"]')))
     return F.coalesce(F.try_variant_get(listed, "$[1]", "string") == mark, F.lit(False))
 
 

@@ -293,6 +293,24 @@ def test_a_large_document_is_written_in_runs(spark, tmp_path):
         assert sorted(r["id"] for r in json.loads(file.read_text())["data"]) == list(range(n)) and "\n" not in file.read_text()
 
 
+def test_pieces_get_their_places_where_they_are_read(spark, tmp_path):
+    """No piece is sorted or moved to learn its depth and entry, which go on over the splits."""
+    records = ",".join(f'{{"a": {i}, "b": {{"c": "}}x{i}"}}}}' for i in range(2_000))
+    (tmp_path / "large.json").write_text(f'{{"meta": 1, "data": [{records}]}}')
+    files = spark.createDataFrame([(f"file:{tmp_path}/large.json", 2)], "file string, level int")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        places = documents.placed(documents.pieces_of(spark, str(tmp_path / "large.json"), files))
+        assert places.select("block").distinct().count() > 4
+        # Three braces to a record, one of them in a string.
+        sizes = places.groupBy("entry").count().where("entry < 2000").select("count").distinct().collect()
+        assert [r[0] for r in sizes] == [3]
+        # Texts come along, so they need not be joined to their places.
+        assert "value" in places.columns and "SortMergeJoin" not in places._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_one_record_too_large_is_named(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(readers, "MOST_VALUE_BYTES", 20)
     (tmp_path / "d.json").write_text('{"a": 1, "b": 2, "c": {"d": 3}}')
