@@ -22,12 +22,15 @@ def pieces_of(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     """The texts between closing braces of `files` (file, level), in the order of (block, id) within each file.
 
     Files are split as lines of text are, so a piece is as long as the text between two braces, whatever the length
-    of the document. Each split is walked through twice: the first time tells by how much its quotes and its nesting go
-    on, for a split that starts outside or inside a string; then sums over earlier splits tell how each starts.
+    of the document. Each split is walked through as if it started where an entry has ended. The walk also tells by how
+    much its quotes and its nesting go on, for a split that starts outside or inside a string; sums over earlier splits
+    then tell how each starts, and those that start otherwise are walked through again.
 
     `quoted` tells whether a piece starts inside a string, `depth` and `after` the nesting before it and with the brace
     after it, `edge` whether a list of the level below may open or close in it. `ends` marks pieces whose brace ends an
-    entry, `entry` counts those before in the split, and an `alone` piece is an entry of its own.
+    entry, `entry` counts those before in the split, and an `alone` piece is an entry of its own. Where that is an object
+    after a comma, `object` is its text and `sound` whether it is valid; both are null elsewhere, and `other` is the
+    text. `value` is either text as a piece, less the spaces around an object.
     """
 
     def walked(known: DataFrame) -> DataFrame:
@@ -39,15 +42,38 @@ def pieces_of(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
         )
         # One row for each split of a file.
         pieces = pieces.join(F.broadcast(known), [c for c in SPLIT if c in known.columns])
+        if "start" not in known.columns:
+            pieces = pieces.withColumns({"started": F.lit(0), "start": _likely_start()})
         pieces = pieces.withColumn("w", _walk()("value", F.xxhash64("file"), "block", "level", "started", "start"))
-        return pieces.select(*SPLIT, "id", "level", "value", "w.*")
-
-    unknown = files.select("file", "level", F.lit(0).alias("started"), F.lit(0).cast("long").alias("start"))
-    sums = walked(unknown).groupBy(*SPLIT, "level").agg(*[F.sum(c).alias(c) for c in ("marks", "outside", "inside")])
+        pieces = pieces.select(*SPLIT, "id", "level", "value", "w.*")
+        by_itself = F.col("alone") & ~F.col("edge")
+        tight, spaced = F.col("value").startswith(",{"), F.col("value").rlike(r"^[ \t\r\n]*,[ \t\r\n]*\{")
+        own = F.when(tight, F.substr("value", F.lit(2))).when(spaced, F.regexp_replace("value", r"^[ \t\r\n]*,[ \t\r\n]*", ""))
+        pieces = pieces.withColumn("object", F.when(by_itself, F.concat(own, F.lit("}"))))
+        listed = F.concat(F.lit("["), "object", F.lit("]"))
+        pieces = pieces.withColumns({
+            "sound": F.when(F.col("object").isNotNull(), F.try_parse_json(listed).isNotNull()),
+            "other": F.when(F.col("object").isNull(), F.col("value")),
+        })
+        # Texts are most of what is written.
+        return staged(pieces.drop("value"), "zstd")
+
+    pieces = walked(files.select("file", "level"))
+    sums = pieces.groupBy(*SPLIT, "level").agg(*[F.sum(c).alias(c) for c in ("marks", "outside", "inside")])
     sums = staged(sums)
     sums = sums.withColumn("started", (_sum_before("marks") % 2).cast("int"))
     sums = sums.withColumn("start", _sum_before(F.when(F.col("started") == 1, F.col("inside")).otherwise(F.col("outside"))))
-    return staged(walked(sums.select(*SPLIT, "level", "started", "start")).drop("marks", "outside", "inside"))
+    others = staged(sums.where((F.col("started") != 0) | (F.col("start") != _likely_start())).select(*SPLIT, "level", "started", "start"))
+    if not others.isEmpty():
+        again = walked(others)
+        pieces = pieces.join(F.broadcast(others.select(*SPLIT)), list(SPLIT), "left_anti").select(again.columns).union(again)
+    piece = F.concat(F.lit(","), F.substr("object", F.lit(1), F.length("object") - 1))
+    return pieces.drop("marks", "outside", "inside").withColumn("value", F.coalesce("other", piece))
+
+
+def _likely_start() -> Column:
+    """The depth at which a split starts where an entry has ended; the first one of a file starts at none."""
+    return F.when(F.col("block") == 0, 0).otherwise(F.col("level")).cast("long")
 
 
 def _sum_before(measure) -> Column:
@@ -105,7 +131,7 @@ def _walk():
     @F.arrow_udf("marks long, outside long, inside long, quoted boolean, depth long, after long, edge boolean, ends boolean, entry long, alone boolean")
     def walk(batches: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         names = ("marks", "outside", "inside", "quoted", "depth", "after", "edge", "ends", "entry", "alone")
-        held, last, ended = {}, None, False
+        held, last = {}, None
         for values, *columns in batches:
             file, block, level, started, start = [c.to_numpy(zero_copy_only=False) for c in columns]
             n = len(file)
@@ -131,11 +157,11 @@ def _walk():
             depth = start + before("depth", change)
             after = depth + change
             ends = (quoted == odd) & (after == level)
-            previous = np.append(ended, ends[:-1]) & ~fresh
-            ended = ends[-1]
+            # Outside strings and at the level of entries, the brace before has ended one.
+            alone = ends & ~quoted & (depth == level)
             columns = (
                 marks, np.where(within, inside[0], outside[0]), np.where(within, outside[0], inside[0]), quoted, depth, after,
-                depth - closes < level, ends, before("entry", ends.astype(np.int64)), ends & previous,
+                depth - closes < level, ends, before("entry", ends.astype(np.int64)), alone,
             )
             yield pa.StructArray.from_arrays([pa.array(c, pa.bool_() if c.dtype == bool else pa.int64()) for c in columns], names)
 
@@ -198,13 +224,12 @@ def chosen_lists(places: DataFrame, keys: Sequence[str]) -> DataFrame:
     have no row.
     """
     here = F.struct("block", "id").alias("place")
-    one = places.groupBy("file").agg(
-        F.count_if(F.col("after") <= 0).alias("ended"),
-        F.max_by("after", F.struct("block", "id")).alias("final"),
-    )
+    # Numbers only, so that rows are summed up where they are read.
+    splits = places.groupBy(*SPLIT).agg(F.count_if(F.col("after") <= 0).alias("ended"), F.max_by("after", "id").alias("final"))
+    one = splits.groupBy("file").agg(F.sum("ended").alias("ended"), F.max_by("final", "block").alias("final"))
     # The brace after the last piece is counted, whether it is there or not: its end is at -1 where it is not.
     one = one.where((F.col("ended") <= 2) & F.col("final").isin(0, -1)).select("file", (F.col("final") == 0).alias("braced"))
-    events = places.where("edge").select("file", here, F.explode(_list_finder()("value", "quoted", "depth", "level")).alias("e"))
+    events = places.where("edge").select("file", here, F.explode(_list_finder()("other", "quoted", "depth", "level")).alias("e"))
     events = staged(events.select("file", "place", "e.key", "e.at"))
     rank = F.array_position(F.array(*map(F.lit, ("list", *keys))), F.col("key"))
     opens = events.where(rank > 0).groupBy("file").agg(F.max_by(F.struct("key", F.col("place").alias("from"), F.col("at").alias("start")), F.struct(-rank, "place", "at")).alias("o"))
@@ -214,37 +239,47 @@ def chosen_lists(places: DataFrame, keys: Sequence[str]) -> DataFrame:
     return staged(one.join(opens.join(closes, "file"), "file", "left"))
 
 
-def _with_texts(places: DataFrame, lists: DataFrame) -> DataFrame:
+def _with_texts(rows: DataFrame) -> DataFrame:
     """Pieces of files with a chosen list; `text` is what of a piece is within the list, `frame` what is not."""
-    # One row for each file cut.
-    rows = places.select(*SPLIT, "id", "entry", "alone", "value").join(F.broadcast(lists), "file")
-    place = F.struct("block", "id")
-    rows = rows.withColumn("place", place)
     first, last = F.col("place") == F.col("from"), F.col("place") == F.col("to")
-    within = (F.col("place") >= F.col("from")) & (F.col("place") <= F.col("to"))
     start = F.when(first, F.col("start")).otherwise(0)
     stop = F.when(last, F.col("stop")).otherwise(F.length("value"))
     brace = F.lit("}")
     cut = F.concat(F.substr("value", start + 1, stop - start), F.when(last, "").otherwise(brace))
-    text = F.when(within, F.when(first | last, cut).otherwise(F.concat("value", brace)))
+    text = F.when(_within(), F.when(first | last, cut).otherwise(F.concat("value", brace)))
     before = F.when(F.col("place") < F.col("from"), F.concat("value", brace)).when(first, F.substr("value", F.lit(1), F.col("start"))).otherwise("")
     after = F.when(F.col("place") > F.col("to"), F.concat("value", brace)).when(last, F.concat(F.substr("value", F.col("stop") + 1), brace)).otherwise("")
     return rows.withColumns({"text": text, "frame": F.concat(before, after)})
 
 
-def entries_of(places: DataFrame, lists: DataFrame, is_value) -> tuple[DataFrame, DataFrame]:
-    """(file, whole, frame_bytes) and (file, origin, value): whether a file is exactly one JSON value, and the entries of its list.
+def _within() -> Column:
+    """Whether a piece is between those in which the chosen list opens and closes, or one of them."""
+    block, id_ = F.col("block"), F.col("id")
+    starts = (block > F.col("from.block")) | ((block == F.col("from.block")) & (id_ >= F.col("from.id")))
+    return starts & ((block < F.col("to.block")) | ((block == F.col("to.block")) & (id_ <= F.col("to.id"))))
 
-    `is_value` makes the test for one value out of a column's name. A file is one value if what frames its list is one
-    and each entry is one. Entries without braces of their own go with the next one that has some.
+
+def entries_of(places: DataFrame, lists: DataFrame, is_value, is_record) -> tuple[DataFrame, DataFrame]:
+    """(file, whole, frame_bytes) and (file, origin, value, good): whether a file is exactly one JSON value, and the entries of its list.
+
+    `is_value` makes the test for one value out of a column's name, `is_record` the one for an entry that is a record. A
+    file is one value if what frames its list is one and each entry is one. Entries without braces of their own go with
+    the next one that has some. Entries that are an object by themselves are read where the pieces were written.
     """
-    rows = _with_texts(places, lists)
+    # One row for each file cut.
+    rows = places.join(F.broadcast(lists), "file")
+    objects, apart = rows.where(F.col("sound").isNotNull() & _within()), rows.where(F.col("sound").isNotNull() & ~_within())
+    rest = rows.where("sound IS NULL").withColumn("value", F.col("other"))
+    if not apart.isEmpty():
+        rest = rest.union(apart)
+    rest = rest.withColumn("place", F.struct("block", "id"))
+    rest = _with_texts(rest)
     own = F.sort_array(F.collect_list(F.struct("place", "text")))
     opens, closes = F.col("place") == F.col("from"), F.col("place") == F.col("to")
-    texts = rows.where("text IS NOT NULL")
+    texts = rest.where("text IS NOT NULL")
     parts = texts.where("NOT alone").groupBy("file", "entry").agg(F.first("key").alias("origin"), own.alias("parts"), F.max(opens).alias("opens"), F.max(closes).alias("closes"))
     parts = parts.select("file", "origin", F.array_join("parts.text", "").alias("text"), "opens", "closes")
-    # Most entries are one piece, which need not move.
+    # Entries of one piece need not move.
     parts = parts.union(texts.where("alone").select("file", F.col("key").alias("origin"), "text", opens, closes))
     # Looking at the ends is much cheaper than trimming.
     spaced = reduce(or_, [F.col("text").startswith(c) | F.col("text").endswith(c) for c in " \t\r\n"])
@@ -257,12 +292,16 @@ def entries_of(places: DataFrame, lists: DataFrame, is_value) -> tuple[DataFrame
     nothing = (F.col("joined") == "") & F.col("closes")
     sound = nothing | (~blank & F.try_parse_json("listed").isNotNull())
     entries = F.when(F.col("joined") != "", F.from_json("listed", "array<string>"))
-    runs = staged(listed.select("file", "origin", F.coalesce(sound, F.lit(False)).alias("sound"), entries.alias("entries")))
+    runs = listed.select("file", "origin", F.coalesce(sound, F.lit(False)).alias("sound"), F.posexplode_outer(entries).alias("pos", "value"))
+    runs = staged(runs.withColumn("good", is_record("value")), "zstd")
 
     # The brace that ends an object was put after its last piece even where the file ends without one.
-    frames = rows.where("frame != ''").groupBy("file").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "frame"))).getField("frame"), "").alias("frame"), F.first("braced").alias("braced"))
+    frames = rest.where("frame != ''").groupBy("file").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "frame"))).getField("frame"), "").alias("frame"), F.first("braced").alias("braced"))
     frames = frames.select("file", F.when(F.col("braced"), F.col("frame")).otherwise(F.expr("left(frame, length(frame) - 1)")).alias("frame"))
     framed = frames.select("file", is_value("frame").alias("framed"), F.octet_length("frame").alias("frame_bytes"))
-    verdict = runs.groupBy("file").agg(F.every("sound").alias("sound")).join(framed, "file")
+    # The pieces in which a list opens and closes are among the runs, so each file has some.
+    unsound = objects.where("NOT sound").select("file", "sound")
+    verdict = runs.select("file", "sound").union(unsound).groupBy("file").agg(F.every("sound").alias("sound")).join(framed, "file")
     verdict = verdict.select("file", (F.col("sound") & F.col("framed")).alias("whole"), F.when(F.col("sound"), F.col("frame_bytes")).alias("frame_bytes"))
-    return staged(verdict), runs.select("file", "origin", F.explode("entries").alias("value"))
+    objects = objects.select("file", F.col("key").alias("origin"), F.col("object").alias("value"), F.lit(True).alias("good"))
+    return staged(verdict), runs.where("pos IS NOT NULL").select("file", "origin", "value", "good").union(objects)

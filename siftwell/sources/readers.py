@@ -317,12 +317,12 @@ def load_json(
     all there is around the list, can each be of 126 MiB; a document that is one larger record is refused by name.
     """
     facts = _json_facts(spark, path, multi_line)
-    parts, large = [], facts.where("maybe AND bytes > " + str(whole_bytes))
+    parts, tested, large = [], [], facts.where("maybe AND bytes > " + str(whole_bytes))
     verdict = facts.select("file", "maybe")
     if not large.isEmpty():
         cut, entries = _cut(spark, path, large, multi_line)
         verdict = facts.join(cut, "file", "left").select("file", F.coalesce("whole", "maybe").alias("maybe"), "whole")
-        parts.append(entries)
+        tested.append(entries)
     else:
         verdict = verdict.withColumn("whole", F.lit(None).cast("boolean"))
     # Kinds: documents cut above, documents to read whole, lines.
@@ -349,9 +349,10 @@ def load_json(
         parts.append(read("lines").select(F.lit("lines").alias("origin"), "value"))
     if "whole" in kinds:
         parts.append(_unwrapped(read("whole")))
-    # Each value is tested once, here.
-    record = F.coalesce(_one_value("value") & F.col("value").rlike(r"^\s*\{"), F.lit(False))
-    values = staged(reduce(DataFrame.union, parts).withColumn("good", record))
+    # Each value is tested once: entries cut above where they were cut, others here.
+    if parts:
+        tested.append(staged(reduce(DataFrame.union, parts).withColumn("good", _is_record("value"))))
+    values = reduce(DataFrame.union, tested)
     raw = _from_texts(spark, values.where("good"), schema)
     flat = nan_to_null(flatten(raw.drop(CORRUPT) if CORRUPT in raw.columns else raw))
     names, name_notes = tidy_names(flat.columns)
@@ -419,7 +420,7 @@ def _cut(spark: SparkSession, path: str, large: DataFrame, multi_line: bool | No
     """(file, whole): true for files cut here, null for those to read whole, false for lines; and the entries cut."""
     places = documents.placed(documents.pieces_of(spark, path, large.select("file", "level")))
     lists = documents.chosen_lists(places, ENVELOPE_KEYS)
-    verdict, entries = documents.entries_of(places, lists.where("key IS NOT NULL"), _one_value)
+    verdict, entries = documents.entries_of(places, lists.where("key IS NOT NULL"), _one_value, _is_record)
     known = large.join(lists.select("file", F.col("key").isNotNull().alias("listed")), "file", "left").join(verdict, "file", "left")
     too_large = known.where((~F.col("listed") & (F.col("bytes") > MOST_VALUE_BYTES)) | (F.col("frame_bytes") > MOST_VALUE_BYTES)).first()
     if too_large:
@@ -428,8 +429,9 @@ def _cut(spark: SparkSession, path: str, large: DataFrame, multi_line: bool | No
     if multi_line:
         whole = F.when(whole, True)
     verdict = staged(known.select("file", whole.alias("whole")))
-    entries = entries.join(verdict.where("whole").select("file"), "file", "left_semi")
-    return verdict, entries.select("origin", "value")
+    # One row for each file cut.
+    entries = entries.join(F.broadcast(verdict.where("whole").select("file")), "file", "left_semi")
+    return verdict, entries.select("origin", "value", "good")
 
 
 def _one_value(text: str) -> Column:
@@ -440,6 +442,10 @@ def _one_value(text: str) -> Column:
     return F.coalesce(F.try_variant_get(listed, "$[1]", "string") == mark, F.lit(False))
 
 
+def _is_record(text: str) -> Column:
+    return F.coalesce(_one_value(text) & F.col(text).rlike(r"^\s*\{"), F.lit(False))
+
+
 def _unwrapped(documents: DataFrame) -> DataFrame:
     """(origin, value): the entries of each document as JSON text, and the key, list or object they come from."""
     keys = F.from_json("value", T.StructType([T.StructField(k, T.StringType()) for k in ENVELOPE_KEYS]))

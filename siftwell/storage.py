@@ -30,13 +30,13 @@ def release(df: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write `df` once as Parquet and go on from the written table.
 
     Unlike a cache it survives the loss of executors, and unlike an RDD checkpoint it is columnar:
-    later passes read only the columns they need.
+    later passes read only the columns they need. `compression` is the session's unless given.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/siftwell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

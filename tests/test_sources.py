@@ -1,6 +1,8 @@
+import bz2
 import json
 import random
 import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import DataFrameReader
@@ -10,7 +12,7 @@ from siftwell import ingestion_report, load_table, write_cleaning, write_quarant
 from siftwell import apply_cleaning, propose_cleaning
 from siftwell.sources import delimited, documents, readers
 from siftwell.sources.readers import detect_format, nan_to_null, tidy_names
-from verification.queries import _write_document
+from verification.queries import _write_document, _write_packed_document
 
 
 @pytest.fixture
@@ -293,6 +295,57 @@ def test_a_large_document_is_written_in_runs(spark, tmp_path):
         assert sorted(r["id"] for r in json.loads(file.read_text())["data"]) == list(range(n)) and "\n" not in file.read_text()
 
 
+def test_a_compressed_document_is_cut_by_many_tasks(spark, tmp_path):
+    """Streams of bzip2 that end anywhere, in records and in strings with braces, give what the plain document gives."""
+    rng = random.Random(7)
+    bits = ["a", "}", "{", '\\"', "[", "]", ",", " ", "\\\\", "é", "😀"]
+    records = [f'{{"a": {i}, "b": {{"c": "{"".join(rng.choice(bits) for _ in range(rng.randrange(30)))}"}}, "t": [{{}}, {{"u": "}}"}}]}}' for i in range(400)]
+    text = f'{{"meta": {{"n": 1}}, "data": [7, {", ".join(records)}, null], "more": [{{"z": 1}}, {{"z": 2}}]}}'.encode()
+    cuts = [0, *sorted(rng.sample(range(1, len(text)), 40)), len(text)]
+    (tmp_path / "plain.json").write_bytes(text)
+    (tmp_path / "packed.json.bz2").write_bytes(b"".join(bz2.compress(text[a:b], 1) for a, b in zip(cuts, cuts[1:])))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        files = spark.createDataFrame([(f"file:{tmp_path}/packed.json.bz2", 2)], "file string, level int")
+        assert documents.pieces_of(spark, str(tmp_path / "packed.json.bz2"), files).select("block").distinct().count() > 6
+        plain, packed = (load_table(spark, str(tmp_path / f), "json", whole_bytes=1 << 10) for f in ("plain.json", "packed.json.bz2"))
+        outcomes = [(sorted(map(str, x.data.collect())), sorted(map(str, x.quarantined.collect())), x.notes) for x in (plain, packed)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert outcomes[0] == outcomes[1] and [len(x) for x in outcomes[0][:2]] == [400, 2]
+    assert load_table(spark, str(tmp_path / "plain.json")).data.agg(F.sum("a"), F.sum(F.length("`b.c`"))).first() == packed.data.agg(F.sum("a"), F.sum(F.length("`b.c`"))).first()
+
+
+def test_a_packed_document_is_one_value_and_small(spark, tmp_path):
+    for n in (0, 1, 30_000):
+        records = spark.range(0, n, 1, 3).select(F.to_json(F.struct("id", F.lit("é}").alias("s"))).alias("value"))
+        _write_packed_document(records, str(tmp_path / str(n)), '{"data":[null', "]}")
+        (file,) = (f for f in (tmp_path / str(n)).iterdir() if f.name[0] not in "._")
+        text = bz2.decompress(file.read_bytes())
+        assert json.loads(text)["data"][0] is None and sorted(r["id"] for r in json.loads(text)["data"][1:]) == list(range(n))
+        assert file.name.endswith(".bz2") and (n < 10 or file.stat().st_size < len(text) / 5)
+
+
+def test_texts_of_a_document_are_written_once(spark, tmp_path, monkeypatch):
+    """Entries that are objects by themselves are neither copied nor written again on their way to be loaded."""
+    rng, folders = random.Random(3), []
+    records = ",".join(f'{{"a": {i}, "b": "{rng.getrandbits(320):x}"}}' for i in range(30_000))
+    (tmp_path / "large.json").write_text(f'{{"meta": 1, "data": [{records}]}}')
+    staged = documents.staged
+
+    def counted(df, *options):
+        written = staged(df, *options)
+        folders.extend({f.removeprefix("file://").rpartition("/")[0] for f in written.inputFiles()})
+        return written
+
+    monkeypatch.setattr(documents, "staged", counted)
+    monkeypatch.setattr(readers, "staged", counted)
+    loaded = load_table(spark, str(tmp_path / "large.json"), whole_bytes=1 << 20)
+    assert loaded.data.count() == 30_000
+    written = sum(f.stat().st_size for d in set(folders) for f in Path(d).glob("*.parquet"))
+    assert written < (tmp_path / "large.json").stat().st_size
+
+
 def test_pieces_get_their_places_where_they_are_read(spark, tmp_path):
     """No piece is sorted or moved to learn its depth and entry, which go on over the splits."""
     records = ",".join(f'{{"a": {i}, "b": {{"c": "}}x{i}"}}}}' for i in range(2_000))
